@@ -1,7 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
-A text's features are its words and its byte n-grams (spaces included, so that they mark word ends), each hashed to a
-row of one embedding table. The mean of a text's vectors goes through a linear layer and a softmax; table and layer are
+A text's features are its words, its pairs of successive words and its byte n-grams (spaces included, so that they mark
+word ends), each hashed to a row of one embedding table. A pair's hash is that of the difference of its words' hashes, so
+that all repeats of a word on the spot share one learned vector, whatever the word. The mean of a text's vectors goes through a linear layer and a softmax; table and layer are
 learned together by stochastic gradient descent in numpy on a bounded, documented sample of the labelled rows.
 The output is linear in the mean, so for scoring each feature's vector is folded into its class scores once, and a text
 of any length costs one lookup a feature and class.
@@ -20,10 +21,15 @@ from semloom.llm.common import mix, pick, row_sums, span_hashes, table, text_byt
 
 
 def features(raw: np.ndarray, offsets: np.ndarray, bits: int, orders: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(hashed features, their rows) for words and then for each n-gram order; rows ascend. No n-gram crosses a row."""
+    """(hashed features, their rows) for words, pairs of words and then each n-gram order; rows ascend. No n-gram crosses
+    a row."""
     shift = np.uint64(64 - bits)
     start, end, row = words(raw, offsets)
-    yield (span_hashes(raw, start, end) >> shift).astype(np.int64), row
+    h = span_hashes(raw, start, end)
+    yield (h >> shift).astype(np.int64), row
+    if len(h) > 1:
+        same = row[1:] == row[:-1]
+        yield (mix(h[1:][same] - h[:-1][same] + np.uint64(1)) >> shift).astype(np.int64), row[1:][same]
     size = np.diff(offsets)
     wide = raw.astype(np.uint32)
     for n in orders:
