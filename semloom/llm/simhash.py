@@ -28,6 +28,8 @@ from semloom.llm.common import checkpoint, fold, mix, n_shuffle, pick, row_sums,
 BITS = 256
 WORDS = ["f0", "f1", "f2", "f3"]
 RADIUS = 42
+#: Of pairs that are exactly RADIUS apart; nearer ones are found more often.
+RECALL = 0.95
 LEAF = 64
 
 
@@ -64,7 +66,7 @@ def shared_prefix(depth: int, radius: int) -> float:
     return math.comb(BITS - radius, depth) / math.comb(BITS, depth)
 
 
-def forest_shape(n: int, radius: int = RADIUS, recall: float = 0.9, leaf: int = LEAF) -> tuple[int, int]:
+def forest_shape(n: int, radius: int = RADIUS, recall: float = RECALL, leaf: int = LEAF) -> tuple[int, int]:
     """(deepest, trees) for n distinct fingerprints: nodes of about `leaf` at the deepest level, and as many trees as
     the recall then needs."""
     deepest = max(8, math.ceil(math.log2(max(2, n) / leaf)))
@@ -227,7 +229,7 @@ def components(edges: DataFrame) -> DataFrame:
             return cur.toDF("id", "root")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, recall: float = 0.9, leaf: int = LEAF) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, recall: float = RECALL, leaf: int = LEAF) -> DataFrame:
     """(id, group_id, keep) of every document: group_id is the least id of its group, keep holds for that one.
 
     A document without words (empty, punctuation only) groups with equal texts only. A null text is its own group and
