@@ -28,6 +28,15 @@ def pick(df: DataFrame, **cols: str | None) -> DataFrame:
     return df.toDF(*[f"_c{i}" for i in range(len(df.columns))]).select(*[F.col(f"_c{i}").alias(new) for new, i in at.items()])
 
 
+def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """(df with its columns named _c0, _c1, ..., {name: its new name}), so that a stage can add and join columns whatever
+    the others are called; .toDF(*names) undoes it. Of equal names the first counts."""
+    at: dict[str, str] = {}
+    for i, c in enumerate(df.columns):
+        at.setdefault(c, f"_c{i}")
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))]), at
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder of spark.checkpoint.dir; a folder of its own only where that is unset."""
     sc = df.sparkSession.sparkContext

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from semloom.llm.common import fold, pick, text_bytes, text_slices
+from semloom.llm.common import fold, pick, positional, text_bytes, text_slices
 
 #: Folded byte -> byte to parse: digits and separators are spaces.
 _SPACE = np.array([b if b > 57 else 32 for b in range(256)], np.uint8)
@@ -216,7 +216,9 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents whose text some language parses, with all their columns."""
+    """Pipeline stage: the documents whose text some language parses, with all their columns. Null, empty and letterless
+    texts go; repeated rows and rows with a null id are judged like others; an empty table stays empty."""
     model = Model(sample(docs, "lang", "text", "doc_id", 30_000))
-    kept = docs.withColumn("_lid_", identify(docs, model)).where("_lid_.keep")
-    return kept.drop("_lid_")
+    d, at = positional(docs)
+    kept = d.withColumn("_lid_", identify(d, model, at["text"])).where("_lid_.keep")
+    return kept.drop("_lid_").toDF(*docs.columns)

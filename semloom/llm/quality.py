@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semloom.llm.common import mix, pick, row_sums, span_hashes, table, text_bytes, text_slices, words
+from semloom.llm.common import mix, pick, positional, row_sums, span_hashes, table, text_bytes, text_slices, words
 
 
 def features(raw: np.ndarray, offsets: np.ndarray, bits: int, orders: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -47,6 +47,10 @@ def features(raw: np.ndarray, offsets: np.ndarray, bits: int, orders: tuple[int,
         yield (h[keep] * np.uint32(0x85EBCA6B) >> np.uint32(32 - bits)).astype(np.int64), np.repeat(np.arange(len(size)), count)
 
 
+#: A text is kept if it is of high quality with more than this probability.
+THRESHOLD = 0.3
+
+
 class Model:
     """classes, table [features, dim], layer [dim, classes] and bias; scores = table @ layer, for inference."""
 
@@ -144,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(list(classes)).fit([r["x"] for r in rows], [r["y"] for r in rows], **fit)
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, model: Model | None = None, **training) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, model: Model | None = None, **training) -> DataFrame:
     """(id, p_low, p_high, n_features, keep) of every row of docs. keep: p_high is above the threshold, which is below
     one half so that a text is only dropped when the model is fairly sure. Null and empty texts: probabilities null,
     n_features 0, keep false. Repeated rows give repeated results, an empty table an empty one; a null id stays null."""
@@ -156,7 +160,9 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 
 def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the model doesn't take for low quality, with all their columns."""
+    """Pipeline stage: the documents that the model doesn't take for low quality, with all their columns. Null and empty
+    texts go; repeated rows and rows with a null id are judged like others; an empty table stays empty."""
     model = train(docs, table(spark, sf_dir, "labels"))
+    d, at = positional(docs)
     r = F.col("_q_")
-    return docs.withColumn("_q_", classify(docs, model)).where((r.n_features > 0) & (r.probs[1] > 0.3)).drop("_q_")
+    return d.withColumn("_q_", classify(d, model, at["text"])).where((r.n_features > 0) & (r.probs[1] > THRESHOLD)).drop("_q_").toDF(*docs.columns)

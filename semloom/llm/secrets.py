@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semloom.llm.common import pick, text_slices
+from semloom.llm.common import pick, positional, text_slices
 
 #: rule -> (literals of which the text must hold one, pattern; group "s" is the secret).
 RULES: dict[str, tuple[tuple[str, ...], re.Pattern[str]]] = {
@@ -281,7 +281,12 @@ def redaction(text_col: str = "text"):
 
 
 def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: all documents, secrets in their texts replaced by [SECRET]; n_chars follows the text."""
-    new = docs.withColumn("_new_", redaction())
-    cols = {"text": F.coalesce("_new_", "text"), "n_chars": F.when(F.col("_new_").isNull(), F.col("n_chars")).otherwise(F.char_length("_new_"))}
-    return new.select(*[cols[c].cast(docs.schema[c].dataType).alias(c) if c in cols else F.col(c) for c in docs.columns])
+    """Pipeline stage: all documents, secrets in their texts replaced by [SECRET]; n_chars, where there is one, follows
+    the text. Null and empty texts stay as they are; an empty table stays empty."""
+    d, at = positional(docs)
+    text, length = at["text"], at.get("n_chars")
+    new = d.withColumn("_new_", redaction(text))
+    cols = {text: F.coalesce("_new_", text)}
+    if length:
+        cols[length] = F.when(F.col("_new_").isNull(), F.col(length)).otherwise(F.char_length("_new_"))
+    return new.select(*[cols[c].cast(d.schema[c].dataType).alias(c) if c in cols else F.col(c) for c in d.columns]).toDF(*docs.columns)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from semloom.llm.common import checkpoint, fold, mix, n_shuffle, pick, row_sums, span_hashes, text_bytes, text_slices, words
+from semloom.llm.common import checkpoint, fold, mix, n_shuffle, pick, positional, row_sums, span_hashes, text_bytes, text_slices, words
 
 BITS = 256
 WORDS = ["f0", "f1", "f2", "f3"]
@@ -251,16 +251,18 @@ BROADCAST_IDS = 1_000_000
 
 
 def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group, with all its columns. Rows with a null id stay; of rows that repeat
-    an id one stays, whichever has the least values."""
+    """Pipeline stage: one document of each group, with all its columns. Rows with a null id or text stay; of rows that
+    repeat an id one stays, the one whose values as JSON come first; an empty table stays empty."""
     found = near_duplicates(docs)
-    lost = checkpoint(found.where("not keep").select("doc_id"))
+    d, at = positional(docs)
+    key = at["doc_id"]
+    lost = checkpoint(found.where("not keep").select(F.col("doc_id").alias(key)))
     few = lost.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(lost) if few else lost, "doc_id", "left_anti").select(docs.columns)
-    again = checkpoint(docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id"))
+    kept = d.join(F.broadcast(lost) if few else lost, key, "left_anti").select(d.columns)
+    again = checkpoint(d.groupBy(key).count().where(f"{key} is not null and count > 1").select(key))
     if not (n := again.count()):
-        return kept
+        return kept.toDF(*docs.columns)
     some = F.broadcast(again) if n <= BROADCAST_IDS else again
-    one = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
-    once = kept.join(some, "doc_id", "left_semi").withColumn("_nth_", F.row_number().over(one)).where("_nth_ = 1").drop("_nth_")
-    return kept.join(some, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+    one = Window.partitionBy(key).orderBy(F.to_json(F.struct(*d.columns)))
+    once = kept.join(some, key, "left_semi").select(d.columns).withColumn("_nth_", F.row_number().over(one)).where("_nth_ = 1").drop("_nth_")
+    return kept.join(some, key, "left_anti").select(d.columns).union(once).toDF(*docs.columns)
