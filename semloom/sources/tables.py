@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.feather as feather
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from semloom.operators.reconstruct import ordered_columns
 from semloom.terms import CUBE_PREFIXES
@@ -24,9 +25,8 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], header_rows: bool =
     """(table, header) of a CSV file; every cell stays the text that it is.
 
     header_rows: the first three rows after the column names hold types, units and study stages, and data starts at row
-    3. header is (ordinal, column, type, unit, stage), null without such rows. The three rows are found by a read of the
-    file's head, and taken out of the table as rows of that file whose offset in it is theirs: the file's one line order
-    is kept by reading it whole (a small file, as it has a header for people) only in that case."""
+    3. header is (ordinal, column, type, unit, stage), null without such rows. Such a file is read as one partition, so
+    that its lines keep their order."""
     raw = spark.read.option("header", True).option("multiLine", header_rows).csv(path if isinstance(path, str) else list(path))
     if not header_rows:
         return raw, _header(spark, raw.columns, None)
@@ -36,10 +36,15 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], header_rows: bool =
 
 
 def with_row_index(df: DataFrame) -> DataFrame:
-    """df with the rows' numbers from 0, in the order in which a single file's rows are read: partitions in order, rows
-    within each. Only counts per partition are gathered."""
-    fields = df.schema.add(ROW, "long")
-    return df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])).toDF(fields)
+    """df, a scan of files, with the rows' numbers from 0 in the order of its partitions and of the rows within each. Only
+    counts per partition are gathered; the scan splits the same files the same way both times."""
+    marked = df.withColumn("_at_", F.monotonically_increasing_id())  # the partition above 33 bits of the row in it
+    part = F.shiftright("_at_", 33)
+    counts = marked.groupBy(part.alias("_part_")).agg(F.count("*").alias("_n_"))
+    before = F.sum("_n_").over(Window.orderBy("_part_").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("_part_", F.coalesce(before, F.lit(0)).alias("_off_"))
+    row = F.col("_off_") + F.col("_at_").bitwiseAND(F.lit((1 << 33) - 1))
+    return marked.withColumn("_part_", part).join(F.broadcast(offsets), "_part_").select(*[F.col(f"`{c}`") for c in df.columns], row.alias(ROW))
 
 
 def _header(spark: SparkSession, columns: Sequence[str], rows) -> DataFrame:
