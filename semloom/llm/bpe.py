@@ -40,13 +40,16 @@ class Encoder:
             raise ValueError(f"no token for the bytes {missing}")
         self.ranks, self.bytes = ranks, {r: b for b, r in ranks.items()}
         self.longest = max(map(len, ranks))
+        #: right token -> left token -> whether they are compatible; learned_fits counts what is kept
+        self.fits: dict[int, dict[int, bool]] = {}
+        self.learned_fits = 0
         self.ending = ahocorasick.Automaton()
         for token, rank in ranks.items():
-            self.ending.add_word(token.decode("latin-1"), (len(token), rank))
+            self.fits[rank] = {}
+            self.ending.add_word(token.decode("latin-1"), (len(token), rank, self.fits[rank].get))
         self.ending.make_automaton()
         self.halves = {r: self._halves(b) for b, r in ranks.items()}
         self.split = regex.compile(pattern)
-        self.fits: dict[int, bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.words = _Words(self)
 
@@ -73,12 +76,14 @@ class Encoder:
 
         It isn't if some merge across their border comes before the merges that make a and b at that border. Undo
         those one after the other, the later first: a's right half or b's left half is then what meets the border."""
-        key = a << 32 | b
-        ok = self.fits.get(key)
+        ok = self.fits[b].get(a)
         if ok is None:
-            if len(self.fits) >= 4 * KEEP:
-                self.fits.clear()
-            ok = self.fits[key] = self._compatible(a, b)
+            if self.learned_fits >= 4 * KEEP:
+                for known in self.fits.values():
+                    known.clear()
+                self.learned_fits = 0
+            ok = self.fits[b][a] = self._compatible(a, b)
+            self.learned_fits += 1
         return ok
 
     def _compatible(self, a: int, b: int) -> bool:
@@ -97,19 +102,18 @@ class Encoder:
 
     def extend(self, data: bytes, last: list[int]) -> list[int]:
         """last[i] is the last token of data[: i + 1]; goes on from the prefixes it has to all of data."""
-        known, fits = len(last), self.fits
-        at = max(0, known - self.longest)
-        for end, (n, token) in self.ending.iter(data[at:].decode("latin-1")):
-            end += at
-            if end != len(last):  # it has its token already
+        want, compatible, append = len(last), self.compatible, last.append
+        at = max(0, want - self.longest)
+        for end, (n, token, fits) in self.ending.iter(data[at:].decode("latin-1")):
+            if end + at != want:  # it has its token already
                 continue
-            before = end - n
-            if before < 0:
-                last.append(token)
-                continue
-            ok = fits.get(last[before] << 32 | token)
-            if ok or ok is None and self.compatible(last[before], token):
-                last.append(token)
+            before = want - n
+            if before >= 0:
+                ok = fits(last[before])
+                if not ok and (ok is False or not compatible(last[before], token)):
+                    continue
+            append(token)
+            want += 1
         return last
 
     def tokens(self, data: bytes, last: list[int]) -> list[int]:
