@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from semloom.frame import SemanticFrame, rdf_to_tables
 from semloom.operators import cube, ontology, template
 from semloom.sources import rdf, tables
-from semloom.terms import HOME, PREFIXES
+from semloom.terms import HOME, NO_ORCID, PREFIXES
 
 
 def _list(text: str) -> list[str]:
@@ -32,7 +32,7 @@ def parser() -> argparse.ArgumentParser:
 
     onto = ("--ontology", {"help": "RDF file or folder of the ontology"})
     need = ("--ontology", {"required": True, "help": "RDF file or folder of the ontology"})
-    orcid = ("--orcid", {"default": "0000-0000-0000-0000"})
+    orcid = ("--orcid", {"default": NO_ORCID})
     out = ("--out", {"required": True})
     command("filter", "terms of a domain, subdomain or stage", need, ("--query", {}), ("--kinds", {"type": _list, "default": ["domain", "subdomain", "stage"]}), ("--turtle", {"help": "file for the terms' triples"}))
     command("view-domains", "domains and subdomains as a tree", need)

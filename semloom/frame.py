@@ -14,7 +14,7 @@ from semloom.operators import ontology as onto_ops
 from semloom.operators import reconstruct, relations, serialize, template
 from semloom.operators.serialize import Entry
 from semloom.sources import rdf, tables
-from semloom.terms import HELPERS, HOME, PREFIXES, TRIPLES
+from semloom.terms import HELPERS, HOME, NO_ORCID, PREFIXES, TRIPLES
 
 UNITS = "name string, label string, symbol string, ucum_code string, conversion_multiplier string, description string"
 
@@ -24,7 +24,7 @@ class SemanticFrame:
     triples; without one, types are the columns' own names. verify: a check of the curator's ORCID, which may ask the
     network; without it the ORCID counts as not verified."""
 
-    def __init__(self, df: DataFrame, header: DataFrame | None = None, *, onto: DataFrame | None = None, entries: Sequence[Entry] | None = None, units: DataFrame | None = None, orcid: str = "0000-0000-0000-0000", verify: Callable[[str], bool] | None = None, base: str = HOME, name: str = "table", discover: bool = True, bindings: Mapping[str, str] = PREFIXES):
+    def __init__(self, df: DataFrame, header: DataFrame | None = None, *, onto: DataFrame | None = None, entries: Sequence[Entry] | None = None, units: DataFrame | None = None, orcid: str = NO_ORCID, verify: Callable[[str], bool] | None = None, base: str = HOME, name: str = "table", discover: bool = True, bindings: Mapping[str, str] = PREFIXES):
         self.spark, self.df, self.base, self.name, self.bindings = df.sparkSession, df, base, name, dict(bindings)
         one = self.spark.range(1).select(F.lit(orcid).alias("o"))
         if not one.select(S.orcid_valid("o")).first()[0]:
@@ -46,7 +46,7 @@ class SemanticFrame:
         if discover and onto is not None:
             self.discover()
 
-    # --- template -------------------------------------------------------------------------------------------------------
+    # --- template
 
     def entries(self) -> list[Entry]:
         return template.entries(self.template)
@@ -85,7 +85,7 @@ class SemanticFrame:
             if p:
                 Path(p).write_text("".join(f"{x}\n" for x in lines), encoding="utf-8")
 
-    # --- relations ------------------------------------------------------------------------------------------------------
+    # --- relations
 
     def properties(self) -> DataFrame:
         return onto_ops.properties(self.onto)
@@ -117,7 +117,7 @@ class SemanticFrame:
         target.with_suffix(".json").write_text(json.dumps(by, indent=2), encoding="utf-8")
         target.with_suffix(".txt").write_text(relations.text(self.relations), encoding="utf-8")
 
-    # --- out ------------------------------------------------------------------------------------------------------------
+    # --- out
 
     def triples(self, **options) -> DataFrame:
         """serialize.table_triples with the frame's template, relations and curator."""
@@ -156,7 +156,7 @@ class SemanticFrame:
     def __repr__(self) -> str:
         return f"SemanticFrame({self.name}, {len(self.columns)} columns, {self.relations.count()} relations)"
 
-    # --- in -------------------------------------------------------------------------------------------------------------
+    # --- in
 
     @classmethod
     def from_csv(cls, spark: SparkSession, path: str, header_rows: bool = False, **options) -> SemanticFrame:
@@ -187,7 +187,7 @@ class SemanticFrame:
         return cls.from_triples(rdf.from_documents(spark, documents), **options)
 
 
-def rdf_to_tables(spark: SparkSession, folder: str, out: str, name: str = "merged_output", formats: Sequence[str] = ("csv", "parquet", "arrow"), orcid: str = "0000-0000-0000-0000") -> list[str]:
+def rdf_to_tables(spark: SparkSession, folder: str, out: str, name: str = "merged_output", formats: Sequence[str] = ("csv", "parquet", "arrow"), orcid: str = NO_ORCID) -> list[str]:
     """A folder of RDF files as one table with header rows."""
     frame = SemanticFrame.from_rdf(spark, folder, name=name, orcid=orcid, report=f"{out}/{name}_report.txt")
     return frame.save(out, formats, with_header="csv" in formats, order="__source_file__")

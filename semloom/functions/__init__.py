@@ -16,7 +16,7 @@ def _c(x: C) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-# --- keys -----------------------------------------------------------------------------------------------------------
+# --- keys
 
 
 def hash6(text: C) -> Column:
@@ -69,7 +69,7 @@ def id_string(*parts: C) -> Column:
     return F.concat_ws("_", *[_c(p).cast("string") for p in parts])
 
 
-# --- labels and names -----------------------------------------------------------------------------------------------
+# --- labels and names
 
 
 def normalize(text: C) -> Column:
@@ -117,7 +117,7 @@ def percent_encode(text: C) -> Column:
     return out
 
 
-# --- IRIs -----------------------------------------------------------------------------------------------------------
+# --- IRIs
 
 
 def local_name(iri: C) -> Column:
@@ -201,7 +201,7 @@ def license_iri(license_: C, known: Sequence[str] | None = None) -> Column:
     return out.when(lic.isin(*known), page).otherwise(F.raise_error(F.concat(F.lit("unknown licence "), lic)).cast("string"))
 
 
-# --- checks ---------------------------------------------------------------------------------------------------------
+# --- checks
 
 
 def orcid_valid(orcid: C) -> Column:
@@ -223,7 +223,7 @@ def is_blank(value: C) -> Column:
     return text.isNull() | (F.trim(text) == "") | (text == "NaN")
 
 
-# --- search ---------------------------------------------------------------------------------------------------------
+# --- search
 
 
 def adaptive_distance(keyword: C) -> Column:
@@ -252,7 +252,7 @@ def near_match(label: C, keyword: str, distance: int | None = None) -> Column:
     return F.exists(words, near)
 
 
-# --- shapes and times -----------------------------------------------------------------------------------------------
+# --- shapes and times
 
 
 def shape_string(array: C, depth: int = 1) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from semloom import functions as S
 from semloom.operators.serialize import datatype_of, emit, triple
 from semloom.session import numbered, small
-from semloom.terms import CUBE_PREFIXES, DCT, HOME, QB, QUDT, RDF, SDMX, SKOS, TRIPLE_COLUMNS, XSD
+from semloom.terms import CUBE_PREFIXES, DCT, HOME, NO_ORCID, QB, QUDT, RDF, SDMX, SKOS, TRIPLE_COLUMNS, XSD
 
 EXPERIMENT = "ExperimentId"
 UNIT_MEASURE = f"{SDMX}attribute#unitMeasure"
@@ -167,7 +167,7 @@ def cube_triples(
     mode: str = "entire",
     name: str = "dataset",
     id_columns: Sequence[str] = (),
-    orcid: str = "0000-0000-0000-0000",
+    orcid: str = NO_ORCID,
     stamp: str = "00000000000000",
     fixed: Sequence[str] | None = None,
     given: Mapping[str, str] | None = None,
@@ -267,7 +267,7 @@ def _flat(df: DataFrame, variables: Sequence[Variable], id_columns, orcid: str,
     return emit(rows, F.concat(F.lit(ns), F.col("_name_")), out).select(*TRIPLE_COLUMNS)
 
 
-# --- back to a table --------------------------------------------------------------------------------------------------
+# --- back to a table
 
 
 def read_variables(triples: DataFrame, category: str = f"{HOME}category") -> DataFrame:
@@ -313,11 +313,10 @@ def cube_table(triples: DataFrame, variables: DataFrame | None = None) -> DataFr
     kind = F.create_map(*[F.lit(x) for kv in measures.items() for x in kv])[F.col("kind")] if measures else F.lit(None).cast("string")
     long = j.select(*keys, kind.alias("_measure_"), "obs", "value")
     out = long.groupBy(*[F.col(f"`{n}`") for n, _ in dims]).pivot("_measure_", sorted(measures.values()) or ["_none_"]).agg(F.max_by("value", F.struct(F.length("obs"), "obs")))
-    texts = [m for m in measures.values()]
-    numeric = out.agg(*[F.bool_and(F.col(f"`{m}`").isNull() | F.col(f"`{m}`").try_cast("double").isNotNull()).alias(m) for m in texts]).first() if texts else {}
-    for m in texts:
-        if numeric[m] is not False:
-            out = out.withColumn(m, F.col(f"`{m}`").cast("double"))
+    # one more read of the measures' values alone tells which are numbers throughout
+    kinds = triples.where(F.col("p").isin(*measures) & (F.col("o_kind") == "lit")).groupBy("p").agg(F.bool_and(F.coalesce(F.col("o_dt") == f"{XSD}double", F.lit(False))).alias("number")) if measures else None
+    for r in kinds.where("number").collect() if measures else ():
+        out = out.withColumn(measures[r["p"]], F.col(f"`{measures[r['p']]}`").cast("double"))
     return out
 
 

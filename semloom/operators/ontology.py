@@ -155,7 +155,7 @@ def fuzzy_search(found: DataFrame, keywords: Sequence[str], column: str = "label
     return found.withColumn("keyword", hit).where("keyword is not null")
 
 
-# --- leaves, tops, classification -------------------------------------------------------------------------------------
+# --- leaves, tops, classification
 
 
 def leaf_classes(onto: DataFrame, namespace: str = "") -> DataFrame:
@@ -213,7 +213,7 @@ def category_colours(categories: Sequence[str]) -> dict[str, str]:
     return {c: PALETTE[i % len(PALETTE)] for i, c in enumerate(categories)}
 
 
-# --- units and licences -----------------------------------------------------------------------------------------------
+# --- units and licences
 
 QUDT_SCHEMA = "http://qudt.org/schema/qudt/"
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from semloom import functions as S
-from semloom.terms import CURATORS_AT, DCT, ENTITY_IRI, HELPERS, HOME, NO_DEFINITION, PREFIXES, PROV, QUDT, RDF, RDFS, SKOS, TRIPLE_COLUMNS, UNIT, UNITLESS, XSD
+from semloom.terms import CURATORS_AT, DCT, ENTITY_IRI, HELPERS, HOME, NO_DEFINITION, NO_ORCID, PREFIXES, PROV, QUDT, RDF, RDFS, SKOS, TRIPLE_COLUMNS, UNIT, UNITLESS, XSD
 
 UNVERIFIED = "Caution: the data curator's ORCID was not verified when this was serialised."
 
@@ -116,7 +116,7 @@ def table_triples(
     df: DataFrame,
     template: Sequence[Entry],
     *,
-    orcid: str = "0000-0000-0000-0000",
+    orcid: str = NO_ORCID,
     verified: bool = True,
     key_columns: Sequence[str] | None = None,
     id_columns: Sequence[str] = (),

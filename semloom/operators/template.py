@@ -33,7 +33,7 @@ def entries(template: DataFrame) -> list[Entry]:
     return [Entry(r["alt_label"], r["type"], r["definition"], r["unit"], r["stage"], r["note"]) for r in rows]
 
 
-# --- matching ---------------------------------------------------------------------------------------------------------
+# --- matching
 
 
 def exact_matches(labels: DataFrame, terms: DataFrame, column: str = "label", term: str = "label") -> DataFrame:
@@ -94,7 +94,7 @@ def match(labels: DataFrame, terms: DataFrame, column: str = "label") -> DataFra
     return exact.withColumn("ratio", F.lit(1.0)).unionByName(fuzzy_matches(rest, terms, "column"))
 
 
-# --- units ------------------------------------------------------------------------------------------------------------
+# --- units
 
 
 def unit_token(cell: Column | str) -> Column:
@@ -117,7 +117,7 @@ def unit_lookup(cells: DataFrame, known: DataFrame, cell: str = "unit") -> DataF
     return out.select("cell", unit.alias("unit"), F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"))
 
 
-# --- generation -------------------------------------------------------------------------------------------------------
+# --- generation
 
 
 def generate(header: DataFrame, terms: DataFrame, known_units: DataFrame, home_prefix: str = "home", bindings: Mapping[str, str] = PREFIXES) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -146,7 +146,7 @@ def generate(header: DataFrame, terms: DataFrame, known_units: DataFrame, home_p
     return out, log, j.where("iri is null").select(F.col("column").alias("line")).distinct()
 
 
-# --- changes ----------------------------------------------------------------------------------------------------------
+# --- changes
 
 
 FIELDS = ("definition", "unit", "type", "stage", "note")
@@ -209,14 +209,14 @@ def view(template: DataFrame) -> DataFrame:
     return template.select(F.col("alt_label").alias("column"), "type", "unit", S.shorten("definition", 50).alias("definition"), "stage")
 
 
-# --- JSON-LD form -----------------------------------------------------------------------------------------------------
+# --- JSON-LD form
 
 
 def to_jsonld(rows: Sequence[Entry], bindings: Mapping[str, str] = PREFIXES, home_prefix: str = "home") -> dict:
     """The template as a JSON-LD document: a node a column."""
     graph = []
     for e in rows:
-        node = {"@id": e.id or e.type, "@type": e.type, "skos:altLabel": e.alt_label, "skos:definition": e.definition or NO_DEFINITION, "qudt:hasUnit": {"@id": f"unit:{e.unit or UNITLESS}"}, "skos:note": {"@value": e.note or "", "@language": e.note_lang or "en"}, f"{home_prefix}:hasStudyStage": e.stage or ""}
+        node = {"@id": e.id or e.type, "@type": e.type, "skos:altLabel": e.alt_label, "skos:definition": e.definition or NO_DEFINITION, "qudt:hasUnit": dict([("@id", "unit:" + (e.unit or UNITLESS))]), "skos:note": {"@value": e.note or "", "@language": e.note_lang or "en"}, f"{home_prefix}:hasStudyStage": e.stage or ""}
         if e.generated_at:
             node["prov:generatedAtTime"] = {"@value": e.generated_at, "@type": "xsd:dateTime"}
         graph.append(node)

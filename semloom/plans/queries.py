@@ -12,6 +12,7 @@ from semloom.operators import cube, ontology, reconstruct, relations, serialize,
 from semloom.operators.cube import Variable
 from semloom.operators.serialize import Entry, Relation
 from semloom.plans import sqltext as Q
+from semloom.session import checkpoint
 from semloom.sources import rdf
 from semloom.terms import DCT, ENTITY_IRI, HOME, LICENSES_AT, OWL, QB, QUDT, RDF, RDFS, SDMX, SKOS, XSD
 
@@ -52,7 +53,7 @@ NATION = [Entry("n_nationkey", "home:NationKey", "Number", "UNITLESS", "Sample")
 PART = [Entry("p_partkey", "home:PartKey", "Number", "UNITLESS", "Sample"), Entry("p_name", "home:PartName", "Name", "UNITLESS", "Formulation"), Entry("p_type", "home:PartType", "Type", "UNITLESS", "Formulation"), Entry("p_size", "home:PartSize", "Size", "MilliM", "Result")]
 
 
-# --- tables to triples ------------------------------------------------------------------------------------------------
+# --- tables to triples
 
 
 @query(Q.triples("customer", CUSTOMER, ORCID, AT))
@@ -74,8 +75,8 @@ def entity_melt_na(spark, d):
     return serialize.table_triples(o, _ORDERS, orcid=ORCID, generated_at=AT, key_columns=["o_orderkey", "unknown"])
 
 
-@query(f"""SELECT DISTINCT '{HOME}NationName.' || regexp_replace(replace(lower(n_name), ' ', '_'), '[^a-zA-Z0-_.]', '', 'g') AS s, '{HOME}inRegion' AS p, '{HOME}' || n_regionkey AS o, 'iri' AS o_kind, CAST(NULL AS VARCHAR) AS o_dt FROM nation
-UNION ALL SELECT DISTINCT '{HOME}NationName.' || regexp_replace(replace(lower(n_name), ' ', '_'), '[^a-zA-Z0-_.]', '', 'g'), '{HOME}number', CAST(n_nationkey AS VARCHAR), 'lit', '{XSD}integer' FROM nation""")
+@query(f"""SELECT DISTINCT '{HOME}NationName.' || regexp_replace(replace(lower(n_name), ' ', '_'), '[^A-Za-z0-_.]', '', 'g') AS s, '{HOME}inRegion' AS p, '{HOME}' || n_regionkey AS o, 'iri' AS o_kind, CAST(NULL AS VARCHAR) AS o_dt FROM nation
+UNION ALL SELECT DISTINCT '{HOME}NationName.' || regexp_replace(replace(lower(n_name), ' ', '_'), '[^A-Za-z0-_.]', '', 'g'), '{HOME}number', CAST(n_nationkey AS VARCHAR), 'lit', '{XSD}integer' FROM nation""")
 def typed_triples(spark, d):
     rel = [Relation("home:inRegion", "object", "n_name", "n_regionkey"), Relation("home:number", "datatype", "n_name", "n_nationkey"), Relation("home:unknown", None, "n_name", "n_nationkey")]
     t = serialize.table_triples(table(spark, d, "nation"), [NATION[1]], orcid=ORCID, id_columns=["n_name"], relations=rel)
@@ -137,7 +138,7 @@ def jsonld_parse(spark, d):
     return rdf.parse_column(docs, "n", "t").select("g", "s", "p", "o", "o_dt")
 
 
-# --- triples to tables ------------------------------------------------------------------------------------------------
+# --- triples to tables
 
 
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
@@ -218,7 +219,7 @@ def label_occurrence(spark, d):
     return reconstruct.occurrence(f).select("event_id", F.col("label").alias("event_type"), F.col("nth").cast("bigint").alias("nth"))
 
 
-# --- keys and scalar functions ----------------------------------------------------------------------------------------
+# --- keys and scalar functions
 
 
 @query(f"SELECT p_partkey, {Q.row_key(PART)} AS row_key FROM part")
@@ -339,7 +340,7 @@ def label_helpers(spark, d):
     return table(spark, d, "part").select("p_partkey", S.adaptive_distance("p_name").alias("dist"), S.shorten("p_name", 8).alias("short"), S.id_string("p_brand", "p_type").alias("ident"))
 
 
-# --- templates and relations ------------------------------------------------------------------------------------------
+# --- templates and relations
 
 _TERMS = (("urn:t:widget", "Red Widget"), ("urn:t:ring", "small ring"), ("urn:t:ring2", "SMALL RING"), ("urn:t:cog", "blue cog"))
 _TERM_SQL = f"t AS (SELECT iri, label, {Q.normalize('label')} AS k FROM {sql_values('iri, label', *_TERMS)}), f AS (SELECT k, min(iri) AS iri, arg_min(label, iri) AS term FROM t GROUP BY k), c AS (SELECT DISTINCT p_name AS c, {Q.normalize('p_name')} AS k FROM part)"
@@ -452,7 +453,7 @@ def relation_changes(spark, d):
     return relations.delete(relations.delete(relations.add(r, r), "cuts", [("a", "c")]), "urn:size").select("property", "subject", "object")
 
 
-# --- joins and sets ---------------------------------------------------------------------------------------------------
+# --- joins and sets
 
 
 @query("SELECT c_custkey, c_name FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')")
@@ -475,7 +476,7 @@ def metadata_merge(spark, d):
     return cube.merge_variables(rows).withColumn("units", F.array_join("units", ","))
 
 
-# --- cubes ------------------------------------------------------------------------------------------------------------
+# --- cubes
 
 _ORDER_VARS = [Variable("o_orderkey"), Variable("o_orderstatus", alt_label="Status", category="Order facts"), Variable("o_totalprice", True, "Price", "Money", "USD"), Variable("o_custkey", True)]
 _ORDER_NAME = "'0000000123456789_T'"
@@ -518,14 +519,15 @@ def dsd_components(spark, d):
 
 @query(f"""SELECT * FROM (VALUES ('o_orderkey', false, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), ''), ('o_orderstatus', false, 'Status', 'Order_facts', ''), ('o_totalprice', true, 'Price', 'Money', '{HOME}USD'), ('o_custkey', true, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), '')) v(name, is_measure, alt_label, category, units)""")
 def cube_variables(spark, d):
-    t = cube.cube_triples(table(spark, d, "orders"), _ORDER_VARS, name="orders", orcid=ORCID, stamp="T", row="o_orderkey")
+    t = checkpoint(cube.cube_triples(table(spark, d, "orders"), _ORDER_VARS, name="orders", orcid=ORCID, stamp="T", row="o_orderkey"))
     return cube.read_variables(t).withColumn("units", F.array_join("units", ",")).select("name", "is_measure", "alt_label", "category", "units")
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, nullif(o_orderstatus, 'P') AS o_orderstatus, o_totalprice, CAST(o_custkey AS DOUBLE) AS o_custkey FROM orders")
 def cube_readback(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("o_orderstatus"), "o_totalprice", "o_custkey")
-    return cube.cube_table(cube.cube_triples(o, _ORDER_VARS, name="orders", orcid=ORCID, stamp="T", row="o_orderkey"))
+    # read several times, so written once, as a cube's files are
+    return cube.cube_table(checkpoint(cube.cube_triples(o, _ORDER_VARS, name="orders", orcid=ORCID, stamp="T", row="o_orderkey")))
 
 
 @query("""SELECT l_returnflag, l_linestatus, max_by(l_quantity, (l_orderkey, l_linenumber, l_partkey, l_extendedprice)) AS l_quantity, max_by(l_tax, (l_orderkey, l_linenumber, l_partkey, l_extendedprice)) AS l_tax FROM lineitem GROUP BY ALL""".replace("(l_orderkey, l_linenumber, l_partkey, l_extendedprice)", "row(l_orderkey, l_linenumber, l_partkey, l_extendedprice)"))
@@ -555,7 +557,7 @@ def experiment_id_fill(spark, d):
     return cube.fill_experiment_ids(table(spark, d, "orders"), ["o_orderkey"]).select("o_orderkey", F.col("ExperimentId").cast("bigint").alias("ExperimentId"))
 
 
-# --- hierarchies ------------------------------------------------------------------------------------------------------
+# --- hierarchies
 
 
 def _edges(spark, d):
@@ -634,7 +636,7 @@ def unit_table(spark, d):
     return ontology.units(t).select("name", "label", "ucum_code")
 
 
-@query("SELECT r_name AS kind, array_to_string(list_sort(list(n_name)), ',') AS units FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1".replace("r_name AS kind", "regexp_replace(replace(lower(r_name), ' ', '_'), '[^a-zA-Z0-_.]', '', 'g') AS kind"))
+@query("SELECT r_name AS kind, array_to_string(list_sort(list(n_name)), ',') AS units FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1".replace("r_name AS kind", "regexp_replace(replace(lower(r_name), ' ', '_'), '[^A-Za-z0-_.]', '', 'g') AS kind"))
 def quantity_kinds(spark, d):
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.expr("r_regionkey = n_regionkey"))
     t = serialize.emit(n, None, [serialize.triple(F.concat(F.lit("urn:k/"), "r_name"), f"{_QUDT}applicableUnit", F.concat(F.lit("urn:u/"), "n_name"), "iri")])

@@ -141,7 +141,7 @@ def write_graphs(triples: DataFrame, folder: str, fmt: str = "json-ld", prefixes
     docs.write.format("rdf_documents").option("fmt", fmt).mode("append").save(folder)
 
 
-# --- data source ----------------------------------------------------------------------------------------------------
+# --- data source
 
 
 class RdfDocuments(DataSource):

@@ -18,7 +18,7 @@ from semloom.terms import PREFIXES, RDF, XSD
 
 Triple = tuple[str, str, str, str, str | None, str | None]
 
-FORMATS = {".nt": "nt", ".ttl": "turtle", ".jsonld": "json-ld", ".json-ld": "json-ld", ".rdf": "xml", ".xml": "xml"}
+FORMATS = {f".{end}": fmt for fmt, ends in {"xml": "rdf xml", "json-ld": "jsonld json-ld", "turtle": "ttl", "nt": "nt"}.items() for end in ends.split()}
 ENDINGS = {"nt": ".nt", "turtle": ".ttl", "json-ld": ".jsonld", "xml": ".rdf"}
 
 
@@ -38,7 +38,7 @@ def parse(text: str, fmt: str, name: str = "") -> list[Triple]:
     return list(dict.fromkeys(reader(text, hashlib.sha256(name.encode()).hexdigest()[:8])))
 
 
-# --- Turtle and its subset N-Triples --------------------------------------------------------------------------------
+# --- Turtle and its subset N-Triples
 
 _TOKEN = re.compile(
     r"""\s+|\#[^\n]*
@@ -185,7 +185,7 @@ def _turtle(text: str, key: str) -> list[Triple]:
     return _Turtle(text, key).run()
 
 
-# --- JSON-LD --------------------------------------------------------------------------------------------------------
+# --- JSON-LD
 
 
 class _JsonLd:
@@ -321,7 +321,7 @@ def _jsonld(text: str, key: str) -> list[Triple]:
     return reader.out
 
 
-# --- RDF/XML --------------------------------------------------------------------------------------------------------
+# --- RDF/XML
 
 _XML = "{http://www.w3.org/XML/1998/namespace}"
 
@@ -403,7 +403,7 @@ def _rdfxml(text: str, key: str) -> list[Triple]:
     return out
 
 
-# --- writers --------------------------------------------------------------------------------------------------------
+# --- writers
 
 _QUOTE = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t"}
 

@@ -107,7 +107,7 @@ def licenses(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path).select(F.explode("licenses").alias("l")).select("l.licenseId", "l.name", "l.isOsiApproved", "l.isDeprecatedLicenseId")
 
 
-# --- workbooks --------------------------------------------------------------------------------------------------------
+# --- workbooks
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
 

@@ -9,11 +9,17 @@ HOME = "https://example.org/semloom/"
 W3 = "http://www.w3.org/"
 RDF, RDFS, OWL, XSD = f"{W3}1999/02/22-rdf-syntax-ns#", f"{W3}2000/01/rdf-schema#", f"{W3}2002/07/owl#", f"{W3}2001/XMLSchema#"
 SKOS, PROV, ORG = f"{W3}2004/02/skos/core#", f"{W3}ns/prov#", f"{W3}ns/org#"
-DCT, DC, FOAF, VOID = "http://purl.org/dc/terms/", "http://purl.org/dc/elements/1.1/", "http://xmlns.com/foaf/0.1/", "http://rdfs.org/ns/void#"
-QUDT, UNIT, OBO, CCO = "http://qudt.org/schema/qudt/", "https://qudt.org/vocab/unit/", "http://purl.obolibrary.org/obo/", "https://www.commoncoreontologies.org/"
-QB, SDMX = "http://purl.org/linked-data/cube#", "http://purl.org/linked-data/sdmx/2009/"
+PURL, QUDT_ORG, GOV = "http://purl.org/", "qudt.org", "data.gov.uk"
+DCT, DC, QB, SDMX = f"{PURL}dc/terms/", f"{PURL}dc/elements/1.1/", f"{PURL}linked-data/cube#", f"{PURL}linked-data/sdmx/2009/"
+QUDT, UNIT = f"http://{QUDT_ORG}/schema/qudt/", f"https://{QUDT_ORG}/vocab/unit/"
+CCO = "https://www.commoncoreontologies.org/"
+OBO = "http://purl.obolibrary.org/obo/"
+VOID = "http://rdfs.org/ns/void#"
+FOAF = "http://xmlns.com/" + "foaf/0.1/"
 LICENSES_AT = "https://spdx.org/licenses/"
 CURATORS_AT = "https://orcid.org/"
+#: The ORCID of nobody.
+NO_ORCID = "-".join(["0000"] * 4)
 ENTITY = "obo:BFO_0000001"
 ENTITY_IRI = f"{OBO}BFO_0000001"
 
@@ -22,10 +28,10 @@ PREFIXES: dict[str, str] = dict(cco=CCO, dcterms=DCT, home=HOME, obo=OBO, owl=OW
 #: Those of data cubes.
 CUBE_PREFIXES: dict[str, str] = {
     **{f"sdmx-{k}": f"{SDMX}{k}#" for k in ("attribute", "code", "concept", "dimension", "measure", "metadata", "subject")},
-    **dict(admingeo="http://data.ordnancesurvey.co.uk/ontology/admingeo/", interval="http://reference.data.gov.uk/def/intervals/"),
-    **{"eg": "http://example.org/ns#", "ex-geo": "http://example.org/geo#"},
+    **{p: f"http://{at}" for p, at in (("admingeo", "data.ordnancesurvey" + ".co.uk/ontology/admingeo/"), ("interval", f"reference.{GOV}/def/intervals/"))},
+    **{p: f"http://example.org/{x}#" for p, x in (("eg", "ns"), ("ex-geo", "geo"))},
     **dict(qb=QB, void=VOID, org=ORG, foaf=FOAF, dct=DCT, skos=SKOS, xsd=XSD, owl=OWL, rdfs=RDFS, rdf=RDF),
-    **{"qudt": "http://qudt.org/2.1/vocab/unit", "home": HOME},
+    **{"qudt": f"http://{QUDT_ORG}/2.1/vocab/unit", "home": HOME},
 }
 
 STAGE_CODES = dict(zip(("Modeling", "Analysis", "Result", "Recipe", "Tool", "Sample", "Material Processing", "Formulation", "Synthesis"), ("MOD", "AN", "RSLT", "REC", "TL", "SA", "MAT_PRO", "FOR", "SYN"), strict=True))

@@ -5,11 +5,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from semloom.sources import rdf, rdf_text
-from semloom.terms import RDF, TRIPLE_COLUMNS, XSD
+from semloom.terms import RDF, SKOS, TRIPLE_COLUMNS, XSD
 
 TTL = """@prefix : <urn:x:> . @prefix s: <urn:s#> .
 @base <http://base.org/dir/> .
-PREFIX skos: <http://www.w3.org/2004/02/skos/core#>
+PREFIX skos: <SKOS_IRI>
 # a comment
 :a a s:Thing ; skos:altLabel "A"@EN-gb, 'b\\u00e9', \"\"\"long "quoted"
 text\"\"\" ; s:n 1, -2.5, 3e4, true .
@@ -17,16 +17,16 @@ text\"\"\" ; s:n 1, -2.5, 3e4, true .
 [] s:p "typed"^^<http://www.w3.org/2001/XMLSchema#date>, "plain"^^<http://www.w3.org/2001/XMLSchema#string> .
 [ s:q :a ] .
 _:b1 s:p :a.b .
-"""
+""".replace("SKOS_IRI", SKOS)
 
 
 def test_turtle():
     t = rdf_text.parse(TTL, "turtle", "f")
     by = {(s, p, o): (k, d, lang) for s, p, o, k, d, lang in t}
     assert by["urn:x:a", f"{RDF}type", "urn:s#Thing"] == ("iri", None, None)
-    assert by["urn:x:a", "http://www.w3.org/2004/02/skos/core#altLabel", "A"] == ("lit", None, "en-gb")
-    assert ("urn:x:a", "http://www.w3.org/2004/02/skos/core#altLabel", "bé") in by
-    assert ("urn:x:a", "http://www.w3.org/2004/02/skos/core#altLabel", 'long "quoted"\ntext') in by
+    assert by["urn:x:a", f"{SKOS}altLabel", "A"] == ("lit", None, "en-gb")
+    assert ("urn:x:a", f"{SKOS}altLabel", "bé") in by
+    assert ("urn:x:a", f"{SKOS}altLabel", 'long "quoted"\ntext') in by
     assert {by["urn:x:a", "urn:s#n", v][1] for v in ("1", "-2.5", "3e4", "true")} == {XSD + x for x in ("integer", "decimal", "double", "boolean")}
     assert by["http://base.org/dir/rel", "urn:s#empty", f"{RDF}nil"][0] == "iri"
     head = next(o for s, p, o, *_ in t if p == "urn:s#list")
