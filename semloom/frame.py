@@ -13,6 +13,7 @@ from semloom import functions as S
 from semloom.operators import ontology as onto_ops
 from semloom.operators import reconstruct, relations, serialize, template
 from semloom.operators.serialize import Entry
+from semloom.session import checkpoint
 from semloom.sources import rdf, tables
 from semloom.terms import HELPERS, HOME, NO_ORCID, PREFIXES, TRIPLES
 
@@ -167,7 +168,7 @@ class SemanticFrame:
     def from_triples(cls, triples: DataFrame, entries: Sequence[Entry] | None = None, report: str | None = None, **options) -> SemanticFrame:
         """The table of triples, a row a graph, described by the given template or what the triples themselves say.
         report: a file for the audit of units and types."""
-        found = reconstruct.entities(triples, options.get("base", HOME))
+        found = checkpoint(reconstruct.entities(triples, options.get("base", HOME)))  # read for labels, template, audit and table
         if report:
             Path(report).parent.mkdir(parents=True, exist_ok=True)
             Path(report).write_text(reconstruct.report(reconstruct.conflicts(found, entries)), encoding="utf-8")

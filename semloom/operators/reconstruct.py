@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from semloom import functions as S
 from semloom.operators.serialize import Entry, Relation, expand_name, local_type
-from semloom.session import small
+from semloom.session import checkpoint, small
 from semloom.terms import HELPERS, HOME, NO_DEFINITION, PREFIXES, QUDT, RDF, SKOS, UNIT, UNITLESS
 
 
@@ -71,7 +71,7 @@ def conflicts(found: DataFrame, template: Sequence[Entry] | None = None, binding
     given = spark.createDataFrame([(e.alt_label, expand_name(e.type, bindings), UNIT + e.unit if e.unit else None, "template") for e in template or ()], "label string, t string, u string, origin string")
     seen = first_definitions(found).select("label", F.col("type").alias("t"), F.col("unit").alias("u"), "origin")
     expected = given.unionByName(seen.join(F.broadcast(given.select("label")), "label", "left_anti"))
-    both = found.join(small(expected), "label")
+    both = found.join(small(checkpoint(expected)), "label")  # a row a label, of a pass over all entities
     issue = lambda kind, want, got: F.when(F.col(want).isNotNull() & F.col(got).isNotNull() & (F.col(want) != F.col(got)), F.struct(F.lit(kind).alias("kind"), F.col(want).alias("expected"), F.col(got).alias("found")))
     each = F.filter(F.array(issue("unit", "u", "unit"), issue("type", "t", "type")), lambda x: x.isNotNull())
     return both.select("g", "label", F.explode(each).alias("i"), F.col("origin").alias("expected_from")).select("g", "label", "i.*", "expected_from")
