@@ -148,7 +148,8 @@ def sample(docs: DataFrame, lang_col: str, text_col: str, id_col: str, train_cha
     counts = d.groupBy("l", "b").agg(F.sum("n").alias("m"))
     before = F.coalesce(F.sum("m").over(by.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     need = counts.withColumn("before", before).where(F.col("before") < train_chars).select("l", "b")
-    rows = d.join(need, ["l", "b"], "left_semi").withColumn("sum", F.sum("n").over(by.orderBy("b", "h", "i", "x").rowsBetween(Window.unboundedPreceding, 0)))
+    # at most a bucket a character of the bound and language, far fewer with texts of usual length
+    rows = d.join(F.broadcast(need), ["l", "b"], "left_semi").withColumn("sum", F.sum("n").over(by.orderBy("b", "h", "i", "x").rowsBetween(Window.unboundedPreceding, 0)))
     texts: dict[str, list[str]] = {}
     for r in rows.where(F.col("sum") <= train_chars).select("l", "sum", "x").collect():
         texts.setdefault(r["l"], []).append((r["sum"], r["x"]))
