@@ -42,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
     command("template", "a metadata template for a CSV file", ("--csv", {"required": True}), onto, out, ("--header-rows", {"action": "store_true"}))
     command("serialize", "a CSV file as linked data", ("--csv", {"required": True}), ("--template", {}), onto, out, orcid, ("--header-rows", {"action": "store_true"}), ("--format", {"default": "json-ld"}), ("--key-columns", {"type": _list}), ("--id-columns", {"type": _list, "default": []}), ("--relations", {"type": json.loads, "help": 'JSON: {"property": [["subject", "object"]]}'}), ("--license", {}), ("--bulk", {"action": "store_true"}))
     command("deserialize", "a folder of linked data as tables", ("--folder", {"required": True}), out, orcid, ("--name", {"default": "merged_output"}), ("--formats", {"type": _list, "default": ["csv", "parquet", "arrow"]}))
-    command("cube", "a data template workbook as a data cube, or a cube as a table", ("--workbook", {}), ("--namespaces", {}), ("--read", {"help": "RDF of a cube to read back"}), out, orcid, ("--mode", {"choices": ["entire", "rows", "flat"], "default": "entire"}), ("--prefix", {"default": "home"}), ("--id-columns", {"type": _list, "default": []}), ("--name", {"default": "dataset"}), ("--stamp", {"default": "00000000000000"}), ("--format", {"default": "turtle"}))
+    command("cube", "a data template workbook as a data cube, or a cube as a table", ("--workbook", {}), ("--namespaces", {}), ("--read", {"help": "RDF of a cube to read back"}), out, orcid, ("--mode", {"choices": ["entire", "rows", "flat"], "default": "entire"}), ("--prefix", {"default": "home"}), ("--id-columns", {"type": _list, "default": []}), ("--name", {"default": "dataset"}), ("--stamp", {"default": "00000000000000"}), ("--format", {"default": "turtle"}), ("--hashed", {"action": "store_true", "help": "Turtle, JSON-LD and its SHA-256 in folders of their own"}))
     return p
 
 
@@ -118,12 +118,14 @@ def _cube(spark: SparkSession, a: argparse.Namespace) -> None:
         if problem:
             print(problem, file=sys.stderr)
     triples = cube.cube_triples(df, variables, mode=a.mode, name=a.name, id_columns=a.id_columns, orcid=a.orcid, stamp=a.stamp, given=given, user_prefix=a.prefix)
-    if a.mode == "entire":
+    if a.hashed:
+        rdf.write_hashed(triples.where("g is not null"), a.out)
+    elif a.mode == "entire":
         rdf.write_document(triples, f"{a.out}/{a.name}{rdf.rdf_text.ENDINGS[a.format]}", a.format)
     else:
         rdf.write_graphs(triples.where("g is not null"), a.out, a.format)
-        if a.mode == "rows":
-            rdf.write_document(triples.where("g is null"), f"{a.out}/structure{rdf.rdf_text.ENDINGS[a.format]}", a.format)
+    if a.mode == "rows":
+        rdf.write_document(triples.where("g is null"), f"{a.out}/structure{rdf.rdf_text.ENDINGS[a.format]}", a.format)
 
 
 if __name__ == "__main__":

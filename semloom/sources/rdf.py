@@ -141,6 +141,17 @@ def write_graphs(triples: DataFrame, folder: str, fmt: str = "json-ld", prefixes
     docs.write.format("rdf_documents").option("fmt", fmt).mode("append").save(folder)
 
 
+def write_hashed(triples: DataFrame, folder: str, prefixes: Mapping[str, str] = PREFIXES) -> None:
+    """Each graph as folder/ttl/NAME.ttl and folder/jsonld/NAME.jsonld, with the SHA-256 of the latter's bytes in
+    folder/hash/NAME.jsonld.sha256. Equal graphs give equal texts, so the hash holds for the file written beside it."""
+    triples.sparkSession.dataSource.register(RdfDocuments)
+    for kind, fmt in (("ttl", "turtle"), ("jsonld", "json-ld")):
+        write_graphs(triples, f"{folder}/{kind}", fmt, prefixes)
+    digest = F.sha2(F.col("document").cast("binary"), 256).alias("document")
+    hashes = documents(triples, "json-ld", prefixes).select("g", digest)
+    hashes.write.format("rdf_documents").option("ending", ".jsonld.sha256").mode("append").save(f"{folder}/hash")
+
+
 # --- data source
 
 
@@ -184,12 +195,13 @@ class _Reader(DataSourceReader):
 
 class _Writer(DataSourceWriter):
     def __init__(self, options):
-        self.path, self.fmt = options["path"], options.get("fmt", "json-ld")
+        self.path = options["path"]
+        self.ending = options.get("ending") or rdf_text.ENDINGS[options.get("fmt", "json-ld")]
 
     def write(self, iterator):
         folder = _local(self.path)
         folder.mkdir(parents=True, exist_ok=True)
         for row in iterator:
             name = quote(str(row["g"]).rstrip("/").rsplit("/", 1)[-1], safe="-_.")
-            (folder / f"{name}{rdf_text.ENDINGS[self.fmt]}").write_text(row["document"], encoding="utf-8")
+            (folder / f"{name}{self.ending}").write_text(row["document"], encoding="utf-8")
         return WriterCommitMessage()

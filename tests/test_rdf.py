@@ -130,3 +130,14 @@ def test_graph_files(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == [f"{i}.ttl" for i in range(5)]
     back = spark.read.format("rdf_documents").load(str(tmp_path / "out"))
     assert {r.s for r in back.collect()} == {f"urn:s{i}" for i in range(5)}
+
+
+def test_hashed_files(spark, tmp_path):
+    import hashlib
+
+    t = spark.createDataFrame([(f"urn:g/{i}", f"urn:s{i}", "urn:p", "é", "lit", None, None) for i in range(3)], "g string, s string, p string, o string, o_kind string, o_dt string, o_lang string")
+    rdf.write_hashed(t, str(tmp_path / "out"))
+    for i in range(3):
+        data = (tmp_path / f"out/jsonld/{i}.jsonld").read_bytes()
+        assert (tmp_path / f"out/hash/{i}.jsonld.sha256").read_text() == hashlib.sha256(data).hexdigest()
+        assert (tmp_path / f"out/ttl/{i}.ttl").exists()
