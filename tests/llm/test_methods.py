@@ -27,7 +27,7 @@ def documents():
     return pd.read_parquet(f"{SF}/documents.parquet")
 
 
-# --- 1 near duplicates ------------------------------------------------------------------------------------------------
+# --- 1 near duplicates
 
 
 def all_prints(texts):
@@ -87,7 +87,7 @@ def test_components(spark):
     assert r == {**{i: 0 for i in range(1, 41)}, 101: 100, 102: 100, 200: 0}
 
 
-# --- 2 neighbours -----------------------------------------------------------------------------------------------------
+# --- 2 neighbours
 
 
 @pytest.mark.parametrize("shard", [16_384, 150])
@@ -120,7 +120,7 @@ def test_graph_of_clusters():
     assert recall >= 0.9
 
 
-# --- 3 quality --------------------------------------------------------------------------------------------------------
+# --- 3 quality
 
 
 def test_held_out_accuracy(spark):
@@ -146,7 +146,7 @@ def test_features_stay_in_their_rows():
     assert word_pairs("x x") == word_pairs("yes yes") != word_pairs("x yes")
 
 
-# --- 4 secrets --------------------------------------------------------------------------------------------------------
+# --- 4 secrets
 
 KEY = "AKIA" + "ABCDEFGHIJKLMN23"
 WAYS = {
@@ -191,7 +191,7 @@ def test_planted_tokens_are_found(documents):
         assert any(f.start == at for f in secrets.scan(t))
 
 
-# --- 5 winnowing ------------------------------------------------------------------------------------------------------
+# --- 5 winnowing
 
 
 def brute_winnow(text, k, w):
@@ -229,7 +229,7 @@ def test_match_guarantee(documents):
     assert set(h[: n[0]].tolist()) & set(h[n[0] :].tolist())
 
 
-# --- 6 chat -----------------------------------------------------------------------------------------------------------
+# --- 6 chat
 
 
 @settings(max_examples=300, deadline=None)
@@ -275,7 +275,7 @@ def test_rendered_windows(spark):
     assert {k: v for k, v in got.items() if v} == dict(want)
 
 
-# --- 7 BPE ------------------------------------------------------------------------------------------------------------
+# --- 7 BPE
 
 SOME = st.text(alphabet=st.sampled_from(list("abcdefgheilnorst  \n\t'.,!12é漢🙂ß-_")), max_size=80)
 
@@ -318,7 +318,7 @@ def test_long_piece_takes_linear_steps():
     assert e.decode(e.encode("ab" * 50_000).tolist()) == b"ab" * 50_000
 
 
-# --- 8 URLs -----------------------------------------------------------------------------------------------------------
+# --- 8 URLs
 
 
 def test_reputation_is_its_sql(spark):
@@ -344,7 +344,7 @@ def test_shrinkage(spark):
     assert r["b.good.org"].p_bad < r["new.spam.com"].p_bad  # so do hosts of one page
 
 
-# --- 9 languages ------------------------------------------------------------------------------------------------------
+# --- 9 languages
 
 
 def brute_phrases(x: bytes, corpus: bytes, block: int) -> int:
@@ -394,7 +394,7 @@ def test_noise_is_rejected(spark):
     assert not r[-1].keep and not r[-2].keep
 
 
-# --- 10 packing -------------------------------------------------------------------------------------------------------
+# --- 10 packing
 
 
 @settings(max_examples=100, deadline=None)
@@ -439,7 +439,7 @@ def test_packing_is_exact(spark, documents, bucket):
     assert len(bins) <= -(-total // packing.CAPACITY) * 1.03 + 1
 
 
-# --- the pipeline -----------------------------------------------------------------------------------------------------
+# --- the pipeline
 
 
 def test_pipeline_is_its_stages(spark, tmp_path):
