@@ -9,12 +9,13 @@ An automaton of all tokens lists those that end at each byte, longest first. Wor
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries that an encoder keeps of pieces and of words; then it starts anew. They only save time.
 KEEP = 300_000
+#: Words whose numbers of tokens an encoder keeps, likewise; about 150 bytes each.
+KEEP_SIZES = 1_500_000
 
 
 def load(path: str) -> dict[bytes, int]:
@@ -52,6 +55,7 @@ class Encoder:
         self.split = regex.compile(pattern)
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.words = _Words(self)
+        self.sizes = _Sizes(self)
 
     def _halves(self, token: bytes) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a byte, or where its merges lead elsewhere."""
@@ -137,8 +141,8 @@ class Encoder:
                 self.pieces[s] = found
         return found
 
-    def encode(self, text: str) -> np.ndarray:
-        """int32 ids of the text."""
+    def _parts(self, text: str) -> Iterable[tuple[int, ...]]:
+        """Ids of the text, some at a time."""
         if "  " in text or _ODD.search(text):  # spaces beside other white space: the pieces depend on the whole run
             parts = map(self.piece, self.split.findall(text))
         else:  # else a piece starts at each space, so words with the space before them are looked up
@@ -146,13 +150,44 @@ class Encoder:
             parts = chain([tuple(chain.from_iterable(map(self.piece, self.split.findall(first))))], map(self.words.__getitem__, rest))
             if len(self.words) > KEEP:
                 self.words.clear()
-        return np.fromiter(chain.from_iterable(parts), np.int32)
+        return parts
+
+    def encode(self, text: str) -> np.ndarray:
+        """int32 ids of the text."""
+        return np.fromiter(chain.from_iterable(self._parts(text)), np.int32)
+
+    def count(self, text: str) -> int:
+        """Number of the text's ids."""
+        return sum(map(len, self._parts(text)))
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """count() of each text, 0 of a null. Words are split and numbered by Arrow, so each is looked up once."""
+        odd = pc.fill_null(pc.match_substring_regex(texts, _ODD_RE2), False).to_numpy(zero_copy_only=False)
+        out = np.zeros(len(texts), np.int64)
+        plain = np.flatnonzero(~odd & texts.is_valid().to_numpy(zero_copy_only=False))
+        if len(plain):
+            lists = pc.split_pattern(texts.take(pa.array(plain)), " ")
+            off = lists.offsets.to_numpy()[:-1]
+            flat = lists.flatten().dictionary_encode()
+            if len(self.sizes) > KEEP_SIZES:
+                self.sizes.clear()
+            known = np.fromiter(map(self.sizes.__getitem__, flat.dictionary.to_pylist()), np.int64, len(flat.dictionary))
+            size = known[flat.indices.to_numpy()]
+            first = flat.take(pa.array(off)).cast(texts.type).to_pylist()  # has no space before it
+            size[off] = [sum(map(len, map(self.piece, self.split.findall(w)))) for w in first]
+            out[plain] = np.add.reduceat(size, off)
+        for i in np.flatnonzero(odd):
+            out[i] = self.count(texts[int(i)].as_py())
+        return out
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
 _ODD = regex.compile(r"[^\S ] | [^\S ]| \Z|\A ")
+#: The same and two spaces, in the words of Arrow's expressions, whose \s is ASCII's.
+_SPACE = r"[\t-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ODD_RE2 = rf"{_SPACE} | {_SPACE}|  | \z|\A "
 
 
 class _Words(dict):
@@ -178,6 +213,24 @@ class _Words(dict):
         return (_Words, (self.encoder,))
 
 
+class _Sizes(dict):
+    """Word without the space before it -> number of ids of both."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> int:
+        e = self.encoder
+        found = sum(map(len, map(e.piece, e.split.findall(" " + word))))
+        if len(word) <= 64:
+            self[word] = found
+        return found
+
+    def __reduce__(self):
+        return (_Sizes, (self.encoder,))
+
+
 class Text:
     """A text that is kept encoded while it changes. Each piece holds the last token of each of its prefixes."""
 
@@ -254,6 +307,21 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     return d.mapInArrow(run, "id bigint, tokens array<int>, n_tokens int").withColumnRenamed("id", id_col)
 
 
+def count(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY, pattern: str = PIECES) -> DataFrame:
+    """(id, n_tokens) of every row of docs, as encode() has them, without the tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path, pattern)
+        for b in batches:
+            for s in text_slices(b, "x"):
+                x = s.column("x")
+                n = pa.array(e.counts(x).astype(np.int32), mask=x.is_null().to_numpy(zero_copy_only=False))
+                yield pa.record_batch([s.column("id"), n], names=["id", "n_tokens"])
+
+    d = pick(docs, id=id_col, x=text_col).select(F.col("id").cast("bigint"), "x")
+    return d.mapInArrow(run, "id bigint, n_tokens int").withColumnRenamed("id", id_col)
+
+
 def decode(encoded: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens", path: str = VOCABULARY) -> DataFrame:
     """(id, text) of every row; null tokens give a null text, and bytes that aren't UTF-8 become U+FFFD."""
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from semloom.llm import bpe
 from semloom.llm.common import checkpoint, n_shuffle, pick
 
 CAPACITY = 4096
@@ -110,6 +111,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_c
     return packed.select(F.col("bin").alias("bin_id"), "slot", "offset", F.col("doc_id").alias(id_col), "copy", (F.col("part") * capacity).alias("start"), "size", "fill")
 
 
+def pack_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+    """pack() by the tokens that the encoder gives each text, so that start, size and fill are places in its ids."""
+    return pack(bpe.count(docs, id_col, text_col), id_col, size_col="n_tokens", capacity=capacity)
+
+
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: where each kept document lies in the packed sequences."""
-    return pack(docs)
+    """Pipeline stage, the last: where each kept document lies in the packed sequences, by the encoder's tokens."""
+    return pack_tokens(docs)

@@ -16,7 +16,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from semloom.llm import bpe, chat, hnsw, langid, packing, quality, secrets, simhash, urlrep, winnow
+from semloom.llm import bpe, chat, hnsw, langid, packing, quality, queries, secrets, simhash, urlrep, winnow
 from semloom.llm.common import span_hashes, text_bytes, text_slices
 
 SF = "/root/testdata/sf0.01"
@@ -439,6 +439,23 @@ def test_packing_is_exact(spark, documents, bucket):
     assert len(bins) <= -(-total // packing.CAPACITY) * 1.03 + 1
 
 
+@pytest.mark.parametrize("run", [queries.op10_best_fit_packing, lambda spark, sf: packing.pack_stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)])
+def test_packing_counts_real_tokens(spark, documents, run):
+    got, fill = defaultdict(int), defaultdict(int)
+    for r in run(spark, SF).collect():
+        got[r.doc_id] += r.size
+        fill[r.bin_id] += r.size
+    assert got == {i: len(bpe.encoder().encode(t)) for i, t in zip(documents.doc_id, documents.text, strict=True) if t}
+    assert max(fill.values()) <= packing.CAPACITY
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.text(alphabet="abé,'1 \n\t\x1c\x85\xa0\u2003\u3000", max_size=12), max_size=6))
+def test_counts_are_those_of_the_encoding(texts):
+    e = bpe.encoder()
+    assert e.counts(pa.array(texts, pa.string())).tolist() == [len(e.encode(t)) if t else 0 for t in texts]
+
+
 # --- the pipeline
 
 
