@@ -9,7 +9,6 @@ keeps a map of its characters to spans of the original text, and findings are re
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import re
@@ -40,7 +39,7 @@ _NAMES = ("token", "secret", "passwd", "password", "api_key", "apikey", "api-key
 _ASSIGNED = re.compile(r"(?i)(?:token|secret|passwo?r?d|api[_-]?key|access[_-]?key|auth_key|client_key)[\w-]{0,32}[\"']?[ \t]{0,8}(?:=>|:=|=|:)[ \t]{0,8}[\"']?(?P<s>[A-Za-z0-9_\-./+=]{16,})")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\x[0-9A-Fa-f]{2})+|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)*={0,2}")
 #: A compressed layer that unpacks to more characters than this is reported as rule "oversize_layer", not unpacked.
 MAX_UNPACKED = 1 << 26
 
@@ -162,49 +161,84 @@ def _readable(data: bytes) -> str | None:
     return text if text and odd * 20 <= len(text) else None
 
 
-def _unpacked(data: bytes) -> tuple[str, bytes] | None:
-    """(kind, content) of a compressed stream; content is empty beyond MAX_UNPACKED."""
-    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 1 and (data[0] << 8 | data[1]) % 31 == 0:
-        kind, stream = ("gzip", zlib.decompressobj(31)) if data[0] == 0x1F else ("zlib", zlib.decompressobj())
-    elif data[:3] == b"BZh":
-        kind, stream = "bzip2", bz2.BZ2Decompressor()
-    else:
-        return None
-    try:
-        out = stream.decompress(data, MAX_UNPACKED + 1)
-    except (zlib.error, OSError, EOFError):
-        return None
-    return kind, out if len(out) <= MAX_UNPACKED else b""
+#: Stretches of UTF-8 without control characters that may hold a secret or a layer (the shortest secret, of url_password, takes 10).
+_STRETCH = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|\xed[\x80-\x9f][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){10,}")
+_PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\x78[\x01\x5e\x9c\xda]")
 
 
-def _based(layer: Layer) -> Iterator[Layer | Finding]:
-    for m in _BASE64.finditer(layer.text):
-        s = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(s) % 4 == 1:
-            continue
+def _stream(data: memoryview, kind: str) -> tuple[bytes, int, bool]:
+    """(content, bytes taken, whether it ended) of the stream, and of those of its kind that follow at once."""
+    out, at, ended = b"", 0, False
+    while at < len(data) and (not at or (m := _PACKED.match(data, at)) and _kind(m[0]) == kind):
+        stream = bz2.BZ2Decompressor() if kind == "bzip2" else zlib.decompressobj(31 if kind == "gzip" else 15)
         try:
-            data = base64.b64decode(s + "=" * (-len(s) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        path, packed, place = (*layer.path, "base64"), False, layer.place(*m.span())
-        while inner := _unpacked(data):
-            path, data, packed = (*path, inner[0]), inner[1], True
-            if not data:
-                yield Finding("oversize_layer", ">".join(path), *place, m[0])
-                break
-        text = _readable(data)
-        if text is None:
-            continue
-        if packed:
-            yield Layer(text, path, [0], [(*place, False)])
-            continue
-        at, spans, size, byte = [], [], 0, 0  # each character comes from the base64 digits that hold its bits
-        for c in text:
+            more = stream.decompress(data[at:], MAX_UNPACKED + 1 - len(out))
+        except (zlib.error, OSError, EOFError):
+            break
+        out, ended = out + more, stream.eof
+        if not ended or len(out) > MAX_UNPACKED:
+            return out, len(data), ended
+        at = len(data) - len(stream.unused_data)
+    return out, at, ended
+
+
+def _kind(magic: bytes) -> str:
+    return {0x1F: "gzip", 0x42: "bzip2", 0x78: "zlib"}[magic[0]]
+
+
+def _packed(data: bytes, path: tuple[str, ...], where, source: str) -> Iterator[Layer | Finding]:
+    """What the compressed streams in data hold. A stream that breaks off is named so: its layer is only a part."""
+    pos, view = 0, memoryview(data)
+    while m := _PACKED.search(data, pos):
+        kind = _kind(m[0])
+        out, taken, ended = _stream(view[m.start() :], kind)
+        pos = m.start() + taken if ended else m.start() + 1
+        place, inner = where(m.start(), m.start() + taken), (*path, kind if ended else kind + "-part")
+        if len(out) > MAX_UNPACKED:
+            yield Finding("oversize_layer", ">".join((*path, kind)), *place, source)
+            pos = len(data)
+        elif out:
+            yield from _packed(out, inner, lambda a, b, place=place: place, source)
+            yield from _texts(out, inner, lambda a, b, place=place: place)
+
+
+def _texts(data: bytes, path: tuple[str, ...], where) -> Iterator[Layer]:
+    """The text that data is, or else its readable stretches."""
+    text = _readable(data)
+    for a, t in [(0, text)] if text else [(m.start(), m[0].decode()) for m in _STRETCH.finditer(data)]:
+        at, spans, byte = [], [], a
+        for i, c in enumerate(t):
             n = len(c.encode())
-            at.append(size)
-            spans.append((*layer.place(m.start() + byte * 8 // 6, m.start() + -(-(byte + n) * 8 // 6)), False))
-            size, byte = size + 1, byte + n
-        yield Layer(text, path, at, spans)
+            span = (*where(byte, byte + n), False)
+            if not spans or span != spans[-1]:
+                at.append(i)
+                spans.append(span)
+            byte += n
+        yield Layer(t, path, at, spans)
+
+
+def _decoded(digits: str) -> bytes:
+    return base64.b64decode(digits[: len(digits) - (len(digits) % 4 == 1)] + "=" * (-len(digits) % 4 % 3))
+
+
+def _based(layer: Layer) -> Iterator[Layer | Finding]:
+    """Base64, over line breaks too."""
+    path = (*layer.path, "base64")
+    for m in _BASE64.finditer(layer.text):
+        run = m[0].rstrip("=")
+        places = [m.start() + i for i, c in enumerate(run) if not c.isspace()] if any(c.isspace() for c in run) else range(m.start(), m.start() + len(run))
+        plain = "".join(run.split())
+        digits = plain.replace("-", "+").replace("_", "/")
+
+        def where(a: int, b: int, first: int = 0, end: int | None = None, places=places) -> tuple[int, int]:
+            # each byte comes from the digits that hold its bits
+            last = min(first + -(-b * 8 // 6), len(places)) - 1
+            return layer.place(places[min(first + a * 8 // 6, last)], places[last] + 1 if end is None or last < len(places) - 1 else end)
+
+        for first in range(1):
+            data = _decoded(digits[first:])
+            yield from _packed(data, path, lambda a, b, f=first: where(a, b, f, m.end()), m[0])
+            yield from _texts(data, path, lambda a, b, f=first: where(a, b, f))
 
 
 def scan(text: str) -> list[Finding]:

@@ -191,6 +191,24 @@ def test_planted_tokens_are_found(documents):
         assert any(f.start == at for f in secrets.scan(t))
 
 
+@pytest.mark.parametrize("at", range(40, 60))
+def test_wrapped_base64(at):
+    wrapped = base64.encodebytes(f"{'x' * at} {KEY} end".encode()).decode()
+    text = f"before\n{wrapped}\nafter"
+    assert any(f.secret == KEY for f in secrets.scan(text)) and secrets.scan(secrets.redact(text)) == []
+    rng = random.Random(at)
+    long = f"{rng.randbytes(200).hex()} {KEY} end"
+    for packed in gzip.compress(long.encode()), zlib.compress(long.encode()), bz2.compress(long.encode()):
+        found = [f for f in secrets.scan(f"before\n{base64.encodebytes(packed).decode().replace(chr(10), chr(13) + chr(10))}") if f.secret == KEY]
+        assert found and "part" not in found[0].path
+
+
+def test_a_stream_that_breaks_off_is_a_part():
+    long = f"{KEY} {random.Random(1).randbytes(200).hex()}"
+    found = secrets.scan(base64.b64encode(gzip.compress(long.encode())[:200]).decode())
+    assert [(f.secret, f.path) for f in found] == [(KEY, "base64>gzip-part")]
+
+
 # --- 5 winnowing
 
 
