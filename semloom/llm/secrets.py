@@ -164,6 +164,9 @@ def _readable(data: bytes) -> str | None:
 #: Stretches of UTF-8 without control characters that may hold a secret or a layer (the shortest secret, of url_password, takes 10).
 _STRETCH = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|\xed[\x80-\x9f][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){10,}")
 _PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\x78[\x01\x5e\x9c\xda]")
+_SEPARATOR = re.compile(r"[/_-]")
+#: Bytes that are read from a separator within a run on, beside the run as a whole.
+PART_BYTES = 4096
 
 
 def _stream(data: memoryview, kind: str) -> tuple[bytes, int, bool]:
@@ -222,7 +225,8 @@ def _decoded(digits: str) -> bytes:
 
 
 def _based(layer: Layer) -> Iterator[Layer | Finding]:
-    """Base64, over line breaks too."""
+    """Base64, over line breaks too. What it is glued to may shift it, so each run is read from its first four digits on,
+    and anew after each separator, which may end another word."""
     path = (*layer.path, "base64")
     for m in _BASE64.finditer(layer.text):
         run = m[0].rstrip("=")
@@ -235,10 +239,18 @@ def _based(layer: Layer) -> Iterator[Layer | Finding]:
             last = min(first + -(-b * 8 // 6), len(places)) - 1
             return layer.place(places[min(first + a * 8 // 6, last)], places[last] + 1 if end is None or last < len(places) - 1 else end)
 
-        for first in range(1):
+        seps = [x.end() for x in _SEPARATOR.finditer(plain)]
+        for first in range(4):
             data = _decoded(digits[first:])
             yield from _packed(data, path, lambda a, b, f=first: where(a, b, f, m.end()), m[0])
             yield from _texts(data, path, lambda a, b, f=first: where(a, b, f))
+        for first, end in zip([0, *seps], [*(x - 1 for x in seps), len(plain)], strict=True):
+            if end - first >= 14 and (first or end < len(plain)):
+                yield from _texts(_decoded(digits[first:end]), path, lambda a, b, f=first: where(a, b, f))
+            if first and end < len(plain):
+                data = _decoded(digits[first : first + PART_BYTES * 4 // 3])
+                if s := _STRETCH.match(data):
+                    yield from _texts(s[0], path, lambda a, b, f=first: where(a, b, f))
 
 
 def scan(text: str) -> list[Finding]:

@@ -209,6 +209,17 @@ def test_a_stream_that_breaks_off_is_a_part():
     assert [(f.secret, f.path) for f in found] == [(KEY, "base64>gzip-part")]
 
 
+@pytest.mark.parametrize("glue", ["https://cdn.site.com/t/%s", "path/%s", "blob_%s", "x-data-%s", "a/b_c-%s", "path/%s/rest-of/it", "v1_%s_x", "abc%s"])
+@pytest.mark.parametrize("way", ["base64", "base64>gzip", "base64>zlib", "base64>bzip2"])
+@pytest.mark.parametrize("inner", [KEY, f"id {KEY} end", f"k? {KEY}?>~"])
+def test_glued_base64(glue, way, inner):
+    if glue == "abc%s" and inner == KEY:
+        return  # nothing tells where the digits begin, so what comes before may be a letter
+    for packed in WAYS[way](inner), WAYS[way](inner).rstrip("="), WAYS[way](inner).replace("+", "-").replace("/", "_"):
+        text = f"see {glue % packed} there"
+        assert any(f.secret == KEY for f in secrets.scan(text)), text
+
+
 # --- 5 winnowing
 
 
