@@ -15,6 +15,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 from urllib.parse import unquote_to_bytes
 
@@ -122,11 +123,15 @@ def _replaced(layer: Layer, pattern: re.Pattern[str], how: str, decode) -> Layer
 
 
 def _percent(s: str) -> list[tuple[str, int, int]]:
-    text = unquote_to_bytes(s).decode("utf-8", "strict")
-    out, at = [], 0
-    for c in text:
-        n = 3 * len(c.encode())
-        out.append((c, at, at + n))
+    """UTF-8 characters; a byte that belongs to none is U+FFFD."""
+    data, out, at = unquote_to_bytes(s), [], 0
+    while at < len(data):
+        n = 1 if data[at] < 0xC0 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
+        try:
+            c = data[at : at + n].decode()
+        except UnicodeDecodeError:
+            c, n = "\ufffd", 1
+        out.append((c, 3 * at, 3 * (at + n)))
         at += n
     return out
 
@@ -165,8 +170,9 @@ def _readable(data: bytes) -> str | None:
 _STRETCH = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|\xed[\x80-\x9f][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){10,}")
 _PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\x78[\x01\x5e\x9c\xda]")
 _SEPARATOR = re.compile(r"[/_-]")
-#: Bytes that are read from a separator within a run on, beside the run as a whole.
-PART_BYTES = 4096
+#: What the secrets begin with that must begin a word, and bytes that are read for one from a separator on.
+_BOUNDED = (b"AKIA", b"ASIA", b"AIza", b"gh", b"xox", b"sk_", b"rk_", b"eyJ")
+PART_BYTES = 1 << 14
 
 
 def _stream(data: memoryview, kind: str) -> tuple[bytes, int, bool]:
@@ -220,6 +226,29 @@ def _texts(data: bytes, path: tuple[str, ...], where) -> Iterator[Layer]:
         yield Layer(t, path, at, spans)
 
 
+#: Escaped bytes and the bytes between them that need no escape: how, literal, pattern of a run, of a unit.
+_ESCAPED = [
+    ("url", "%", re.compile(r"[!-~]+"), re.compile(r"%([0-9A-Fa-f]{2})|(.)")),
+    ("unicode", "\\", re.compile(r"(?:\\(?:x|u00)[0-9A-Fa-f]{2}|\\[abfnrtv0'\"\\/]|[ -\[\]-~])+"), re.compile(r"\\(?:x|u00)([0-9A-Fa-f]{2})|(\\?.)")),
+]
+_SHORT = {f"\\{a}": b for a, b in zip("abfnrtv0", b"\a\b\f\n\r\t\v\0", strict=True)}
+
+
+def _escaped(layer: Layer) -> Iterator[Layer | Finding]:
+    """Compressed streams whose bytes are percent or \\x escapes, as far as they need one."""
+    for how, literal, runs, units in _ESCAPED:
+        if literal not in layer.text:
+            continue
+        for m in runs.finditer(layer.text):
+            if literal not in m[0]:
+                continue
+            found = list(units.finditer(m[0]))
+            starts = [m.start() + x.start() for x in found] + [m.end()]
+            data = bytes(int(x[1], 16) if x[1] else _SHORT.get(x[2], ord(x[2][-1])) for x in found)
+            for d in [data, data.replace(b"+", b" ")] if how == "url" and b"+" in data else [data]:
+                yield from _packed(d, (*layer.path, how), lambda a, b, starts=starts: layer.place(starts[a], starts[b]), m[0])
+
+
 def _decoded(digits: str) -> bytes:
     return base64.b64decode(digits[: len(digits) - (len(digits) % 4 == 1)] + "=" * (-len(digits) % 4 % 3))
 
@@ -240,17 +269,18 @@ def _based(layer: Layer) -> Iterator[Layer | Finding]:
             return layer.place(places[min(first + a * 8 // 6, last)], places[last] + 1 if end is None or last < len(places) - 1 else end)
 
         seps = [x.end() for x in _SEPARATOR.finditer(plain)]
-        for first in range(4):
-            data = _decoded(digits[first:])
+        shifted = [_decoded(digits[first:]) for first in range(4)]
+        for first, data in enumerate(shifted):
             yield from _packed(data, path, lambda a, b, f=first: where(a, b, f, m.end()), m[0])
             yield from _texts(data, path, lambda a, b, f=first: where(a, b, f))
         for first, end in zip([0, *seps], [*(x - 1 for x in seps), len(plain)], strict=True):
             if end - first >= 14 and (first or end < len(plain)):
                 yield from _texts(_decoded(digits[first:end]), path, lambda a, b, f=first: where(a, b, f))
-            if first and end < len(plain):
-                data = _decoded(digits[first : first + PART_BYTES * 4 // 3])
-                if s := _STRETCH.match(data):
-                    yield from _texts(s[0], path, lambda a, b, f=first: where(a, b, f))
+            at = first // 4 * 3
+            if first and (head := shifted[first % 4][at : at + PART_BYTES]).startswith(_BOUNDED) and (m2 := _STRETCH.match(head)):
+                for rule, (_, pattern) in RULES.items():  # the byte before may be a letter, so that no word begins here
+                    if k := pattern.match(m2[0].decode()):
+                        yield Finding(rule, ">".join(path), *where(at, at + len(k["s"].encode()), first % 4), k["s"])
 
 
 def scan(text: str) -> list[Finding]:
@@ -270,7 +300,7 @@ def scan(text: str) -> list[Finding]:
             work.append(new)
         if ("\\" in layer.text or "&#" in layer.text) and (new := _replaced(layer, _UNICODE, "unicode", _unicode)):
             work.append(new)
-        for new in _based(layer):
+        for new in chain(_escaped(layer), _based(layer)):
             if isinstance(new, Layer):
                 work.append(new)
             else:

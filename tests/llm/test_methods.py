@@ -6,7 +6,7 @@ import gzip
 import random
 import zlib
 from collections import defaultdict
-from urllib.parse import quote
+from urllib.parse import quote, quote_plus
 
 import duckdb
 import numpy as np
@@ -220,6 +220,36 @@ def test_glued_base64(glue, way, inner):
         assert any(f.secret == KEY for f in secrets.scan(text)), text
 
 
+ESCAPES = {
+    "all": lambda data: "".join(f"%{b:02x}" for b in data),
+    "quote": quote,
+    "quote_plus": lambda data: "d=" + quote_plus(data),
+    "x": lambda data: "".join(f"\\x{b:02x}" for b in data),
+    "repr": repr,
+}
+
+
+@pytest.mark.parametrize("escape", ESCAPES)
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress])
+def test_streams_in_escapes(escape, pack):
+    for i in range(20):
+        text = f"see {ESCAPES[escape](pack(f'{i} {KEY} end'.encode()))} there"
+        assert any(f.secret == KEY for f in secrets.scan(text)), text
+        assert not any(f.secret == KEY for f in secrets.scan(secrets.redact(text)))
+
+
+def test_percent_run_with_other_bytes():
+    run = "%ff%e2" + WAYS["url"](f"é {KEY}") + "%fe"
+    (found,) = secrets.scan(f"a {run} b")
+    assert found.secret == KEY and f"a {run} b"[found.start : found.end] == WAYS["url"](KEY)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress])
+def test_streams_of_several_members(pack):
+    data = pack(b"first part ") + pack(b"then ") + pack(f"and {KEY} end".encode())
+    assert any(f.secret == KEY for f in secrets.scan(base64.b64encode(data).decode()))
+
+
 # --- 5 winnowing
 
 
