@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from semloom.llm.common import fold, pick, span_hashes, text_bytes, text_slices
 
-K = 50
-WINDOW = 50
+K = 30
+WINDOW = 30
 
 
 def rightmost_minima(h: np.ndarray, window: int) -> np.ndarray:

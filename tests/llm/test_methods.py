@@ -17,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from semloom.llm import bpe, chat, hnsw, langid, packing, quality, queries, secrets, simhash, urlrep, winnow
-from semloom.llm.common import span_hashes, text_bytes, text_slices
+from semloom.llm.common import fold, span_hashes, text_bytes, text_slices
 
 SF = "/root/testdata/sf0.01"
 
@@ -288,6 +288,17 @@ def test_match_guarantee(documents):
     assert set(h[: n[0]].tolist()) & set(h[n[0] :].tolist())
 
 
+def test_the_shortest_item_is_caught():
+    items = pd.read_parquet("/root/testdata/sf0.1/benchmark.parquet").text
+    sizes = [int((fold(np.frombuffer(t.encode(), np.uint8)) > 32).sum()) for t in items]
+    assert winnow.K + winnow.WINDOW - 1 <= min(sizes)
+    item, rng = items[int(np.argmin(sizes))], random.Random(5)
+    noise = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(40))
+    for _ in range(50):
+        h, _, n = winnow.winnow(*text_bytes(pa.array([f"{noise()} {item} {noise()}", f"{noise()}: {item.lower()} {noise()}"])), winnow.K, winnow.WINDOW)
+        assert set(h[: n[0]].tolist()) & set(h[n[0] :].tolist())
+
+
 # --- 6 chat
 
 
