@@ -138,12 +138,14 @@ class Model:
 
 
 def sample(docs: DataFrame, lang_col: str, text_col: str, id_col: str, train_chars: int) -> dict[str, str]:
-    """At most train_chars characters of whole labelled texts per language, in the order of a hash of the id.
+    """train_chars characters of labelled texts per language, or all where there are fewer, in the order of a hash of the
+    id; of the text that would pass the bound, the piece up to it.
 
     The driver gets no more than that: characters are first counted by hash bucket, and only the buckets that a
     language needs are read again."""
     d = pick(docs, i=id_col, x=text_col, l=lang_col).where("l is not null and x is not null").withColumn("n", F.length("x"))
-    d = d.where((F.col("n") > 0) & (F.col("n") <= train_chars)).withColumn("h", F.xxhash64("i", "n")).withColumn("b", F.shiftrightunsigned("h", 44))
+    d = d.where(F.col("n") > 0).withColumn("h", F.xxhash64("i", "n")).withColumn("b", F.shiftrightunsigned("h", 44))
+    d = d.withColumn("n", F.least("n", F.lit(train_chars))).withColumn("x", F.substring("x", 1, train_chars))
     by = Window.partitionBy("l")
     counts = d.groupBy("l", "b").agg(F.sum("n").alias("m"))
     before = F.coalesce(F.sum("m").over(by.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -151,7 +153,8 @@ def sample(docs: DataFrame, lang_col: str, text_col: str, id_col: str, train_cha
     # at most a bucket a character of the bound and language, far fewer with texts of usual length
     rows = d.join(F.broadcast(need), ["l", "b"], "left_semi").withColumn("sum", F.sum("n").over(by.orderBy("b", "h", "i", "x").rowsBetween(Window.unboundedPreceding, 0)))
     texts: dict[str, list[str]] = {}
-    for r in rows.where(F.col("sum") <= train_chars).select("l", "sum", "x").collect():
+    room = train_chars - F.col("sum") + F.col("n")
+    for r in rows.where(room > 0).select("l", "sum", F.substring("x", F.lit(1), room.cast("int")).alias("x")).collect():
         texts.setdefault(r["l"], []).append((r["sum"], r["x"]))
     return {k: " ".join(x for _, x in sorted(v)) for k, v in texts.items()}
 

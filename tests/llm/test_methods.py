@@ -454,6 +454,15 @@ def test_language_accuracy_held_out(spark, documents):
     assert sum(x.keep for x in r) / len(r) >= 0.99
 
 
+def test_sample_is_filled_to_the_bound(spark):
+    sizes = {"long": [400, 500], "mixed": [90, 80, 99, 70, 60, 300], "few": [10, 20], "one": [100]}
+    rows = [(k * 10 + i, f"{lang[0]}é" * (n // 2) + "x" * (n % 2), lang) for k, (lang, ns) in enumerate(sizes.items()) for i, n in enumerate(ns)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = langid.sample(d, "lang", "text", "doc_id", 100)
+    assert {lang: sum(map(len, x.split(" "))) for lang, x in got.items()} == {"long": 100, "mixed": 100, "few": 30, "one": 100}
+    assert {r.lang for r in langid.language_id(d, train_chars=100).collect()} == set(sizes)
+
+
 def test_noise_is_rejected(spark):
     rng = random.Random(3)
     noise = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(300))
