@@ -2,29 +2,29 @@
 
 A shard's graph is a few flat arrays: vectors by insertion order (higher levels first, so that level l is the first
 n_l vectors) and, for each level, an int32 neighbour array [n_l, m] filled up with -1. Vectors go in by batches; a
-batch and all queries of a block search in step, one numpy operation for all of them. Every shard answers every query,
-and the shards' nearest k are merged.
+batch and the queries of a batch search in step, one numpy operation for all of them. Every shard answers every query,
+and the shards' nearest k are merged. The bound on a shard keeps the recall of a search of fixed width.
 """
 
 from __future__ import annotations
 
 import io
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from semloom.llm.common import checkpoint, n_shuffle, pick
+from semloom.llm.common import checkpoint, pick
 
 K = 10
 M = 16
 EF_BUILD = 64
 EF_SEARCH = 64
 SHARD_VECTORS = 16_384
-BLOCK_QUERIES = 4096
 
 
 class Graph:
@@ -163,46 +163,62 @@ def _back(x: np.ndarray, nbr: np.ndarray, source: np.ndarray, target: np.ndarray
         nbr[to[rows]] = _select(x, to[rows], both[rows], most)
 
 
-def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, ef: int = EF_SEARCH, m: int = M, ef_build: int = EF_BUILD, shard_vectors: int = SHARD_VECTORS) -> DataFrame:
-    """(id, rank, neighbour, similarity): for every vector its k nearest others by cosine, rank 1 the nearest; equal
-    similarities go by the lesser id. Similarities are rounded to 6 decimals.
+def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, ef: int = EF_SEARCH, m: int = M, ef_build: int = EF_BUILD, shard_vectors: int = SHARD_VECTORS, every: int = 1) -> DataFrame:
+    """(id, rank, neighbour, similarity): for each vector whose id is divisible by `every` its k nearest others of all
+    vectors by cosine, rank 1 the nearest; equal similarities go by the lesser id. Similarities are rounded to 6 decimals.
 
     Vectors that are null, empty, all zero, or have a null or non-finite entry have no direction: they neither ask nor
     answer. Neither do rows with a null id; of repeated ids the least vector counts. Vectors of different lengths are
-    never compared. An empty table gives an empty result. All shards answer all queries, so the work grows with
-    vectors times shards; shard_vectors should be what an executor holds."""
-    spark = vectors.sparkSession
+    never compared. An empty table gives an empty result.
+
+    One shuffle brings a shard's vectors to its task, and behind them the queries, of which each shard gets a copy. The
+    task builds the graph and answers the queries as they stream by, so it holds one shard and a batch of queries,
+    however many there are. Building grows with the vectors, answering with queries times shards."""
     v = pick(vectors, id=id_col, v=vector_col).where("id is not null and v is not null").select(F.col("id").cast("bigint"), F.col("v").cast("array<float>"))
     good = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf"))) & F.exists("v", lambda e: e != 0)
     v = v.where(good).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
     v = checkpoint(v)
-    shards = max(1, -(-(n := v.count()) // shard_vectors))
-    blocks = max(1, -(-n // BLOCK_QUERIES))
-    v = v.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
-
-    def unit(column: pd.Series) -> np.ndarray:
-        x = np.stack(column.to_numpy()).astype(np.float64)
-        return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-
-    def index(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        graph = build(unit(pdf["v"]), pdf["id"].to_numpy(), m, ef_build)
-        return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "graph": [graph.dump()]})
-
-    def answer(graph: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(graph) or not len(queries):
-            return pd.DataFrame({"id": [], "neighbour": [], "similarity": []})
-        g, queries = Graph.load(graph["graph"].iloc[0]), queries.sort_values("id")
-        rows, sims = g.search(unit(queries["v"]), k + 1, ef)
-        out = pd.DataFrame({"id": np.repeat(queries["id"].to_numpy(), k + 1), "neighbour": g.ids[rows].ravel(), "similarity": sims.ravel().astype(np.float64)})
-        return out[(rows.ravel() >= 0) & (out["id"] != out["neighbour"])]
-
-    graphs = checkpoint(v.repartition(min(shards, n_shuffle(spark)), "dim", "shard").groupBy("dim", "shard").applyInPandas(index, "dim int, shard bigint, graph binary"))
-    asked = v.select("id", "v", "dim", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("block")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")))
-    told = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-    by = ["dim", "shard", "block"]
-    found = told.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(answer, "id bigint, neighbour bigint, similarity double")
-    found = found.withColumn("similarity", F.round("similarity", 6))
+    shards = max(1, -(-v.count() // shard_vectors))
+    own = v.select("dim", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "id", "v")
+    each = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    asked = v.where(F.col("id") % every == 0).select("dim", each.alias("shard"), F.lit(True).alias("asks"), "id", "v")
+    met = own.union(asked).repartitionById(shards, "shard").sortWithinPartitions("shard", "dim", "asks", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, graph, of = [], None, None
+        for b in batches:
+            for rows in _runs(b):
+                key, asks = (rows.column("shard")[0].as_py(), rows.column("dim")[0].as_py()), rows.column("asks")[0].as_py()
+                if key != of:
+                    held, graph, of = [], None, key
+                ids, x = rows.column("id").to_numpy(), _unit(rows.column("v"), key[1])
+                if not asks:
+                    held.append((x, ids))
+                    continue
+                if not held:
+                    continue
+                graph = graph or build(np.concatenate([x for x, _ in held]), np.concatenate([i for _, i in held]), m, ef_build)
+                found, sims = graph.search(x, k + 1, ef)
+                who, whom = np.repeat(ids, k + 1), graph.ids[found].ravel()
+                some = (found.ravel() >= 0) & (who != whom)
+                yield pa.record_batch([pa.array(who[some]), pa.array(whom[some]), pa.array(sims.ravel()[some].astype(np.float64))], names=["id", "neighbour", "similarity"])
+
+    found = met.mapInArrow(run, "id bigint, neighbour bigint, similarity double").withColumn("similarity", F.round("similarity", 6))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour"))
     out = found.withColumn("rank", rank).where(F.col("rank") <= k)
     return out.select(F.col("id").alias(id_col), "rank", "neighbour", "similarity")
+
+
+def _runs(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch's runs of rows of one shard and dimension that all ask or all answer."""
+    if not b.num_rows:
+        return
+    key = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("shard", "dim", "asks")])
+    cuts = np.r_[0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, b.num_rows]
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        yield b.slice(a, z - a)
+
+
+def _unit(column: pa.Array, dim: int) -> np.ndarray:
+    x = column.flatten().to_numpy().astype(np.float64).reshape(-1, dim)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)

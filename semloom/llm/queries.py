@@ -17,7 +17,7 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hnsw.neighbours(table(spark, sf_dir, "embeddings"))
+    return hnsw.neighbours(table(spark, sf_dir, "embeddings"), every=100)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
