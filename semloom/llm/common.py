@@ -146,3 +146,62 @@ def row_sums(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
         first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
         out[row[first]] = np.add.reduceat(values, first, axis=0, dtype=out.dtype)
     return out
+
+
+def comb(rows: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """An automaton's transitions {symbol below 256: state} of each state, laid into one array of about a slot each.
+
+    (base, table): base is each state's own number; table[base[s] + c] is base[s] << 32 | base[t] where c leads from s to
+    t, and has another state's number in its upper half where c leads nowhere. Rows of several transitions are laid first
+    fit, the rest fills the gaps."""
+    base = np.full(len(rows), -1, np.int64)
+    used, taken = bytearray(1 << 12), bytearray(1 << 12)  # slots with a transition, numbers that a state has
+
+    def room(n: int) -> None:
+        for a in (used, taken):
+            if len(a) < n:
+                a.extend(bytes(max(n - len(a), len(a))))
+
+    many = sorted((s for s, r in enumerate(rows) if len(r) > 1), key=lambda s: -len(rows[s]))
+    at = 256
+    for s in many:
+        symbols = sorted(rows[s])
+        slot, tries = used.find(0, at), 0
+        while True:
+            b = slot - symbols[0]
+            room(b + 512)
+            if not taken[b] and not any(used[b + c] for c in symbols):
+                break
+            tries += 1
+            slot = used.find(0, slot + 1)
+            if tries % 16 == 0:  # few gaps are left here
+                at = slot
+        base[s], taken[b] = b, 1
+        for c in symbols:
+            used[b + c] = 1
+    slot = 255
+    for s, r in enumerate(rows):
+        if len(r) != 1:
+            continue
+        (c,) = r
+        slot = used.find(0, slot + 1)
+        while True:
+            room(slot + 512)
+            if slot >= c and not taken[slot - c]:
+                break
+            slot = used.find(0, slot + 1)
+        base[s], taken[slot - c], used[slot] = slot - c, 1, 1
+    b = 0
+    for s, r in enumerate(rows):  # a state without transitions only needs a number
+        if not r:
+            b = taken.find(0, b)
+            while b < 0:
+                room(2 * len(taken))
+                b = taken.find(0)
+            base[s], taken[b] = b, 1
+    table = np.full(int(base.max(initial=0)) + 256, -1, np.int64)
+    size = [len(r) for r in rows]
+    own = np.repeat(base, size)
+    symbols = np.fromiter((c for r in rows for c in r), np.int64, len(own))
+    table[own + symbols] = own << 32 | base[np.fromiter((t for r in rows for t in r.values()), np.int64, len(own))]
+    return base, table

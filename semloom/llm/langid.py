@@ -2,8 +2,9 @@
 
 A text is folded (lower case, runs of other characters one space) and parsed greedily into the longest pieces that
 occur in a language's text. phrases * log2(training length) / bytes estimates the bits a byte costs in that language;
-the language with the fewest wins. Blocks of `block` bytes are parsed side by side, each starting a phrase anew, so
-all bytes of a text of any length count and the count differs from an unbroken parse by one phrase a block at most.
+the language with the fewest wins. Blocks of a text are parsed side by side, each from a guessed start; then the parse of
+the block before runs on into a block until both are in one state, from where on they agree. So a text of any length has
+exactly the phrases of one unbroken parse.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from semloom.llm.common import fold, pick, positional, text_bytes, text_slices
+from semloom.llm.common import checkpoint, comb, fold, pick, positional, text_bytes, text_slices
 
 #: Folded byte -> byte to parse: digits and separators are spaces.
 _SPACE = np.array([b if b > 57 else 32 for b in range(256)], np.uint8)
@@ -36,8 +37,8 @@ def squeeze(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return x[keep], kept[offsets]
 
 
-def suffix_automaton(seq: list[int], sigma: int) -> np.ndarray:
-    """Transitions [state, symbol] of the suffix automaton of seq, -1 where there is none."""
+def suffix_automaton(seq: bytes) -> list[dict[int, int]]:
+    """Transitions {symbol: state} of each state of the suffix automaton of seq; state 0 is the root."""
     nxt: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -64,79 +65,124 @@ def suffix_automaton(seq: list[int], sigma: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.full((len(nxt), sigma), -1, np.int32)
-    for s, d in enumerate(nxt):
-        if d:
-            table[s, list(d)] = list(d.values())
-    return table
+    return nxt
+
+
+#: Bytes of a text that are parsed one after the other; more run side by side. No result depends on it.
+BLOCK = 1024
 
 
 class Model:
-    """langs, symbol of each byte, and one table of all languages: (next row start << 2 | phrases closed)."""
+    """langs, and the automata of all languages in one table (see comb), about 1 MB a language: `roots` has the number of
+    each one's root, `first` the state that each symbol leads to from there, or the root where it has none."""
 
     def __init__(self, texts: dict[str, str]):
-        squeezed = {}
+        self.langs, tables, self.roots, self.first, self.bits, size = [], [], [], [], [], 0
         for lang in sorted(texts):
-            raw = np.frombuffer(texts[lang].encode(), np.uint8)
+            raw = np.frombuffer(texts[lang].encode("utf-8", "replace"), np.uint8)
             x, _ = squeeze(raw, np.array([0, len(raw)]))
-            if len(x):
-                squeezed[lang] = x
-        self.langs = list(squeezed)
-        seen = sorted(set().union(*(set(x.tolist()) for x in squeezed.values()))) if squeezed else []
-        self.sigma = len(seen) + 1
-        self.symbol = np.zeros(256, np.int64)
-        self.symbol[seen] = np.arange(1, len(seen) + 1)
-        tables, self.roots, self.bits, base = [], [], [], 0
-        for x in squeezed.values():
-            t = suffix_automaton(self.symbol[x].tolist(), self.sigma)
-            start = t[0]
-            fails = t < 0
-            state = np.where(fails, np.where(start >= 0, start, 0)[None, :], t)
-            cost = fails * np.where(start >= 0, 1, 2)[None, :]
-            cost[0] = start < 0
-            tables.append((((state.astype(np.int64) + base) * self.sigma) << 2 | cost).ravel())
-            self.roots.append(base * self.sigma)
+            if not len(x):
+                continue
+            states = suffix_automaton(x.tobytes())
+            base, table = comb(states)
+            base += size
+            first = np.full(256, base[0])
+            first[list(states[0])] = base[list(states[0].values())]
+            self.langs.append(lang)
+            tables.append(np.where(table < 0, -1, table + (size << 32 | size)))
+            self.roots.append(base[0])
+            self.first.append(first)
             self.bits.append(np.log2(max(2, len(x))))
-            base += len(t)
-        flat = np.concatenate(tables) if tables else np.zeros(0, np.int64)
-        self.table = flat.astype(np.int32) if not len(flat) or flat.max() < 2**31 else flat
+            size += len(table)
+        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int64)
+        self.roots, self.first = np.array(self.roots, np.int64), np.array(self.first, np.int64).reshape(-1, 256)
+
+    def _step(self, state: np.ndarray, root: np.ndarray, first: np.ndarray, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state after each symbol, phrases that it closes). A symbol that a language lacks is a phrase of its own."""
+        v = self.table.take(state + sym)
+        fails = v >> 32 != state
+        if not fails.any():
+            return v & 0xFFFFFFFF, fails.astype(np.int64)
+        return np.where(fails, first, v & 0xFFFFFFFF), (fails & (state != root)).astype(np.int64) + (fails & (first == root))
 
-    def phrases(self, raw: np.ndarray, offsets: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    def phrases(self, raw: np.ndarray, offsets: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
         """(phrases [row, language], parsed bytes of each row)."""
         x, off = squeeze(raw, offsets)
         size, n = np.diff(off), len(off) - 1
         out = np.zeros((n, len(self.langs)), np.int64)
         if not len(x) or not self.langs:
             return out, size
-        sym = self.symbol[x].astype(np.int32)
+        x = x.astype(np.int64)
         blocks = -(-size // block)
         row = np.repeat(np.arange(n), blocks)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         start = off[row] + nth * block
         length = np.minimum(block, off[row + 1] - start)
         order = np.argsort(-length, kind="stable")
-        start, length = start[order], length[order]
-        roots = np.array(self.roots, np.int32)[:, None]
-        base = np.repeat(roots, len(start), axis=1)
-        acc = np.zeros(base.shape, np.int32)
-        active = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")
-        # the symbols column by column, so that each step reads them in a row
-        for t in range(int(length[0])):
-            k = active[t]
-            v = self.table.take(base[:, :k] + sym.take(start[:k] + t))
-            base[:, :k] = v >> 2
-            acc[:, :k] += v & 3
-        acc += base != roots
+        roots = self.roots[:, None]
+        state = np.repeat(roots, len(start), axis=1)
+        count = np.zeros(state.shape, np.int64)
+        first = np.ascontiguousarray(self.first.T)  # [symbol, language]
+        active = np.searchsorted(-length[order], -np.arange(1, length.max() + 1), side="right")
+        for t in range(len(active)):
+            at = order[: active[t]]
+            sym = x.take(start[at] + t)
+            state[:, at], cost = self._step(state[:, at], roots, first[sym].T, sym[None])
+            count[:, at] += cost
+        self._join(x, start, length, nth, state, count)
+        last = np.flatnonzero(np.r_[nth[1:] == 0, True])
+        count[:, last] += state[:, last] != roots
         for j in range(len(self.langs)):
-            out[:, j] = np.bincount(row[order], weights=acc[j], minlength=n)
+            out[:, j] = np.bincount(row, weights=count[j], minlength=n)
         return out, size
 
-    def score(self, raw: np.ndarray, offsets: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    def _join(self, x: np.ndarray, start: np.ndarray, length: np.ndarray, nth: np.ndarray, state: np.ndarray, count: np.ndarray) -> None:
+        """Carries each block's last state into the next block of its row, and what that changes there into count and
+        state. A block whose two parses don't meet has a new last state, which goes on to the block after it."""
+        change = np.zeros(count.shape, np.int64)
+        lang, to = np.nonzero(np.repeat(nth[None] > 0, len(self.langs), axis=0))
+        ends = state.copy()
+        while len(to):
+            here = state[lang, to - 1] != self.roots[lang]
+            change[lang, to] = 0
+            back = lang[~here], to[~here]
+            moved = [np.stack(back)[:, state[back] != ends[back]]]
+            state[back] = ends[back]
+            lang, to = lang[here], to[here]
+            a, b = state[lang, to - 1], self.roots[lang].copy()
+            t = 0
+            while len(to):
+                sym, root = x[start[to] + t], self.roots[lang]
+                first = self.first[lang, sym]
+                a, more = self._step(a, root, first, sym)
+                b, less = self._step(b, root, first, sym)
+                change[lang, to] += more - less
+                t += 1
+                met, over = a == b, length[to] == t
+                # parses that met end as guessed, others at the block's end as they are
+                end = np.where(met, ends[lang, to], a)
+                new = (met | over) & (state[lang, to] != end)
+                moved.append(np.stack([lang[new], to[new]]))
+                state[lang[new], to[new]] = end[new]
+                go = ~(met | over)
+                lang, to, a, b = lang[go], to[go], a[go], b[go]
+            lang, to = np.concatenate(moved, axis=1)
+            on = to + 1 < len(nth)
+            lang, to = lang[on], to[on] + 1
+            on = nth[to] > 0
+            lang, to = lang[on], to[on]
+        count += change
+
+    def score(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bits a byte [row, language], bytes)."""
-        count, size = self.phrases(raw, offsets, block)
+        count, size = self.phrases(raw, offsets)
         return count * np.array(self.bits)[None, :] / np.maximum(size, 1)[:, None], size
 
 
+#: Labels beyond which a column holds no languages, and rows of the sample's buckets (about 30 bytes each) to broadcast.
+MOST_LANGS, BROADCAST_BUCKETS = 10_000, 200_000
+
+
 def sample(docs: DataFrame, lang_col: str, text_col: str, id_col: str, train_chars: int) -> dict[str, str]:
     """train_chars characters of labelled texts per language, or all where there are fewer, in the order of a hash of the
     id; of the text that would pass the bound, the piece up to it.
@@ -151,7 +197,10 @@ def sample(docs: DataFrame, lang_col: str, text_col: str, id_col: str, train_cha
     before = F.coalesce(F.sum("m").over(by.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     need = counts.withColumn("before", before).where(F.col("before") < train_chars).select("l", "b")
     # at most a bucket a character of the bound and language, far fewer with texts of usual length
-    rows = d.join(F.broadcast(need), ["l", "b"], "left_semi").withColumn("sum", F.sum("n").over(by.orderBy("b", "h", "i", "x").rowsBetween(Window.unboundedPreceding, 0)))
+    need = checkpoint(need)
+    if need.select("l").distinct().count() > MOST_LANGS:
+        raise ValueError(f"{lang_col} has more than {MOST_LANGS} values")
+    rows = d.join(F.broadcast(need) if need.count() <= BROADCAST_BUCKETS else need, ["l", "b"], "left_semi").withColumn("sum", F.sum("n").over(by.orderBy("b", "h", "i", "x").rowsBetween(Window.unboundedPreceding, 0)))
     texts: dict[str, list[str]] = {}
     room = train_chars - F.col("sum") + F.col("n")
     for r in rows.where(room > 0).select("l", "sum", F.substring("x", F.lit(1), room.cast("int")).alias("x")).collect():
@@ -164,7 +213,7 @@ _SLACK = 64
 _ARROW = pa.struct([("lang", pa.string()), ("bits", pa.float64()), ("margin", pa.float64()), ("n_bytes", pa.int64()), ("keep", pa.bool_())])
 
 
-def identify(df: DataFrame, model: Model, text_col: str = "text", block: int = 2048, max_bits: float = 4.0):
+def identify(df: DataFrame, model: Model, text_col: str = "text", max_bits: float = 4.0):
     """A Column for df: struct<lang, bits, margin, n_bytes, keep> of the text in text_col.
 
     lang: the language whose automaton parses the text into the fewest normalised phrases; ties go to the name that
@@ -178,15 +227,15 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", block: int = 2
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         for a in batches:
-            parts = [_decide(m, s.column(0), block, max_bits) for s in text_slices(pa.record_batch([a], ["t"]), "t")]
+            parts = [_decide(m, s.column(0), max_bits) for s in text_slices(pa.record_batch([a], ["t"]), "t")]
             yield pa.concat_arrays(parts) if parts else pa.array([], _ARROW)
 
     return run.asNondeterministic()(F.col(text_col))  # evaluated once, even if a filter uses it
 
 
-def _decide(m: Model, texts: pa.Array, block: int, max_bits: float) -> pa.Array:
+def _decide(m: Model, texts: pa.Array, max_bits: float) -> pa.Array:
     raw, off = text_bytes(texts)
-    score, size = m.score(raw, off, block)
+    score, size = m.score(raw, off)
     n = len(size)
     if not m.langs:
         none = pa.nulls(n, pa.float64())
@@ -209,13 +258,13 @@ def _decide(m: Model, texts: pa.Array, block: int, max_bits: float) -> pa.Array:
     )
 
 
-def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_chars: int = 30_000, block: int = 2048, max_bits: float = 4.0, model: Model | None = None) -> DataFrame:
+def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_chars: int = 30_000, max_bits: float = 4.0, model: Model | None = None) -> DataFrame:
     """(id, lang, bits, margin, n_bytes, keep) of every row of docs; see identify(). Repeated rows give repeated
     results, an empty table an empty one; a null id stays null. train_chars bounds the labelled text per language."""
     if model is None:
         model = Model(sample(docs, lang_col, text_col, id_col, train_chars))
     d = pick(docs, i=id_col, x=text_col)
-    out = d.select("i", identify(d, model, "x", block, max_bits).alias("r"))
+    out = d.select("i", identify(d, model, "x", max_bits).alias("r"))
     return out.select(F.col("i").alias(id_col), "r.*")
 
 
