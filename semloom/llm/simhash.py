@@ -7,8 +7,12 @@ holds each distinct fingerprint once.
 Forest: `trees` tries, each over its own random permutation of the bits. A trie is kept as its sorted keys; a row in
 a thin region climbs to shorter prefixes until its node would hold more than `leaf` fingerprints, one in a dense
 region descends, but never below `deepest`, the depth at which all trees together still find a pair at `radius` with
-probability `recall`. All pairs within a node are verified by their exact distance. depth and tree count follow from
-the number of distinct fingerprints, so a node's expected size stays bounded as the corpus grows.
+probability `recall`. Depth and tree count follow from the number of distinct fingerprints.
+
+A node is verified by exact distances: a row is linked to all within the radius, these take in what they reach, and the
+triangle inequality tells what none of them can reach. So many near-equal prints cost one pass. A node that is still
+too much work, or a prefix with too many rows for a task, is crowded: its rows go to another forest, of their own, that
+is DESCENT bits deeper and has as many more trees as the recall then needs. No pair is given up in that.
 Pairs become groups by connected components (large star, small star).
 """
 
@@ -31,6 +35,11 @@ RADIUS = 42
 #: Of pairs that are exactly RADIUS apart; nearer ones are found more often.
 RECALL = 0.95
 LEAF = 64
+#: Nodes of up to SMALL rows are compared pair by pair. A node is crowded beyond MOST_PAIRS comparisons (about 20 s), a
+#: prefix beyond MOST_ROWS rows (56 bytes each).
+SMALL, MOST_PAIRS, MOST_ROWS = 256, 4_000_000_000, 2_000_000
+#: Bits that a forest for crowded rows goes deeper, and the longest prefix.
+DESCENT, KEY_BITS = 4, 32
 
 
 def fingerprints(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -61,6 +70,14 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
+def _apart(cols: list[np.ndarray], a, b) -> np.ndarray:
+    """distance() of rows a and b of prints that are held by column."""
+    out = np.bitwise_count(cols[0][a] ^ cols[0][b]).astype(np.uint16)
+    for c in cols[1:]:
+        out += np.bitwise_count(c[a] ^ c[b])
+    return out
+
+
 def shared_prefix(depth: int, radius: int) -> float:
     """Chance that two fingerprints `radius` apart agree on `depth` random bits."""
     return math.comb(BITS - radius, depth) / math.comb(BITS, depth)
@@ -69,15 +86,19 @@ def shared_prefix(depth: int, radius: int) -> float:
 def forest_shape(n: int, radius: int = RADIUS, recall: float = RECALL, leaf: int = LEAF) -> tuple[int, int]:
     """(deepest, trees) for n distinct fingerprints: nodes of about `leaf` at the deepest level, and as many trees as
     the recall then needs."""
-    deepest = max(8, math.ceil(math.log2(max(2, n) / leaf)))
-    p = shared_prefix(deepest, radius)
-    return deepest, math.ceil(math.log(1 - recall) / math.log(1 - p))
+    deepest = min(KEY_BITS, max(8, math.ceil(math.log2(max(2, n) / leaf))))
+    return deepest, trees_for(deepest, radius, recall)
 
 
-def permutations(trees: int) -> np.ndarray:
-    """[tree, 32]: the bits that each tree's keys are made of."""
-    rng = np.random.default_rng(20240229)
-    return np.stack([rng.permutation(BITS)[:32] for _ in range(trees)])
+def trees_for(deepest: int, radius: int, recall: float) -> int:
+    """Trees that find a pair at the radius with probability recall when no prefix is longer than `deepest`."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - shared_prefix(deepest, radius)))
+
+
+def permutations(trees: int, seed: int = 20240229) -> np.ndarray:
+    """[tree, KEY_BITS]: the bits that each tree's keys are made of."""
+    rng = np.random.default_rng(seed)
+    return np.stack([rng.permutation(BITS)[:KEY_BITS] for _ in range(trees)])
 
 
 def keys(fp: np.ndarray, perm: np.ndarray) -> np.ndarray:
@@ -107,23 +128,67 @@ def nodes(key: np.ndarray, shortest: int, deepest: int, leaf: int) -> np.ndarray
     return out
 
 
-def roots(fp: np.ndarray, node: np.ndarray, radius: int) -> np.ndarray:
-    """Least index of the component of each row, where rows of a node within radius are linked. Each pair of a node is
-    compared; pairs already linked cost no edge."""
-    label = np.arange(len(fp))
-    size = np.bincount(node, minlength=len(fp))[node]
-    lag, at = 1, np.flatnonzero(size > 1)
+def roots(fp: np.ndarray, node: np.ndarray, radius: int, most_pairs: float = math.inf) -> tuple[np.ndarray, np.ndarray]:
+    """(least index of the component of each row, whether its node is crowded); rows of a node within radius are linked.
+    A crowded node has some of its links only."""
+    cols = [np.ascontiguousarray(fp[:, k]) for k in range(4)]
+    label, crowded = np.arange(len(fp)), np.zeros(len(fp), bool)
+    size = np.bincount(node, minlength=len(fp))
+    few = size[node]
+    lag, at = 1, np.flatnonzero((few > 1) & (few <= SMALL))
     while len(at):
         at = at[(at + lag < len(fp))]
         at = at[node[at + lag] == node[at]]
         for cut in range(0, len(at), 1 << 17):
             a = at[cut : cut + (1 << 17)]
-            hit = a[distance(fp[a], fp[a + lag]) <= radius]
+            hit = a[_apart(cols, a, a + lag) <= radius]
             hit = hit[label[hit] != label[hit + lag]]
             if len(hit):
                 _link(label, hit, hit + lag)
         lag += 1
-    return label
+    for a in np.flatnonzero(size > SMALL):
+        z = a + size[a]
+        own, done = _reach([c[a:z] for c in cols], radius, most_pairs)
+        label[a:z] = a + own
+        crowded[a:z] = not done
+    return label, crowded
+
+
+def _reach(cols: list[np.ndarray], radius: int, most_pairs: float) -> tuple[np.ndarray, bool]:
+    """(least index of each row's component, whether all were found within most_pairs comparisons).
+
+    The first row left takes in all within the radius, and these, by their distance from it, what they reach of the rest:
+    rows whose distances from it differ by more than the radius can't be within it of each other."""
+    n, pairs = len(cols[0]), 0
+    label, rest = np.arange(n), np.arange(n)
+    while len(rest):
+        pivot = rest[0]
+        d = _apart(cols, pivot, rest).astype(np.int32)
+        pairs += len(rest)
+        near = d <= radius
+        label[rest[near]] = pivot
+        front, far, rest, apart = rest[near], d[near], rest[~near], d[~near]
+        while len(front) and len(rest) and apart.min() <= far.max() + radius:
+            order = np.argsort(-far, kind="stable")
+            front, far, found = front[order], far[order], np.zeros(len(rest), bool)
+            for at in range(0, len(front), 256):
+                some, low, high = front[at : at + 256], far[at : at + 256].min() - radius, far[at] + radius
+                cand = np.flatnonzero(~found & (apart >= low) & (apart <= high))
+                if not len(cand) and apart.min() > high:
+                    break
+                pairs += len(cand) * len(some)
+                if pairs > most_pairs:
+                    label[rest[found]] = pivot
+                    return label, False
+                for cut in range(0, len(cand), 4096):
+                    c = cand[cut : cut + 4096]
+                    found[c] = (_apart(cols, some[:, None], rest[c][None]) <= radius).any(axis=0)
+            front, far = rest[found], apart[found]
+            label[front] = pivot
+            rest, apart = rest[~found], apart[~found]
+        if pairs > most_pairs:
+            return label, not len(rest)
+    return label, True
 
 
 def _link(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -160,11 +225,15 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return d.mapInArrow(run, "id bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
 
 
-def forest_edges(reps: DataFrame, deepest: int, trees: int, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
+def forest_edges(reps: DataFrame, deepest: int, trees: int, radius: int = RADIUS, leaf: int = LEAF, most_pairs: float = MOST_PAIRS, most_rows: int = MOST_ROWS) -> DataFrame:
     """(a, b), b < a: edges that link the rows of reps (id, f0..f3, distinct) within radius which share a node of any
-    tree. The shuffle carries a row a tree, 52 bytes; nodes of a tree's top prefix meet in one partition, sorted."""
-    perms = permutations(trees)
-    shortest = max(2, deepest - 6)
+    tree; and (a, null) for each crowded row a. The shuffle carries a row a tree, 52 bytes; nodes of a tree's top prefix
+    meet in one partition, sorted, and a task holds the rows of one.
+
+    At KEY_BITS, where prefixes can't get longer, work isn't bounded and a prefix with too many rows keeps one row of each
+    component as it goes on, so that rows which that long a prefix shares are still linked."""
+    perms = permutations(trees, 20240229 + deepest)
+    shortest, last = max(2, deepest - 6), deepest >= KEY_BITS
     out = pa.schema([("g", pa.int64()), ("key", pa.int64()), *_FP])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,35 +243,53 @@ def forest_edges(reps: DataFrame, deepest: int, trees: int, radius: int = RADIUS
                 fp = np.stack([s.column(w).to_numpy() for w in WORDS], axis=1).view(np.uint64)
                 for t in range(trees):
                     key = keys(fp, perms[t])
-                    yield pa.record_batch([pa.array((t << shortest) + (key >> (32 - shortest))), pa.array(key), *(s.column(c) for c in ("id", *WORDS))], schema=out)
+                    yield pa.record_batch([pa.array((t << shortest) + (key >> (KEY_BITS - shortest))), pa.array(key), *(s.column(c) for c in ("id", *WORDS))], schema=out)
+
+    def solve(part: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:
+        """(edges and crowded rows, which rows are their components' first)"""
+        g, key, ids = (part.column(c).to_numpy() for c in ("g", "key", "id"))
+        fp = np.stack([part.column(w).to_numpy() for w in WORDS], axis=1).view(np.uint64)
+        first = np.r_[0, np.flatnonzero(g[1:] != g[:-1]) + 1, len(g)]
+        node = np.concatenate([nodes(key[x:y], shortest, deepest, leaf) + x for x, y in zip(first[:-1], first[1:], strict=True)])
+        label, crowded = roots(fp, node, radius, math.inf if last else most_pairs)
+        linked = np.flatnonzero(label != np.arange(len(label)))
+        a, b, more = ids[linked], ids[label[linked]], ids[crowded]
+        return _edges(np.r_[np.maximum(a, b), more], np.minimum(a, b)), label == np.arange(len(label))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def solve(part: pa.Table) -> pa.RecordBatch:
-            g, key, ids = (part.column(c).to_numpy() for c in ("g", "key", "id"))
-            fp = np.stack([part.column(w).to_numpy() for w in WORDS], axis=1).view(np.uint64)
-            first = np.r_[0, np.flatnonzero(g[1:] != g[:-1]) + 1, len(g)]
-            node = np.concatenate([nodes(key[x:y], shortest, deepest, leaf) + x for x, y in zip(first[:-1], first[1:], strict=True)])
-            label = roots(fp, node, radius)
-            linked = np.flatnonzero(label != np.arange(len(label)))
-            a, b = ids[linked], ids[label[linked]]
-            return pa.record_batch([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+        held: list[pa.RecordBatch | pa.Table] = []
+        rows, over = 0, None  # over: the group that is crowded as a whole
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(batch)
-            g = batch.column("g")
-            if g[0] != g[-1]:  # all groups but the last are whole
-                cut = int(np.searchsorted(g.to_numpy(), g[-1].as_py()))
-                yield solve(pa.Table.from_batches([*held[:-1], batch.slice(0, cut)]))
-                held = [batch.slice(cut)]
-            elif len(held) > 1 and held[-2].column("g")[-1] != g[0]:
-                yield solve(pa.Table.from_batches(held[:-1]))
-                held = held[-1:]
+            g = batch.column("g").to_numpy()
+            if over is not None:
+                cut = int(np.searchsorted(g, over, side="right"))
+                yield _edges(batch.column("id").to_numpy()[:cut], np.zeros(0, np.int64))
+                if cut == len(g):
+                    continue
+                batch, g, over = batch.slice(cut), g[cut:], None
+            if held and held[-1].column("g")[-1].as_py() != g[0]:
+                yield solve(_table(held))[0]
+                held, rows = [], 0
+            cut = int(np.searchsorted(g, g[-1]))
+            if cut:  # all groups but the last are whole
+                yield solve(_table([*held, batch.slice(0, cut)]))[0]
+                held, rows = [], 0
+            held.append(batch.slice(cut))
+            rows += held[-1].num_rows
+            if rows > most_rows and not last:
+                yield _edges(_table(held).column("id").to_numpy(), np.zeros(0, np.int64))
+                held, rows, over = [], 0, g[-1]
+            elif rows > most_rows:
+                part = _table(held)
+                edges, first = solve(part)
+                yield edges
+                held = [part.filter(pa.array(first))]
+                rows = held[0].num_rows // 2  # rows that stay unlinked may take twice the room
         if held:
-            yield solve(pa.Table.from_batches(held))
+            yield solve(_table(held))[0]
 
     spark = reps.sparkSession
     rows = reps.select("id", *WORDS).mapInArrow(spread, "g bigint, key bigint, id bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
@@ -210,6 +297,33 @@ def forest_edges(reps: DataFrame, deepest: int, trees: int, radius: int = RADIUS
     return met.mapInArrow(join, "a bigint, b bigint").distinct()
 
 
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Rows (a, b), with null where b is shorter."""
+    none = np.zeros(len(a), bool)
+    none[len(b) :] = True
+    return pa.record_batch([pa.array(a), pa.array(np.r_[b, np.zeros(len(a) - len(b), np.int64)], mask=none)], names=["a", "b"])
+
+
+def _table(parts: list) -> pa.Table:
+    return pa.concat_tables([p if isinstance(p, pa.Table) else pa.Table.from_batches([p]) for p in parts])
+
+
+def links(reps: DataFrame, radius: int = RADIUS, recall: float = RECALL, leaf: int = LEAF, most_pairs: float = MOST_PAIRS, most_rows: int = MOST_ROWS) -> DataFrame:
+    """(a, b): edges that link the rows of reps (id, f0..f3, distinct) within radius; forests for crowded rows descend."""
+    deepest, trees = forest_shape(reps.count(), radius, recall, leaf)
+    edges = None
+    while True:
+        found = checkpoint(forest_edges(reps, deepest, trees, radius, leaf, most_pairs, most_rows))
+        some = found.where("b is not null")
+        edges = some if edges is None else edges.union(some)
+        crowded = found.where("b is null").select(F.col("a").alias("id"))
+        if deepest >= KEY_BITS or not crowded.limit(1).count():
+            return edges
+        reps = checkpoint(reps.join(crowded, "id", "left_semi"))
+        deepest = min(KEY_BITS, deepest + DESCENT)
+        trees = trees_for(deepest, radius, recall)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root): the least id of each connected component, for every id of edges (a, b) but the roots.
 
@@ -237,8 +351,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of its smallest fingerprint. An empty table gives an empty result. A text of any length counts whole."""
     fps = checkpoint(fingerprint_table(docs, id_col, text_col).groupBy("id").agg(F.min(F.struct(*WORDS)).alias("f")).select("id", "f.*"))
     reps = checkpoint(fps.groupBy(*WORDS).agg(F.min("id").alias("id")))
-    deepest, trees = forest_shape(reps.count(), radius, recall, leaf)
-    linked = components(forest_edges(reps, deepest, trees, radius, leaf))
+    linked = components(links(reps, radius, recall, leaf))
     by_rep = fps.join(reps.withColumnRenamed("id", "rep"), WORDS).select("id", "rep")
     grouped = by_rep.join(linked.toDF("rep", "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("group_id"))
     ids = pick(docs, id=id_col).where("id is not null").select(F.col("id").cast("bigint")).distinct()
