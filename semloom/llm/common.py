@@ -104,9 +104,24 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     """64-bit polynomial hash of each raw[start:end], equal for equal bytes wherever they lie."""
     if not len(starts):
         return np.zeros(0, np.uint64)
+    return mix(span_sums(prefix_sums(raw), starts, ends) + (ends - starts).astype(np.uint64))
+
+
+def prefix_sums(raw: np.ndarray) -> np.ndarray:
+    """What span_sums() needs of all bytes."""
     prefix = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power(len(raw), _B, "b"), out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * _power(len(raw), _B_INV, "i")[starts] + (ends - starts).astype(np.uint64))
+    return prefix
+
+
+def span_sums(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial of each span's bytes, not mixed yet."""
+    return (prefix[ends] - prefix[starts]) * span_scale(starts)
+
+
+def span_scale(starts: np.ndarray) -> np.ndarray:
+    """What a difference of prefix_sums() from each start on is multiplied by."""
+    return _power(int(starts.max(initial=0)) + 1, _B_INV, "i")[starts]
 
 
 #: Byte -> folded byte: ASCII letters lower case, other ASCII but digits a space; bytes of longer characters stay.

@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-A text's features are its words, its pairs of successive words and its byte n-grams (spaces included, so that they mark
-word ends), each hashed to a row of one embedding table. A pair's hash is that of the difference of its words' hashes, so
+A text's features are its words, its pairs of successive words and the character n-grams of its words (a space before and
+after a word is part of it, so that it marks the word's ends), each hashed to a row of one embedding table. A pair's hash is that of the difference of its words' hashes, so
 that all repeats of a word on the spot share one learned vector, whatever the word. The mean of a text's vectors goes through a linear layer and a softmax; table and layer are
 learned together by stochastic gradient descent in numpy on a bounded, documented sample of the labelled rows.
 The output is linear in the mean, so for scoring each feature's vector is folded into its class scores once, and a text
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semloom.llm.common import mix, pick, positional, row_sums, span_hashes, table, text_bytes, text_slices, words
+from semloom.llm.common import mix, pick, positional, prefix_sums, row_sums, span_scale, span_sums, table, text_bytes, text_slices, words
 
 
 def features(raw: np.ndarray, offsets: np.ndarray, bits: int, orders: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -25,26 +25,29 @@ def features(raw: np.ndarray, offsets: np.ndarray, bits: int, orders: tuple[int,
     a row."""
     shift = np.uint64(64 - bits)
     start, end, row = words(raw, offsets)
-    h = span_hashes(raw, start, end)
+    prefix = prefix_sums(raw)
+    h = mix(span_sums(prefix, start, end) + (end - start).astype(np.uint64))
     yield (h >> shift).astype(np.int64), row
     if len(h) > 1:
         same = row[1:] == row[:-1]
         yield (mix(h[1:][same] - h[:-1][same] + np.uint64(1)) >> shift).astype(np.int64), row[1:][same]
-    size = np.diff(offsets)
-    wide = raw.astype(np.uint32)
-    for n in orders:
-        if len(raw) < n:
-            continue
-        h = np.full(len(raw) - n + 1, n * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
-        for j in range(n):
-            h = (h ^ wide[j : len(raw) - n + 1 + j]) * np.uint32(0x01000193)
-            h ^= h >> np.uint32(15)
-        count = np.maximum(size - n + 1, 0)
-        inside = np.zeros(len(raw) + 1, np.int32)
-        np.add.at(inside, offsets[:-1][count > 0], 1)
-        np.add.at(inside, (offsets[:-1] + count)[count > 0], -1)
-        keep = np.cumsum(inside)[: len(h)] > 0
-        yield (h[keep] * np.uint32(0x85EBCA6B) >> np.uint32(32 - bits)).astype(np.int64), np.repeat(np.arange(len(size)), count)
+    char = np.r_[np.flatnonzero((raw & 0xC0) != 0x80), len(raw)]  # first byte of each character
+    first = np.searchsorted(char, offsets)
+    n = len(char) - 1
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    # the last character that an n-gram from each character on may have: the next space, or the text's last one
+    stop = np.minimum.accumulate(np.where(raw[char[:-1]] <= 32, np.arange(n), n)[::-1])[::-1]
+    stop = np.minimum(np.r_[stop[1:], n], first[1:][row] - 1)
+    size = stop - np.arange(n)
+    size, row = size.astype(np.int32), row.astype(np.int32)
+    sums, scale = prefix[char], span_scale(char)
+    for order in orders:
+        keep = size[: max(n - order + 1, 0)] >= order - 1
+        h = ((sums[order:] - sums[: len(keep)]) * scale[: len(keep)])[keep]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93 + 2 * order)
+        yield (h >> shift).view(np.int64), row[: len(keep)][keep]
 
 
 #: A text is kept if it is of high quality with more than this probability.
@@ -100,9 +103,10 @@ class Model:
         """(class probabilities of each row, number of its features)."""
         n = len(offsets) - 1
         total, count = np.zeros((n, len(self.classes))), np.zeros(n, np.int64)
+        scores = np.ascontiguousarray(self.scores.T, np.float64)
         for f, row in features(raw, offsets, self.bits, self.orders):
             for k in range(len(self.classes)):
-                total[:, k] += row_sums(self.scores[:, k].take(f).astype(np.float64), row, n)
+                total[:, k] += row_sums(scores[k].take(f), row, n)
             count += np.bincount(row, minlength=n)
         return _softmax(total / np.maximum(count, 1)[:, None] + self.bias), count
 
@@ -149,8 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, model: Model | None = None, **training) -> DataFrame:
-    """(id, p_low, p_high, n_features, keep) of every row of docs. keep: p_high is above the threshold, which is below
-    one half so that a text is only dropped when the model is fairly sure. Null and empty texts: probabilities null,
+    """(id, p_low, p_high, n_features, keep) of every row of docs. keep: p_high is above the threshold (a tie with it goes),
+    which is below one half so that a text is only dropped when the model is fairly sure. Null and empty texts: probabilities null,
     n_features 0, keep false. Repeated rows give repeated results, an empty table an empty one; a null id stays null."""
     model = model or train(docs, labels, id_col, text_col, **training)
     d = pick(docs, i=id_col, x=text_col)
