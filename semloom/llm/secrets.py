@@ -2,7 +2,8 @@
 
 Every text is a layer. A layer is scanned by the rules; then each way to unwrap it (percent escapes, Unicode escapes,
 base64, and gzip, zlib or bzip2 inside base64) adds the layers it yields to the worklist, until nothing new comes.
-A layer that was seen before in the same text, by content and place, isn't taken again, so cycles end. Each layer
+A layer that was seen before in the same text, by content and place, isn't taken again, so cycles end. An escape that is
+escaped many times over ("%252525...") is taken down to its last level at once, so that depth costs no layers. Each layer
 keeps a map of its characters to spans of the original text, and findings are reported there.
 """
 
@@ -14,10 +15,10 @@ import hashlib
 import re
 import zlib
 from bisect import bisect_right
+from collections import deque
 from collections.abc import Iterator
 from itertools import chain
 from typing import NamedTuple
-from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,12 +35,17 @@ RULES: dict[str, tuple[tuple[str, ...], re.Pattern[str]]] = {
     "stripe_key": (("sk_live_", "rk_live_"), re.compile(r"\b(?P<s>[sr]k_live_[A-Za-z0-9]{16,})")),
     "jwt": (("eyJ",), re.compile(r"\b(?P<s>eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})")),
     "private_key": (("PRIVATE KEY-----",), re.compile(r"(?P<s>-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]*?-----END (?:[A-Z]+ )*PRIVATE KEY-----)")),
-    "url_password": (("://",), re.compile(r"://[^\s/:@]{1,64}:(?P<s>[^\s/:@]{4,128})@")),
+    "url_password": (("://",), re.compile(r"://[^\s/:@]+:(?P<s>[^\s/:@]{4,})@")),
 }
-_NAMES = ("token", "secret", "passwd", "password", "api_key", "apikey", "api-key", "access_key", "access-key", "auth_key", "client_key")
-_ASSIGNED = re.compile(r"(?i)(?:token|secret|passwo?r?d|api[_-]?key|access[_-]?key|auth_key|client_key)[\w-]{0,32}[\"']?[ \t]{0,8}(?:=>|:=|=|:)[ \t]{0,8}[\"']?(?P<s>[A-Za-z0-9_\-./+=]{16,})")
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\x[0-9A-Fa-f]{2})+|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
+_NAMES = ("token", "secret", "passwd", "password", "api_key", "apikey", "api-key", "access_key", "access-key", "accesskey", "auth_key", "client_key")
+_NAME = re.compile(r"(?i)token|secret|passwo?r?d|api[_-]?key|access[_-]?key|auth_key|client_key")
+_ASSIGNED = re.compile(r"(?:=>|:=|=|:)[ \t]*[\"']?(?=[A-Za-z0-9_\-./+=]{16})")
+_VALUE = re.compile(r"[A-Za-z0-9_\-./+=]+")
+_PERCENT = re.compile(r"(?:%25(?:25)+|%[0-9A-Fa-f]{2})+")
+_PERCENT_UNIT = re.compile(r"%25(?:25)+|%..")
+_UNICODE = re.compile(r"\\u005[cC](?:u005[cC])+|\\x5[cC](?:x5[cC])+|&#38;(?:#38;)+|(?:\\u(?!005[cC]u005[cC])[0-9A-Fa-f]{4})+|\\u\{0*[0-9A-Fa-f]{1,6}\}|(?:\\x(?!5[cC]x5[cC])[0-9A-Fa-f]{2})+|&#x0*[0-9A-Fa-f]{1,6};|&#0*[0-9]{1,7};")
+#: A backslash or an ampersand that is escaped twice or more.
+_NESTED = re.compile(r"\\(?:u005[cC]){2,}|\\(?:x5[cC]){2,}|&#38;(?:#38;)+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)*={0,2}")
 #: A compressed layer that unpacks to more characters than this is reported as rule "oversize_layer", not unpacked.
 MAX_UNPACKED = 1 << 26
@@ -79,9 +85,25 @@ def scan_layer(text: str) -> Iterator[tuple[str, int, int]]:
                 yield rule, *m.span("s")
     low = text.lower()
     if any(x in low for x in _NAMES):
-        for m in _ASSIGNED.finditer(text):
-            if _entropic(m["s"]):
-                yield "assigned_secret", *m.span("s")
+        pos = 0
+        while m := _ASSIGNED.search(text, pos):
+            pos = m.end()
+            if _NAME.search(_word_before(text, m.start())):
+                v = _VALUE.match(text, pos)
+                pos = v.end()
+                if _entropic(v[0]):
+                    yield "assigned_secret", *v.span()
+
+
+def _word_before(text: str, end: int) -> str:
+    """The word that ends there, or before spaces and a quote there."""
+    while end and text[end - 1] in " \t":
+        end -= 1
+    end -= bool(end) and text[end - 1] in "\"'"
+    start = end
+    while start and (text[start - 1].isalnum() or text[start - 1] in "_-"):
+        start -= 1
+    return text[start:end]
 
 
 def _replaced(layer: Layer, pattern: re.Pattern[str], how: str, decode) -> Layer | None:
@@ -124,19 +146,23 @@ def _replaced(layer: Layer, pattern: re.Pattern[str], how: str, decode) -> Layer
 
 def _percent(s: str) -> list[tuple[str, int, int]]:
     """UTF-8 characters; a byte that belongs to none is U+FFFD."""
-    data, out, at = unquote_to_bytes(s), [], 0
+    units = list(_PERCENT_UNIT.finditer(s))
+    data, ends = bytes(int(m[0][1:3], 16) for m in units), [0, *(m.end() for m in units)]
+    out, at = [], 0
     while at < len(data):
         n = 1 if data[at] < 0xC0 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
         try:
             c = data[at : at + n].decode()
         except UnicodeDecodeError:
             c, n = "\ufffd", 1
-        out.append((c, 3 * at, 3 * (at + n)))
+        out.append((c, ends[at], ends[at + n]))
         at += n
     return out
 
 
 def _unicode(s: str) -> list[tuple[str, int, int]]:
+    if _NESTED.fullmatch(s):
+        return [(s[0], 0, len(s))]
     if s.startswith("&#x"):
         return [(chr(int(s[3:-1], 16)), 0, len(s))]
     if s.startswith("&#"):
@@ -286,9 +312,9 @@ def _based(layer: Layer) -> Iterator[Layer | Finding]:
 def scan(text: str) -> list[Finding]:
     """Findings of the text and of all layers under it, by place; of equal (rule, place) the shallowest layer's."""
     found: dict[tuple[str, int, int], Finding] = {}
-    work, seen = [Layer(text, (), [0], [(0, len(text), True)])], set()
+    work, seen = deque([Layer(text, (), [0], [(0, len(text), True)])]), set()
     while work:
-        layer = work.pop(0)
+        layer = work.popleft()
         key = (hashlib.blake2b(layer.text.encode("utf-8", "replace"), digest_size=16).digest(), layer.spans[0][0], layer.spans[-1][1])
         if key in seen:
             continue
