@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,13 +39,24 @@ def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder of spark.checkpoint.dir; a folder of its own only where that is unset."""
+    """Cut lineage through the shared folder of spark.checkpoint.dir."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="semloom-ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary one if all of Spark runs in this process, else
+    an error, as executors elsewhere couldn't reach it."""
+    sc = spark.sparkContext
+    if folder := sc.getConf().get("spark.checkpoint.dir"):
+        return folder
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+    return tempfile.mkdtemp(prefix="semloom-")
+
+
 def n_shuffle(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -128,11 +140,32 @@ def span_scale(starts: np.ndarray) -> np.ndarray:
 FOLD = np.array([b if chr(b).isdigit() or b >= 128 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256)], np.uint8)
 
 
+def _folded(c: str) -> int:
+    """Code point of a character's lower case, if that takes as many bytes; 0 for punctuation, symbols and spaces."""
+    if unicodedata.category(c)[0] in "PSZ" or unicodedata.category(c) in ("Cc", "Cf"):
+        return 0
+    low = c.lower()
+    return ord(low) if len(low) == 1 and len(low.encode()) == len(c.encode()) else ord(c)
+
+
+#: Code point of two or three bytes -> folded code point. Surrogates can't occur.
+_FOLD_WIDE = np.array([0 if i < 128 else i if 0xD800 <= i < 0xE000 else _folded(chr(i)) for i in range(1 << 16)], np.uint16)
+
+
 def fold(raw: np.ndarray) -> np.ndarray:
-    """Lower case (ASCII and Latin-1), punctuation as spaces; as long as the input."""
+    """Lower case, punctuation and other separators as spaces; as long as the input. Letters whose lower case takes more
+    or fewer bytes, and characters of four bytes, stay as they are."""
     out = FOLD[raw]
-    upper = np.flatnonzero((raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)) + 1
-    out[upper] += 0x20
+    wide = np.flatnonzero(raw >= 0xC2)
+    if len(wide):
+        lead = raw[wide].astype(np.uint16)
+        at = wide[lead < 0xE0]
+        low = _FOLD_WIDE[(raw[at].astype(np.uint16) & 31) << 6 | raw[at + 1] & 63]
+        out[at], out[at + 1] = np.where(low, low >> 6 | 0xC0, 32), np.where(low, low & 63 | 0x80, 32)
+        at = wide[(lead >= 0xE0) & (lead < 0xF0)]
+        if len(at):
+            low = _FOLD_WIDE[(raw[at].astype(np.uint16) & 15) << 12 | (raw[at + 1].astype(np.uint16) & 63) << 6 | raw[at + 2] & 63]
+            out[at], out[at + 1], out[at + 2] = np.where(low, low >> 12 | 0xE0, 32), np.where(low, low >> 6 & 63 | 0x80, 32), np.where(low, low & 63 | 0x80, 32)
     return out
 
 
