@@ -39,3 +39,15 @@ def test_entry(spark, sf):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries()) and set(plans.QUERIES) <= set(e.queries())
+
+
+@pytest.mark.parametrize("missing", ["semloom.llm", "ahocorasick", "corpus_pipeline"])
+def test_entry_without_the_corpus_parts(missing):
+    """What can't be imported takes no other query along."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries(), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) >= len(plans.QUERIES) and out[1] == "False" and int(out[2]) >= len(plans.SQL)
