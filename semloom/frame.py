@@ -171,7 +171,7 @@ class SemanticFrame:
         found = checkpoint(reconstruct.entities(triples, options.get("base", HOME)))  # read for labels, template, audit and table
         if report:
             Path(report).parent.mkdir(parents=True, exist_ok=True)
-            Path(report).write_text(reconstruct.report(reconstruct.conflicts(found, entries)), encoding="utf-8")
+            Path(report).write_text(reconstruct.report(reconstruct.conflicts(found, entries, stored=True)), encoding="utf-8")
         labels = reconstruct.labels_of(found)
         if entries is not None:
             labels = sorted({*labels, *(e.alt_label for e in entries)})
@@ -188,6 +188,19 @@ class SemanticFrame:
         return cls.from_triples(rdf.from_documents(spark, documents), **options)
 
 
+def csv_folder_to_rdf(spark: SparkSession, folder: str, out: str, header_rows: bool = False, fmt: str = "json-ld", **options) -> list[str]:
+    """Each CSV file of a folder as a set of its own: out/NAME/ has its rows as RDF files, and its template and relations."""
+    done = []
+    for path in tables.csv_files(spark, folder):
+        frame = SemanticFrame.from_csv(spark, path, header_rows, **options)
+        target = f"{out}/{frame.name}"
+        frame.serialize_rows(f"{target}/rows", fmt)
+        frame.save_template(f"{target}/{frame.name}_template.jsonld", f"{target}/{frame.name}_matched.txt", f"{target}/{frame.name}_unmatched.txt")
+        frame.save_relations(f"{target}/{frame.name}_relations.json")
+        done.append(target)
+    return done
+
+
 def rdf_to_tables(spark: SparkSession, folder: str, out: str, name: str = "merged_output", formats: Sequence[str] = ("csv", "parquet", "arrow"), orcid: str = NO_ORCID) -> list[str]:
     """A folder of RDF files as one table with header rows."""
     frame = SemanticFrame.from_rdf(spark, folder, name=name, orcid=orcid, report=f"{out}/{name}_report.txt")

@@ -295,7 +295,8 @@ def merge_variables(rows: DataFrame) -> DataFrame:
 def cube_table(triples: DataFrame, variables: DataFrame | None = None) -> DataFrame:
     """The wide table of a cube's triples: dimensions, then measures; a row for each tuple of dimensions, over all data
     sets. A measure that comes twice for a tuple takes the observation that sorts last; NotFound reads as null, a tuple
-    without any measure has no row. All columns are text but measures of numbers, which are doubles."""
+    without any measure has no row. All columns are text but measures of numbers, which are doubles. Rows go by
+    ExperimentId, where there is one: by its number, ones that are none last and by text."""
     described = (read_variables(triples) if variables is None else variables).orderBy("name").collect()
     dims = [(r["name"], r["existing"]) for r in described if not r["is_measure"]]
     measures = {r["existing"]: r["name"] for r in described if r["is_measure"]}
@@ -317,6 +318,8 @@ def cube_table(triples: DataFrame, variables: DataFrame | None = None) -> DataFr
     kinds = triples.where(F.col("p").isin(*measures) & (F.col("o_kind") == "lit")).groupBy("p").agg(F.bool_and(F.coalesce(F.col("o_dt") == f"{XSD}double", F.lit(False))).alias("number")) if measures else None
     for r in kinds.where("number").collect() if measures else ():
         out = out.withColumn(measures[r["p"]], F.col(f"`{measures[r['p']]}`").cast("double"))
+    if EXPERIMENT in out.columns:
+        out = out.orderBy(F.expr(f"try_cast({EXPERIMENT} as double)").asc_nulls_last(), EXPERIMENT)
     return out
 
 

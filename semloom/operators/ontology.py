@@ -7,6 +7,7 @@ aggregates over terms.TRIPLES, closures go by semi-naive rounds that end on cycl
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,14 +44,15 @@ def properties(onto: DataFrame) -> DataFrame:
     return best.select("label", "iri", F.when(F.col("k") == 1, "datatype").otherwise("object").alias("kind"))
 
 
-def closure(edges: DataFrame, most: int = 1000, reflexive: bool = True) -> DataFrame:
+def closure(edges: DataFrame, reflexive: bool = True) -> DataFrame:
     """(child, ancestor, depth) reachable over edges (child, parent); depth is the shortest way, 0 for a node itself
-    (reflexive). Each round joins only what the last one found, so cycles end; rounds are checkpointed."""
+    (reflexive). Each round joins only what the last one found, so cycles end, however deep the hierarchy is; rounds are
+    checkpointed."""
     edges = checkpoint(edges.select("child", "parent").where("child is not null and parent is not null").distinct())
     nodes = edges.select("child").union(edges.select("parent")).distinct()
     start = nodes.select("child", F.col("child").alias("ancestor"), F.lit(0).alias("depth"))
     known = frontier = checkpoint(start)
-    for depth in range(1, most + 1):
+    for depth in count(1):
         step = frontier.join(edges.select(F.col("child").alias("ancestor"), "parent"), "ancestor").select("child", F.col("parent").alias("ancestor")).distinct()
         new = checkpoint(step.join(known, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
@@ -177,26 +179,38 @@ def top_categories(onto: DataFrame, namespace: str = "") -> DataFrame:
     return both.withColumn("least", least).where("way = least").select("iri")
 
 
-def classify_leaves(onto: DataFrame, leaves: DataFrame, tops: DataFrame, most: int = 100) -> DataFrame:
+def classify_leaves(onto: DataFrame, leaves: DataFrame, tops: DataFrame) -> DataFrame:
     """(iri, top) of every leaf: the top that a walk over subclass edges, then broader ones, first meets, or null. The
-    walk goes depth first by (kind of edge, IRI); way is that order as an array, so the least one wins."""
+    walk goes depth first by (kind of edge, IRI) and comes to a node once, by the way that is first in that order.
+
+    First the nodes from which a top can be reached are found, upwards from the tops. From a leaf, the first step towards
+    such a node is then always right, but for nodes that the walk has been at: a step that only leads back to them isn't
+    one, so each leaf carries its walk along, a row a leaf, and steps back where it is stuck."""
     kind = F.when(F.col("p") == f"{RDFS}subClassOf", "0").when(F.col("p") == f"{SKOS}broader", "1")
     edges = checkpoint(onto.where((F.col("o_kind") == "iri") & kind.isNotNull()).select(F.col("s").alias("at"), F.concat(kind, "o").alias("step"), F.col("o").alias("next")).distinct())
-    ends = tops.select(F.col("iri").alias("at"), F.lit(True).alias("end")).distinct()
-    walk = checkpoint(leaves.select("iri", F.col("iri").alias("at"), F.array().cast("array<string>").alias("way"), F.array("iri").alias("been")))
+    ends = checkpoint(tops.select(F.col("iri").alias("at")).distinct())
+    live = frontier = ends
+    while not frontier.isEmpty():
+        found = edges.join(frontier.withColumnRenamed("at", "next"), "next", "left_semi").select("at").distinct()
+        frontier = checkpoint(found.join(live, "at", "left_anti"))
+        live = checkpoint(live.union(frontier))
+    # a node's steps towards tops, in order; a top has none
+    steps = edges.join(live.withColumnRenamed("at", "next"), "next", "left_semi").join(ends, "at", "left_anti")
+    steps = checkpoint(steps.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("step", "next"))).alias("steps")))
+    walk = checkpoint(leaves.select("iri", F.array("iri").alias("way"), F.array("iri").alias("been")).distinct())
     done = None
-    for _ in range(most):
-        marked = walk.join(ends, "at", "left")
-        hit = marked.where("end").select("iri", F.col("at").alias("top"), "way")
+    while not walk.isEmpty():
+        at = walk.withColumn("at", F.element_at("way", -1))
+        hit = checkpoint(at.join(ends, "at", "left_semi").select("iri", F.col("at").alias("top")))
         done = hit if done is None else done.union(hit)
-        on = marked.where("end is null").join(edges, "at").where(~F.array_contains("been", F.col("next")))
-        # of the ways to a node only the first counts: what lies behind it is the same for all
-        walk = checkpoint(on.select("iri", F.col("next").alias("at"), F.concat("way", F.array("step")).alias("way"), F.concat("been", F.array("next")).alias("been")))
-        done = checkpoint(done.groupBy("iri").agg(F.min_by(F.struct("top", "way"), "way").alias("b")).select("iri", "b.top", "b.way"))
-        walk = walk.join(done.select("iri", F.col("way").alias("best")), "iri", "left").where("best is null or way < best").drop("best")
-        if walk.isEmpty():
-            break
-    return leaves.select("iri").distinct().join(done.select("iri", "top"), "iri", "left")
+        on = at.join(ends, "at", "left_anti").join(steps, "at", "left")
+        on = on.withColumn("next", F.get(F.filter(F.coalesce("steps", F.array()), lambda x: ~F.array_contains("been", x["next"])), F.lit(0))["next"])
+        back = F.slice("way", F.lit(1), F.size("way") - 1)
+        way = F.when(F.col("next").isNull(), back).otherwise(F.concat("way", F.array("next")))
+        been = F.when(F.col("next").isNull(), F.col("been")).otherwise(F.concat("been", F.array("next")))
+        walk = checkpoint(on.select("iri", way.alias("way"), been.alias("been")).where(F.size("way") > 0))
+    out = leaves.select("iri").distinct()
+    return out.withColumn("top", F.lit(None).cast("string")) if done is None else out.join(done, "iri", "left")
 
 
 def classification(low: DataFrame, combined: DataFrame, namespace: str = "", bindings: Mapping[str, str] = PREFIXES) -> DataFrame:

@@ -42,7 +42,8 @@ def wide(found: DataFrame, labels: Sequence[str] | None = None, source: str | No
     subject that sorts last. `source` names the column that holds the graph; None leaves it out."""
     labels = labels_of(found) if labels is None else list(labels)
     last = F.max_by("value", F.struct("s", "value"))
-    out = found.groupBy("g").pivot("label", labels).agg(last) if labels else found.select("g").distinct()
+    # one shuffle serves both groupings of the pivot
+    out = found.select("g", "s", "label", "value").repartition("g").groupBy("g").pivot("label", labels).agg(last) if labels else found.select("g").distinct()
     return out.withColumnRenamed("g", source) if source else out.drop("g")
 
 
@@ -64,10 +65,13 @@ def template_entries(definitions: DataFrame) -> list[Entry]:
     return [Entry(r["label"], r["type"] or "home:" + r["label"], r["definition"] or NO_DEFINITION, (r["unit"] or UNITLESS).removeprefix(UNIT), r["stage"] or "", r["note"] or "") for r in rows]
 
 
-def conflicts(found: DataFrame, template: Sequence[Entry] | None = None, bindings=PREFIXES) -> DataFrame:
+def conflicts(found: DataFrame, template: Sequence[Entry] | None = None, bindings=PREFIXES, stored: bool = False) -> DataFrame:
     """(g, label, kind, expected, found, expected_from) of every entity whose unit or type isn't what the template says
-    or, for labels that it lacks, what the label's first definition says. Types compare as full IRIs."""
+    or, for labels that it lacks, what the label's first definition says. Types compare as full IRIs.
+
+    The entities are read twice, so they are checkpointed, unless they are `stored` already."""
     spark = found.sparkSession
+    found = found if stored else checkpoint(found.select("g", "s", "label", "type", "unit", "definition", "stage", "note"))
     given = spark.createDataFrame([(e.alt_label, expand_name(e.type, bindings), UNIT + e.unit if e.unit else None, "template") for e in template or ()], "label string, t string, u string, origin string")
     seen = first_definitions(found).select("label", F.col("type").alias("t"), F.col("unit").alias("u"), "origin")
     expected = given.unionByName(seen.join(F.broadcast(given.select("label")), "label", "left_anti"))

@@ -70,11 +70,18 @@ def best_ratio(keys: Sequence[str], terms: Sequence[str], cutoff: float = CUTOFF
     return out
 
 
+#: Terms that similar names are looked for in.
+MOST_TERMS = 1_000_000
+
+
 def fuzzy_matches(labels: DataFrame, terms: DataFrame, column: str = "label", term: str = "label", cutoff: float = CUTOFF) -> DataFrame:
-    """(column, iri, term, ratio) of the distinct labels that a term is similar to. The terms are an ontology's labels
-    and go to every task; the labels are column names, however many tables they come from, and stay distributed."""
+    """(column, iri, term, ratio) of the distinct labels that a term is similar to. The terms are an ontology's labels, at
+    most MOST_TERMS (about 100 bytes each), and go to every task; more are an error. The labels are column names, however
+    many tables they come from, and stay distributed."""
     a = labels.select(F.col(column).alias("column")).distinct().withColumn("key", S.normalize("column"))
-    rows = terms.select("iri", F.col(term).alias("term")).withColumn("key", S.normalize("term")).groupBy("key").agg(F.min(F.struct("iri", "term")).alias("t")).select("key", "t.iri", "t.term").collect()
+    rows = terms.select("iri", F.col(term).alias("term")).withColumn("key", S.normalize("term")).groupBy("key").agg(F.min(F.struct("iri", "term")).alias("t")).select("key", "t.iri", "t.term").limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms to compare with")
     names = labels.sparkSession.sparkContext.broadcast({r["key"]: (r["iri"], r["term"]) for r in rows})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -648,3 +648,6 @@ def observations_by_window(spark, d):
     from semloom.streaming import windowed_counts
 
     return windowed_counts(table(spark, d, "events"), "ts", "event_type")
+
+
+from semloom.plans import files  # noqa: E402, F401  registers its queries with these

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,14 +14,24 @@ BROADCAST_ROWS = 200_000
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the folder of spark.checkpoint.dir, which all executors share; a folder of this machine only
-    where that is unset."""
+    """Cut lineage through the folder of spark.checkpoint.dir, which all executors share."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="semloom-ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary one if all of Spark runs in this process, else
+    an error, as executors elsewhere couldn't reach it."""
+    sc = spark.sparkContext
+    if folder := sc.getConf().get("spark.checkpoint.dir"):
+        return folder
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+    return tempfile.mkdtemp(prefix="semloom-")
+
+
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast if it has at most `most` rows. It is counted, so pass one that is cheap to read."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -8,12 +8,14 @@ N-Triples is a projection and a text write; the other formats are written a docu
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
-from pathlib import Path
+from hashlib import sha256
 from urllib.parse import quote, urlparse
 from urllib.request import url2pathname
+from uuid import uuid4
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -84,15 +86,23 @@ def _unescaped(c: Column) -> Column:
     return F.when(c.contains("\\"), F.coalesce(F.get_json_object(F.concat(F.lit('{"v":"'), F.regexp_replace(F.regexp_replace(c, r"\\'", "'"), r"\\U0000([0-9A-Fa-f]{4})", r"\\u$1"), F.lit('"}')), "$.v"), c)).otherwise(c)
 
 
-def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """Triples of N-Triples files, split by lines; g is null. Lines that are no statement are left out."""
-    line = spark.read.text(path).where(F.col("value").rlike(_STATEMENT))
+def read_ntriples(spark: SparkSession, path: str, keep_errors: bool = False) -> DataFrame:
+    """Triples of N-Triples files, split by lines; g is null. A line that is neither a statement nor a comment is an
+    error; keep_errors: it is a row with the predicate ERROR, the line as its object, instead."""
+    line = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#.*)?$"))
+    good = F.col("value").rlike(_STATEMENT)
+    if keep_errors:
+        wrong = line.where(~good).select(*[F.lit(v).cast("string").alias(c) if c != "o" else F.col("value").alias("o") for c, v in zip(TRIPLE_COLUMNS, (None, ERROR, ERROR, None, "lit", None, None), strict=True)])
+        line = line.where(good)
+    else:
+        line = line.where(F.when(good, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no N-Triples statement: "), F.left("value", F.lit(200)))).cast("boolean")))
     part = lambda i: F.regexp_extract("value", _STATEMENT, i)
     bare = lambda c: F.regexp_replace(c, "^<|>$", "")
     kind = F.when(part(3) != "", "iri").when(part(4) != "", "bnode").otherwise("lit")
     obj = F.when(part(3) != "", bare(part(3))).when(part(4) != "", part(4)).otherwise(_unescaped(part(5)))
     none = lambda c: F.when((c != "") & (c != f"{XSD}string"), c)
-    return line.select(F.lit(None).cast("string").alias("g"), bare(part(1)).alias("s"), part(2).alias("p"), obj.alias("o"), kind.alias("o_kind"), none(part(7)).alias("o_dt"), F.lower(none(part(6))).alias("o_lang"))
+    out = line.select(F.lit(None).cast("string").alias("g"), bare(part(1)).alias("s"), part(2).alias("p"), obj.alias("o"), kind.alias("o_kind"), none(part(7)).alias("o_dt"), F.lower(none(part(6))).alias("o_lang"))
+    return out.union(wrong) if keep_errors else out
 
 
 def statement(s: Column, p: Column, o: Column, kind: Column, dt: Column, lang: Column) -> Column:
@@ -114,49 +124,67 @@ def write_ntriples(triples: DataFrame, path: str, mode: str = "error") -> None:
 def documents(triples: DataFrame, fmt: str = "json-ld", prefixes: Mapping[str, str] = PREFIXES) -> DataFrame:
     """(g, document): each graph's distinct triples as one text. A graph has to fit in a task's memory, as its text
     has to; a table's rows do."""
+    return _documents(triples, ["g"], fmt, prefixes)
+
+
+def _documents(triples: DataFrame, by: Sequence[str], fmt: str, prefixes: Mapping[str, str]) -> DataFrame:
+    """(.., document) by the columns `by`, texts."""
     row = F.struct(*TRIPLE_COLUMNS[1:])
-    by = triples.groupBy("g").agg(F.collect_set(row).alias("ts"))
+    grouped = triples.groupBy(*by).agg(F.collect_set(row).alias("ts"))
     bound = dict(prefixes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [rdf_text.write([tuple(t.values()) for t in ts], fmt, bound) for ts in b.column("ts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("g"), pa.array(texts, pa.string())], names=["g", "document"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in by), pa.array(texts, pa.string())], names=[*by, "document"])
 
-    return by.mapInArrow(run, "g string, document string")
+    return grouped.mapInArrow(run, ", ".join(f"{c} string" for c in (*by, "document")))
 
 
 def write_document(triples: DataFrame, path: str, fmt: str = "json-ld", prefixes: Mapping[str, str] = PREFIXES) -> None:
     """All triples as one document, graphs dropped. Only for what one file should hold; see write_ntriples for more."""
     rows = [tuple(r) for r in triples.select(*TRIPLE_COLUMNS[1:]).distinct().toLocalIterator()]
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    target.write_text(rdf_text.write(rows, fmt, prefixes), encoding="utf-8")
+    fs, root = store(path)
+    fs.create_dir(root.rsplit("/", 1)[0] or "/", recursive=True)
+    _put(fs, root, rdf_text.write(rows, fmt, prefixes))
+
+
+def _named(triples: DataFrame, fmt: str, prefixes: Mapping[str, str]) -> DataFrame:
+    """(name, g, document) with graphs of one name beside each other, in order; one shuffle, by name. The name is the end
+    of the graph's id; no graph is "null"."""
+    end = F.regexp_extract(F.coalesce("g", F.lit("null")), r"([^/]*)/*$", 1)
+    met = triples.withColumn("name", end).repartition("name")
+    return _documents(met, ["name", "g"], fmt, prefixes).sortWithinPartitions("name", "g")
+
+
+def _write(docs: DataFrame, folder: str, **options: str) -> None:
+    docs.sparkSession.dataSource.register(RdfDocuments)
+    docs.write.format("rdf_documents").options(**options).mode("append").save(folder)
 
 
 def write_graphs(triples: DataFrame, folder: str, fmt: str = "json-ld", prefixes: Mapping[str, str] = PREFIXES) -> None:
-    """A file a graph, named after the end of the graph's id, in a folder that all executors share."""
-    triples.sparkSession.dataSource.register(RdfDocuments)
-    docs = documents(triples, fmt, prefixes)
-    docs.write.format("rdf_documents").option("fmt", fmt).mode("append").save(folder)
+    """A file a graph in a folder that all executors share, local or of a store that Arrow knows (hdfs, s3, gs).
+
+    A file is named after the end of the graph's id. Of graphs with equal ends the first by id has that name, the others
+    have a hash of their ids behind it. A file appears whole, under its name, once it is written."""
+    _write(_named(triples, fmt, prefixes), folder, fmt=fmt)
 
 
 def write_hashed(triples: DataFrame, folder: str, prefixes: Mapping[str, str] = PREFIXES) -> None:
     """Each graph as folder/ttl/NAME.ttl and folder/jsonld/NAME.jsonld, with the SHA-256 of the latter's bytes in
     folder/hash/NAME.jsonld.sha256. Equal graphs give equal texts, so the hash holds for the file written beside it."""
-    triples.sparkSession.dataSource.register(RdfDocuments)
     for kind, fmt in (("ttl", "turtle"), ("jsonld", "json-ld")):
         write_graphs(triples, f"{folder}/{kind}", fmt, prefixes)
     digest = F.sha2(F.col("document").cast("binary"), 256).alias("document")
-    hashes = documents(triples, "json-ld", prefixes).select("g", digest)
-    hashes.write.format("rdf_documents").option("ending", ".jsonld.sha256").mode("append").save(f"{folder}/hash")
+    _write(_named(triples, "json-ld", prefixes).select("name", "g", digest), f"{folder}/hash", ending=".jsonld.sha256")
 
 
 # --- data source
 
 
 class RdfDocuments(DataSource):
-    """spark.read.format("rdf_documents").load(folder): triples, a partition a file. Writing takes (g, document)."""
+    """spark.read.format("rdf_documents").load(folder): triples, a partition a file. Writing takes (name, g, document),
+    sorted by name and g, all of one name in one partition."""
 
     @classmethod
     def name(cls) -> str:
@@ -172,8 +200,19 @@ class RdfDocuments(DataSource):
         return _Writer(self.options)
 
 
-def _local(path: str) -> Path:
-    return Path(url2pathname(urlparse(path).path)) if path.startswith("file:") else Path(path)
+def store(path: str) -> tuple[pafs.FileSystem, str]:
+    """(file system, path in it) of a local path or an IRI of a store that Arrow knows."""
+    if "://" in path and not path.startswith("file:"):
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), url2pathname(urlparse(path).path) if path.startswith("file:") else path
+
+
+def _put(fs: pafs.FileSystem, path: str, text: str) -> None:
+    """Writes beside the place and moves there, so that nobody finds half a file."""
+    folder, name = path.rsplit("/", 1) if "/" in path else (".", path)
+    with fs.open_output_stream(part := f"{folder}/.{uuid4().hex}.part") as f:
+        f.write(text.encode())
+    fs.move(part, f"{folder}/{name}")
 
 
 class _Reader(DataSourceReader):
@@ -181,14 +220,16 @@ class _Reader(DataSourceReader):
         self.path, self.fmt = options["path"], options.get("fmt")
 
     def partitions(self):
-        root = _local(self.path)
-        files = [root] if root.is_file() else sorted(p for p in root.rglob("*") if p.is_file() and rdf_text.format_of(p.name))
-        return [InputPartition(str(p)) for p in files] or [InputPartition("")]
+        fs, root = store(self.path)
+        info = fs.get_file_info(root)
+        found = [info] if info.is_file else [x for x in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if x.is_file and rdf_text.format_of(x.base_name) and not x.base_name.startswith(".")]
+        return [InputPartition(p) for p in sorted(x.path for x in found)] or [InputPartition("")]
 
     def read(self, partition):
         if not partition.value:
             return
-        text = Path(partition.value).read_text(encoding="utf-8-sig")
+        with store(self.path)[0].open_input_stream(partition.value) as f:
+            text = f.read().decode("utf-8-sig")
         for t in rdf_text.parse(text, self.fmt or rdf_text.format_of(partition.value) or "", partition.value):
             yield (partition.value, *t)
 
@@ -199,9 +240,13 @@ class _Writer(DataSourceWriter):
         self.ending = options.get("ending") or rdf_text.ENDINGS[options.get("fmt", "json-ld")]
 
     def write(self, iterator):
-        folder = _local(self.path)
-        folder.mkdir(parents=True, exist_ok=True)
+        fs, folder = store(self.path)
+        fs.create_dir(folder, recursive=True)
+        before = None
         for row in iterator:
-            name = quote(str(row["g"]).rstrip("/").rsplit("/", 1)[-1], safe="-_.")
-            (folder / f"{name}{self.ending}").write_text(row["document"], encoding="utf-8")
+            name = quote(row["name"], safe="-_.")
+            if row["name"] == before:
+                name += "-" + sha256((row["g"] or "").encode()).hexdigest()[:12]
+            before = row["name"]
+            _put(fs, f"{folder}/{name}{self.ending}", row["document"])
         return WriterCommitMessage()

@@ -25,9 +25,10 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], header_rows: bool =
     """(table, header) of a CSV file; every cell stays the text that it is.
 
     header_rows: the first three rows after the column names hold types, units and study stages, and data starts at row
-    3. header is (ordinal, column, type, unit, stage), null without such rows. Such a file is read as one partition, so
-    that its lines keep their order."""
-    raw = spark.read.option("header", True).option("multiLine", header_rows).csv(path if isinstance(path, str) else list(path))
+    3. header is (ordinal, column, type, unit, stage), null without such rows. A file is split by lines and read by all
+    tasks, unless one of its lines leaves a quote open, so that a cell has a line break: then by one."""
+    paths = path if isinstance(path, str) else list(path)
+    raw = spark.read.option("header", True).option("multiLine", breaks_lines(spark, paths)).csv(paths)
     if not header_rows:
         return raw, _header(spark, raw.columns, None)
     indexed = with_row_index(raw)
@@ -35,6 +36,12 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], header_rows: bool =
     return indexed.where(F.col(ROW) >= 3), _header(spark, raw.columns, head)
 
 
+def breaks_lines(spark: SparkSession, paths: str | Sequence[str]) -> bool:
+    """Whether any line of the files has an odd number of quotes, which each cell with a line break needs."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(paths).where(quotes % 2 == 1).isEmpty()
+
+
 def with_row_index(df: DataFrame) -> DataFrame:
     """df, a scan of files, with the rows' numbers from 0 in the order of its partitions and of the rows within each. Only
     counts per partition are gathered; the scan splits the same files the same way both times."""
@@ -59,17 +66,22 @@ def split_header(df: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
     return rest, _header(df.sparkSession, [c for c in df.columns if c != order], head)
 
 
+def csv_files(spark: SparkSession, folder: str) -> list[str]:
+    """The CSV files of a folder of any file system that Spark reads, by name; their contents aren't read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path").collect()
+    if not found:
+        raise FileNotFoundError(f"no CSV file in {folder}")
+    return sorted(r["path"] for r in found)
+
+
 def read_csv_folder(spark: SparkSession, folder: str) -> DataFrame:
     """All CSV files of a folder with the file's name in __source_file__; files need not have equal columns."""
-    names = [str(p) for p in sorted(Path(folder).glob("*.csv"))]
-    if not names:
-        raise FileNotFoundError(f"no CSV file in {folder}")
     out = None
     by: dict[tuple, list[str]] = {}
-    for n in names:
+    for n in csv_files(spark, folder):
         by.setdefault(tuple(spark.read.option("header", True).csv(n).columns), []).append(n)
     for group in by.values():
-        one = spark.read.option("header", True).csv(group).withColumn("__source_file__", F.col("_metadata.file_name"))
+        one = spark.read.option("header", True).option("multiLine", breaks_lines(spark, group)).csv(group).withColumn("__source_file__", F.col("_metadata.file_name"))
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     return out
 

@@ -381,3 +381,33 @@ def test_streams(spark, tmp_path):
     q = triples.writeStream.format("parquet").option("path", str(tmp_path / "out2")).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out2")).count() == 1
+
+
+def test_walk_through_many_diamonds(spark):
+    """2^14 ways from the leaf to the root, and a cycle on the way: each node is met once."""
+    from semloom.operators import ontology
+    from semloom.terms import RDFS
+
+    edges = [(f"n{i}", f"{side}{i}") for i in range(14) for side in "ab"] + [(f"{side}{i}", f"n{i + 1}") for i in range(14) for side in "ab"] + [("n7", "a6"), ("n14", "top"), ("n3", "other"), ("lone", "nowhere")]
+    rows = [(None, a, f"{RDFS}subClassOf", b, "iri", None, None) for a, b in edges]
+    onto = spark.createDataFrame(rows, "g string, s string, p string, o string, o_kind string, o_dt string, o_lang string")
+    leaves, tops = (spark.createDataFrame([(x,) for x in names], "iri string") for names in (["n0", "lone", "top"], ["top", "other"]))
+    got = {r.iri: r.top for r in ontology.classify_leaves(onto, leaves, tops).collect()}
+    assert got == {"n0": "top", "lone": None, "top": "top"}
+
+
+def test_closure_has_no_depth_bound(spark):
+    from semloom.operators import ontology
+
+    r = ontology.closure(spark.createDataFrame([(i, i + 1) for i in range(40)], "child int, parent int"))
+    assert r.where("child = 0").agg({"depth": "max"}).first()[0] == 40
+
+
+def test_rebuilding_shuffles_once_for_the_pivot(spark):
+    from semloom.operators import reconstruct
+
+    found = spark.createDataFrame([("g1", "s1", "a", "1"), ("g1", "s2", "b", "2"), ("g2", "s1", "a", "3")], "g string, s string, label string, value string")
+    out = reconstruct.wide(found, ["a", "b"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert sorted(tuple(r) for r in out.collect()) == [("g1", "1", "2"), ("g2", "3", None)]

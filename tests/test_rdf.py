@@ -111,7 +111,10 @@ def test_ntriples_in_the_jvm(spark, tmp_path):
     lines = "".join(p.read_text() for p in (tmp_path / "nt").glob("part*"))
     assert {t[2:] for t in rdf_text.parse(lines, "nt") if t[3] == "lit"} == {t[2:] for t in rows if t[3] == "lit"}
     (tmp_path / "more.nt").write_text('<urn:a> <urn:p> "caf\\u00E9" . # said\n\n# nothing\nbroken\n')
-    assert [r.o for r in rdf.read_ntriples(spark, str(tmp_path / "more.nt")).collect()] == ["café"]
+    kept = rdf.read_ntriples(spark, str(tmp_path / "more.nt"), keep_errors=True).collect()
+    assert sorted((r.p, r.o) for r in kept) == [("urn:p", "café"), (rdf.ERROR, "broken")]
+    with pytest.raises(Exception, match="no N-Triples statement: broken"):
+        rdf.read_ntriples(spark, str(tmp_path / "more.nt")).count()
 
 
 def test_documents(spark):
