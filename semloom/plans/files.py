@@ -228,7 +228,7 @@ def license_list(spark, d):
 
 # --- templates, relations, reports
 
-_TYPES = "SELECT row_number() OVER (ORDER BY p_brand) - 1 AS ordinal, p_brand AS alt_label, 'home:' || min(p_type) AS type, 'About ' || min(p_name) AS definition, 'unit' || max(p_size) AS unit, CASE WHEN max(p_size) > 45 THEN 'Sample' ELSE '' END AS stage, '' AS note FROM part GROUP BY p_brand"
+BRANDS = "SELECT row_number() OVER (ORDER BY p_brand) - 1 AS ordinal, p_brand AS alt_label, 'home:' || min(p_type) AS type, 'About ' || min(p_name) AS definition, 'unit' || max(p_size) AS unit, CASE WHEN max(p_size) > 45 THEN 'Sample' ELSE '' END AS stage, '' AS note FROM part GROUP BY p_brand"
 
 
 def brands(spark, d) -> DataFrame:
@@ -238,7 +238,7 @@ def brands(spark, d) -> DataFrame:
     return b.select(order.alias("ordinal"), F.col("p_brand").alias("alt_label"), F.concat(F.lit("home:"), "t").alias("type"), F.concat(F.lit("About "), "n").alias("definition"), F.concat(F.lit("unit"), F.col("z").cast("string")).alias("unit"), F.when(F.col("z") > 45, "Sample").otherwise("").alias("stage"), F.lit("").alias("note"))
 
 
-@query(f"SELECT alt_label, type, definition, unit, stage FROM ({_TYPES}) t")
+@query(f"SELECT alt_label, type, definition, unit, stage FROM ({BRANDS}) t")
 def template_document(spark, d):
     """A template as a JSON-LD file and back."""
     path = local(place(spark)) / "template.jsonld"

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semloom import functions as S
-from semloom.operators import cube, ontology, reconstruct, relations, serialize, template
+from semloom.operators import cube, ontology, reconstruct, serialize, template
 from semloom.operators.cube import Variable
 from semloom.operators.serialize import Entry, Relation
 from semloom.plans import sqltext as Q
 from semloom.session import checkpoint
 from semloom.sources import rdf
-from semloom.terms import DCT, ENTITY_IRI, HOME, LICENSES_AT, OWL, QB, QUDT, RDF, RDFS, SDMX, SKOS, XSD
+from semloom.terms import DCT, ENTITY_IRI, HOME, LICENSES_AT, QB, QUDT, RDF, RDFS, SDMX, SKOS, XSD
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -118,11 +118,6 @@ def firewall_remap(spark, d):
     return serialize.firewall(t, known).select("s", "o").distinct()
 
 
-@query(f"SELECT '{HOME}Dataset' AS s, '{DCT}license' AS p, '{LICENSES_AT}MIT.html' AS o, 'iri' AS o_kind")
-def license_triple(spark, d):
-    return serialize.license_triple(spark, "MIT", licenses=["MIT", "CC0-1.0"]).select("s", "p", "o", "o_kind")
-
-
 @query("""SELECT '<urn:n:' || n_nationkey || '> <urn:name> "' || n_name || '" .' AS line FROM nation""")
 def ntriples_lines(spark, d):
     t = serialize.emit(table(spark, d, "nation"), None, [serialize.triple(F.concat(F.lit("urn:n:"), F.col("n_nationkey").cast("string")), "urn:name", F.col("n_name"))])
@@ -152,41 +147,30 @@ def pivot_backfill(spark, d):
     return reconstruct.wide(reconstruct.entities(entity_melt_na(spark, d)), ["o_orderkey", "o_orderstatus", "o_comment"], source=None)
 
 
-@query(f"""SELECT label, type, unit FROM (VALUES ('c_acctbal', '{HOME}Balance', 'https://qudt.org/vocab/unit/USD'), ('c_custkey', '{HOME}CustomerKey', 'https://qudt.org/vocab/unit/UNITLESS'), ('c_mktsegment', '{HOME}Segment', 'https://qudt.org/vocab/unit/UNITLESS'), ('c_name', '{HOME}CustomerName', 'https://qudt.org/vocab/unit/UNITLESS')) v(label, type, unit)""")
-def template_of_triples(spark, d):
-    return reconstruct.first_definitions(reconstruct.entities(serialize_table(spark, d))).select("label", "type", "unit")
-
-
-def _event_entities(spark, d):
+def event_entities(spark, d):
     """Events as entities: the type is the label, the parity of the user the unit, so units conflict."""
     e = table(spark, d, "events")
     return e.select(F.format_string("e%09d", "event_id").alias("g"), F.lit("s").alias("s"), F.col("event_type").alias("label"), F.col("value").cast("string").alias("value"), F.concat(F.lit("unit:"), (F.col("user_id") % 2).cast("string")).alias("unit"), F.concat(F.lit("type:"), "event_type").alias("type"), F.lit(None).cast("string").alias("definition"), F.lit(None).cast("string").alias("stage"), F.lit(None).cast("string").alias("note"))
 
 
-_EVENTS = "e AS (SELECT printf('e%09d', event_id) AS g, event_type AS label, 'unit:' || (user_id % 2) AS unit FROM events)"
+EVENTS = "e AS (SELECT printf('e%09d', event_id) AS g, event_type AS label, 'unit:' || (user_id % 2) AS unit FROM events)"
 
 
-@query(f"WITH {_EVENTS} SELECT label, min_by(unit, g) AS unit, min(g) AS origin FROM e GROUP BY label")
+@query(f"WITH {EVENTS} SELECT label, min_by(unit, g) AS unit, min(g) AS origin FROM e GROUP BY label")
 def first_seen(spark, d):
-    return reconstruct.first_definitions(_event_entities(spark, d)).select("label", "unit", "origin")
+    return reconstruct.first_definitions(event_entities(spark, d)).select("label", "unit", "origin")
 
 
-@query(f"WITH {_EVENTS}, f AS (SELECT label, min_by(unit, g) AS expected, min(g) AS expected_from FROM e GROUP BY label) SELECT e.g, e.label, 'unit' AS kind, f.expected, e.unit AS found, f.expected_from FROM e JOIN f ON e.label = f.label WHERE e.unit <> f.expected")
+@query(f"WITH {EVENTS}, f AS (SELECT label, min_by(unit, g) AS expected, min(g) AS expected_from FROM e GROUP BY label) SELECT e.g, e.label, 'unit' AS kind, f.expected, e.unit AS found, f.expected_from FROM e JOIN f ON e.label = f.label WHERE e.unit <> f.expected")
 def first_seen_conflict(spark, d):
-    return reconstruct.conflicts(_event_entities(spark, d))
+    return reconstruct.conflicts(event_entities(spark, d))
 
 
-@query(f"WITH {_EVENTS}, f AS (SELECT label, min_by(unit, g) AS expected FROM e GROUP BY label) SELECT 'unit' AS kind, count(*) AS n FROM e JOIN f ON e.label = f.label WHERE e.unit <> f.expected")
+@query(f"WITH {EVENTS}, f AS (SELECT label, min_by(unit, g) AS expected FROM e GROUP BY label) SELECT 'unit' AS kind, count(*) AS n FROM e JOIN f ON e.label = f.label WHERE e.unit <> f.expected")
 def conflict_counts(spark, d):
     return reconstruct.conflict_counts(first_seen_conflict(spark, d))
 
 
-@query(f"WITH {_EVENTS} SELECT g, label, 'unit' AS kind, 'https://qudt.org/vocab/unit/UNITLESS' AS expected, unit AS found, 'template' AS expected_from FROM e WHERE label = 'click' UNION ALL SELECT g, label, 'type', '{HOME}Click', 'type:click', 'template' FROM e WHERE label = 'click'")
-def template_conflict(spark, d):
-    e = _event_entities(spark, d).where("label = 'click'")
-    return reconstruct.conflicts(e, [Entry("click", "home:Click")])
-
-
 @query(f"SELECT '{HOME}inRegion' AS property, 'n_name' AS subject, 'n_nationkey' AS object, 'missing' AS kind, count(*) AS n FROM nation")
 def relation_conflict(spark, d):
     t = serialize.table_triples(table(spark, d, "nation"), NATION, orcid=ORCID, relations=[Relation("home:near", "object", "n_nationkey", "n_regionkey")])
@@ -215,7 +199,7 @@ def outer_union_runs(spark, d):
 
 @query("SELECT event_id, event_type, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS BIGINT) AS nth FROM events")
 def label_occurrence(spark, d):
-    f = _event_entities(spark, d).withColumn("event_id", F.substr("g", F.lit(2)).cast("bigint"))
+    f = event_entities(spark, d).withColumn("event_id", F.substr("g", F.lit(2)).cast("bigint"))
     return reconstruct.occurrence(f).select("event_id", F.col("label").alias("event_type"), F.col("nth").cast("bigint").alias("nth"))
 
 
@@ -301,11 +285,6 @@ def shape_string(spark, d):
     return table(spark, d, "embeddings").select("vec_id", S.shape_string("embedding").alias("shape"))
 
 
-@query("SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k FROM events")
-def json_value(spark, d):
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
-
-
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS iso, strftime(ts, '%Y%m%d%H%M%S') AS compact FROM events")
 def instants(spark, d):
     return table(spark, d, "events").select("event_id", S.iso_instant("ts").alias("iso"), S.compact_instant("ts").alias("compact"))
@@ -379,93 +358,9 @@ def subject_catalogue(spark, d):
     return ontology.catalogue(serialize.emit(table(spark, d, "part"), None, [serialize.triple(s, f"{RDFS}label", F.col("p_name")), serialize.triple(s, f"{HOME}type", F.col("p_type"))]))
 
 
-_TPL = ((0, "a", "home:A", "def a", "UNITLESS", "", ""), (1, "b", "home:B", "def b", "M", "Sample", "n"))
-_CHG = (("b", "", "KiloGM", "home:B2"), ("c", None, None, None))
-
-
-@query("""SELECT * FROM (VALUES (0, 'a', 'home:A', 'def a', 'UNITLESS', '', ''), (1, 'b', 'home:B2', 'def b', 'KiloGM', 'Sample', 'n'), (2, 'c', 'cco:ont00000958', 'Definition not available', 'UNITLESS', 'UNK', '')) v(ordinal, alt_label, type, definition, unit, stage, note)""")
-def template_upsert(spark, d):
-    return template.upsert(values(spark, template.COLUMNS, *_TPL), values(spark, "alt_label string, definition string, unit string, type string", *_CHG))
-
-
-@query("""SELECT * FROM (VALUES (0, 'a', 'home:A', 'def a', 'UNITLESS', '', ''), (2, 'c', 'home:C', 'Definition not available', 'UNITLESS', 'UNKNOWN', '')) v(ordinal, alt_label, type, definition, unit, stage, note)""")
-def template_changes(spark, d):
-    t, _ = template.add_column(values(spark, template.COLUMNS, *_TPL), "c", "home:C")
-    return template.delete_column(template.update(t, "b", "unit", "GM"), "b")
-
-
-@query("""SELECT * FROM (VALUES ('undefined_column', 'z', ''), ('empty_entry', 'b', ''), ('missing_field', 'c', 'definition')) v("check", label, detail)""")
-def alignment_audit(spark, d):
-    t = values(spark, template.COLUMNS, *_TPL, (2, "c", "home:C", "Definition not available", "UNITLESS", "", ""))
-    return template.audit(t, values(spark, "column string", ("a",), ("c",), ("z",), ("__Label__",)))
-
-
-_UNITS = (("M", "Metre", "m"), ("MilliM", "Millimetre", "mm"), ("MIN", "Minute", "min"), ("MIN_Angle", "minute", "'"), ("GM", "Gram", "g"))
-_CELLS = (("unit:KiloGM",), ("{'@id': 'unit:K'}",), ("metre",), ("mm",), ("MM",), ("minute",), ("furlong",), ("gm",))
-
-
-@query("""SELECT * FROM (VALUES ('unit:KiloGM', 'KiloGM', 0), ('{''@id'': ''unit:K''}', 'K', 0), ('metre', 'M', 1), ('mm', 'MilliM', 1), ('MM', 'UNITLESS', 0), ('minute', 'UNITLESS', 2), ('furlong', 'UNITLESS', 0), ('gm', 'GM', 1)) v(cell, unit, n)""")
-def unit_cell_parse(spark, d):
-    known = values(spark, "name string, label string, ucum_code string", *_UNITS)
-    return template.unit_lookup(values(spark, "unit string", *_CELLS), known).select("cell", "unit", F.size("candidates").alias("n"))
-
-
-_ONTO = [
-    *[(c, f"{RDF}type", f"{OWL}Class", "iri") for c in ("urn:Thing", "urn:Tool", "urn:Saw", "urn:Wood", "urn:Oak", "urn:Loop1", "urn:Loop2")],
-    *[(a, f"{RDFS}subClassOf", b, "iri") for a, b in (("urn:Tool", "urn:Thing"), ("urn:Saw", "urn:Tool"), ("urn:Wood", "urn:Thing"), ("urn:Oak", "urn:Wood"), ("urn:Loop1", "urn:Loop2"), ("urn:Loop2", "urn:Loop1"))],
-    *[(c, f"{SKOS}altLabel", v, "lit") for c, v in (("urn:Saw", "Saw"), ("urn:Oak", "Oak wood"), ("urn:Tool", "Tool"))],
-    ("urn:cuts", f"{RDF}type", f"{OWL}ObjectProperty", "iri"), ("urn:cuts", f"{RDFS}label", "cuts", "lit"), ("urn:cuts", f"{RDFS}domain", "urn:Tool", "iri"), ("urn:cuts", f"{RDFS}range", "_:r", "bnode"),
-    ("_:r", f"{OWL}unionOf", "_:l1", "bnode"), ("_:l1", f"{RDF}first", "urn:Wood", "iri"), ("_:l1", f"{RDF}rest", "_:l2", "bnode"), ("_:l2", f"{RDF}first", "urn:Metal", "iri"), ("_:l2", f"{RDF}rest", f"{RDF}nil", "iri"),
-    ("urn:size", f"{RDF}type", f"{OWL}DatatypeProperty", "iri"), ("urn:size", f"{RDFS}label", "size", "lit"), ("urn:size2", f"{RDF}type", f"{OWL}ObjectProperty", "iri"), ("urn:size2", f"{RDFS}label", "size", "lit"),
-]
-
-
-def _onto(spark):
-    return values(spark, "g string, s string, p string, o string, o_kind string, o_dt string, o_lang string", *[(None, *t, None, None) for t in _ONTO])
-
-
-@query("SELECT * FROM (VALUES ('cuts', 'urn:cuts', 'object'), ('size', 'urn:size', 'datatype')) v(label, iri, kind)")
-def relation_kind_clash(spark, d):
-    return ontology.properties(_onto(spark))
-
-
-@query(f"""SELECT * FROM (VALUES ('cuts', 'urn:cuts', 'object'), ('urn://x/y', 'urn://x/y', CAST(NULL AS VARCHAR)), ('home:own', '{HOME}own', 'object'), ('nothing', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR))) v(property, iri, kind)""")
-def relation_resolve(spark, d):
-    props = ontology.properties(_onto(spark)).unionByName(values(spark, "label string, iri string, kind string", ("own", f"{HOME}own", "object")))
-    keys = values(spark, "property string", ("cuts",), ("urn://x/y",), ("home:own",), ("nothing",))
-    return relations.resolve(keys, props)
-
-
-@query("SELECT * FROM (VALUES ('urn:cuts', 'saw', 'oak')) v(prop, subject, object)")
-def relation_discovery(spark, d):
-    return relations.discover(_onto(spark), values(spark, "column string, iri string", ("saw", "urn:Saw"), ("oak", "urn:Oak"), ("thing", "urn:Thing")))
-
-
-@query("""SELECT * FROM (VALUES ('unresolved_property', 'nothing', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)), ('missing_object_column', 'cuts', 'a', 'zz')) v("check", property, subject, object)""")
-def relation_validate(spark, d):
-    r = values(spark, relations.SCHEMA, ("cuts", "urn:cuts", "object", "a", "b"), ("cuts", "urn:cuts", "object", "a", "zz"), ("nothing", None, None, "a", "b"))
-    return relations.validate(r, ["a", "b"])
-
-
-@query("SELECT * FROM (VALUES ('cuts', 'a', 'b')) v(property, subject, object)")
-def relation_changes(spark, d):
-    r = values(spark, relations.SCHEMA, ("cuts", "urn:cuts", "object", "a", "b"), ("cuts", "urn:cuts", "object", "a", "c"), ("size", "urn:size", "datatype", "a", "b"))
-    return relations.delete(relations.delete(relations.add(r, r), "cuts", [("a", "c")]), "urn:size").select("property", "subject", "object")
-
-
 # --- joins and sets
 
 
-@query("SELECT c_custkey, c_name FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')")
-def semi_filter(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders").where("o_orderstatus = 'F'"), F.expr("o_custkey = c_custkey"), "left_semi").select("c_custkey", "c_name")
-
-
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def anti_orphans(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.expr("o_custkey = c_custkey"), "left_anti").select("c_custkey")
-
-
 _META = "SELECT p_brand AS name, bool_or(p_size > 45) AS is_measure, min(nullif(p_name, 'small ring')) AS alt_label, min(p_type) AS category, list_sort(list_distinct(list(p_type))) AS units, CAST(NULL AS VARCHAR) AS existing FROM part GROUP BY p_brand"
 
 
@@ -479,7 +374,6 @@ def metadata_merge(spark, d):
 # --- cubes
 
 _ORDER_VARS = [Variable("o_orderkey"), Variable("o_orderstatus", alt_label="Status", category="Order facts"), Variable("o_totalprice", True, "Price", "Money", "USD"), Variable("o_custkey", True)]
-_ORDER_NAME = "'0000000123456789_T'"
 
 
 @query(f"SELECT o_orderkey, 'o_totalprice' AS measure, 0 AS ordinal, CAST(o_totalprice AS VARCHAR) AS value, '{XSD}double' AS datatype FROM orders UNION ALL SELECT o_orderkey, 'o_orderpriority', 1, o_orderpriority, CAST(NULL AS VARCHAR) FROM orders WHERE o_orderpriority <> '5-LOW'")
@@ -509,20 +403,6 @@ def cube_observations(spark, d):
     return t.where(F.col("s").contains("/observation_") | (F.col("p") == f"{QB}observation")).select("s", "p", "o")
 
 
-@query(f"""SELECT * FROM (VALUES ('dimension', '{QB}measureType'), ('dimension', '{HOME}o_orderkey'), ('dimension', '{HOME}o_orderstatus'), ('measure', '{HOME}o_totalprice'), ('measure', '{HOME}o_custkey'), ('attribute', '{SDMX}attribute#unitMeasure'), ('attribute', '{HOME}category')) v(kind, prop)""")
-def dsd_components(spark, d):
-    bindings, ns = cube.namespaces({}, "home")
-    dims, measures, _ = cube.split_variables(_ORDER_VARS, [v.name for v in _ORDER_VARS])
-    t = cube.structure(spark, dims, measures, ns, bindings)
-    return t.where(F.col("p").isin(f"{QB}dimension", f"{QB}measure", f"{QB}attribute")).select(S.fragment("p").alias("kind"), F.col("o").alias("prop"))
-
-
-@query(f"""SELECT * FROM (VALUES ('o_orderkey', false, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), ''), ('o_orderstatus', false, 'Status', 'Order_facts', ''), ('o_totalprice', true, 'Price', 'Money', '{HOME}USD'), ('o_custkey', true, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), '')) v(name, is_measure, alt_label, category, units)""")
-def cube_variables(spark, d):
-    t = checkpoint(cube.cube_triples(table(spark, d, "orders"), _ORDER_VARS, name="orders", orcid=ORCID, stamp="T", row="o_orderkey"))
-    return cube.read_variables(t).withColumn("units", F.array_join("units", ",")).select("name", "is_measure", "alt_label", "category", "units")
-
-
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, nullif(o_orderstatus, 'P') AS o_orderstatus, o_totalprice, CAST(o_custkey AS DOUBLE) AS o_custkey FROM orders")
 def cube_readback(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("o_orderstatus"), "o_totalprice", "o_custkey")
@@ -530,12 +410,6 @@ def cube_readback(spark, d):
     return cube.cube_table(checkpoint(cube.cube_triples(o, _ORDER_VARS, name="orders", orcid=ORCID, stamp="T", row="o_orderkey")))
 
 
-@query("""SELECT l_returnflag, l_linestatus, max_by(l_quantity, (l_orderkey, l_linenumber, l_partkey, l_extendedprice)) AS l_quantity, max_by(l_tax, (l_orderkey, l_linenumber, l_partkey, l_extendedprice)) AS l_tax FROM lineitem GROUP BY ALL""".replace("(l_orderkey, l_linenumber, l_partkey, l_extendedprice)", "row(l_orderkey, l_linenumber, l_partkey, l_extendedprice)"))
-def cube_last_value(spark, d):
-    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.max_by("l_quantity", order).alias("l_quantity"), F.max_by("l_tax", order).alias("l_tax"))
-
-
 @query(f"""WITH s AS (SELECT *, substr('abcdefghijklmnopqrstuvwxyz', CAST(CAST('0x' || substr(sha256(k), 1, 8) AS BIGINT) % 26 + 1 AS INTEGER), 1) || '-' || k AS n FROM (SELECT *, CAST(s_suppkey AS VARCHAR) || '-0000000123456789-T' AS k FROM supplier))
 SELECT '{HOME}' || n AS g, '{HOME}s_acctbal-' || n AS s, '{QUDT}value' AS p, CAST(s_acctbal AS VARCHAR) AS o, '{XSD}float' AS o_dt FROM s UNION ALL SELECT '{HOME}' || n, '{HOME}s_name-' || n, '{QUDT}value', s_name, CAST(NULL AS VARCHAR) FROM s
 UNION ALL SELECT '{HOME}' || n, '{HOME}s_acctbal-' || n, '{QUDT}hasUnit', '{HOME}USD', NULL FROM s UNION ALL SELECT '{HOME}' || n, '{HOME}s_name-' || n, '{QUDT}hasUnit', '_:u' || substr(sha256('{HOME}s_name-' || n), 1, 16), NULL FROM s""")
@@ -609,11 +483,6 @@ def leaf_classes(spark, d):
     return ontology.leaf_classes(_class_triples(_tree(spark, d), f"{RDFS}subClassOf"))
 
 
-@query("SELECT 'urn:world' AS iri")
-def top_categories(spark, d):
-    return ontology.top_categories(_class_triples(_tree(spark, d), f"{SKOS}broader"))
-
-
 @query("SELECT 'urn:n' || n_nationkey AS iri, 'urn:r' || n_regionkey AS top FROM nation")
 def leaf_classification(spark, d):
     t = _class_triples(_edges(spark, d), f"{RDFS}subClassOf")
@@ -621,21 +490,9 @@ def leaf_classification(spark, d):
     return ontology.classify_leaves(t, table(spark, d, "nation").select(F.concat(F.lit("urn:n"), F.col("n_nationkey").cast("string")).alias("iri")), tops)
 
 
-@query(f"SELECT iri, label, CAST(0 AS INTEGER) AS rank FROM {sql_values('iri, label', ('urn:Saw', 'Saw'), ('urn:Oak', 'Oak wood'), ('urn:Tool', 'Tool'))}")
-def term_extraction(spark, d):
-    return ontology.terms(_onto(spark)).select("iri", "label", "rank")
-
-
 _QUDT = ontology.QUDT_SCHEMA
 
 
-@query("SELECT * FROM (VALUES ('M', 'Metre', 'm'), ('X', 'Ixe', CAST(NULL AS VARCHAR))) v(name, label, ucum_code)")
-def unit_table(spark, d):
-    rows = [("urn:u/M", f"{RDF}type", f"{_QUDT}Unit", "iri", None), ("urn:u/M", f"{RDFS}label", "Meter", "lit", "de"), ("urn:u/M", f"{RDFS}label", "Metre", "lit", "en"), ("urn:u/M", f"{_QUDT}ucumCode", "m", "lit", None), ("urn:u/X", f"{RDF}type", f"{_QUDT}DerivedUnit", "iri", None), ("urn:u/X", f"{RDFS}label", "Ixe", "lit", "fr")]
-    t = values(spark, "g string, s string, p string, o string, o_kind string, o_dt string, o_lang string", *[(None, s, p, o, k, None, lang) for s, p, o, k, lang in rows])
-    return ontology.units(t).select("name", "label", "ucum_code")
-
-
 @query("SELECT r_name AS kind, array_to_string(list_sort(list(n_name)), ',') AS units FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1".replace("r_name AS kind", "regexp_replace(replace(lower(r_name), ' ', '_'), '[^A-Za-z0-_.]', '', 'g') AS kind"))
 def quantity_kinds(spark, d):
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.expr("r_regionkey = n_regionkey"))
@@ -650,4 +507,4 @@ def observations_by_window(spark, d):
     return windowed_counts(table(spark, d, "events"), "ts", "event_type")
 
 
-from semloom.plans import files  # noqa: E402, F401  registers its queries with these
+from semloom.plans import files, metadata  # noqa: E402, F401  register their queries with these
