@@ -11,9 +11,10 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from semloom.frame import SemanticFrame, rdf_to_tables
-from semloom.operators import cube, ontology, template
-from semloom.sources import rdf, tables
+from semloom import flows
+from semloom.frame import SemanticFrame, csv_folder_to_rdf, rdf_to_tables
+from semloom.operators import ontology, template
+from semloom.sources import rdf
 from semloom.terms import HOME, NO_ORCID, PREFIXES
 
 
@@ -41,7 +42,9 @@ def parser() -> argparse.ArgumentParser:
     command("search", "subjects whose labels are near the keywords", need, ("--keywords", {"type": _list, "required": True}), ("--csv", {}))
     command("template", "a metadata template for a CSV file", ("--csv", {"required": True}), onto, out, ("--header-rows", {"action": "store_true"}))
     command("serialize", "a CSV file as linked data", ("--csv", {"required": True}), ("--template", {}), onto, out, orcid, ("--header-rows", {"action": "store_true"}), ("--format", {"default": "json-ld"}), ("--key-columns", {"type": _list}), ("--id-columns", {"type": _list, "default": []}), ("--relations", {"type": json.loads, "help": 'JSON: {"property": [["subject", "object"]]}'}), ("--license", {}), ("--bulk", {"action": "store_true"}))
+    command("serialize-folder", "each CSV file of a folder as a set of linked data", ("--folder", {"required": True}), out, orcid, ("--header-rows", {"action": "store_true"}), ("--format", {"default": "json-ld"}))
     command("deserialize", "a folder of linked data as tables", ("--folder", {"required": True}), out, orcid, ("--name", {"default": "merged_output"}), ("--formats", {"type": _list, "default": ["csv", "parquet", "arrow"]}))
+    command("experiment", "workbooks to fill in, with a column for each term of an ontology", out, ("--low", {"help": "RDF of the lowest-level ontology"}), ("--combined", {"help": "RDF of the combined ontology"}), ("--namespace", {"default": ""}))
     command("cube", "a data template workbook as a data cube, or a cube as a table", ("--workbook", {}), ("--namespaces", {}), ("--read", {"help": "RDF of a cube to read back"}), out, orcid, ("--mode", {"choices": ["entire", "rows", "flat"], "default": "entire"}), ("--prefix", {"default": "home"}), ("--id-columns", {"type": _list, "default": []}), ("--name", {"default": "dataset"}), ("--stamp", {"default": "00000000000000"}), ("--format", {"default": "turtle"}), ("--hashed", {"action": "store_true", "help": "Turtle, JSON-LD and its SHA-256 in folders of their own"}))
     return p
 
@@ -80,8 +83,12 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             frame.add_relations({k: [tuple(x) for x in v] for k, v in a.relations.items()})
         options = {"key_columns": a.key_columns, "id_columns": a.id_columns, "license": a.license}
         (frame.serialize_bulk if a.bulk else frame.serialize_rows)(a.out, a.format, **options)
+    elif a.command == "serialize-folder":
+        csv_folder_to_rdf(spark, a.folder, a.out, a.header_rows, a.format, orcid=a.orcid)
     elif a.command == "deserialize":
         print(*rdf_to_tables(spark, a.folder, a.out, a.name, a.formats, a.orcid), sep="\n")
+    elif a.command == "experiment":
+        _experiment(spark, a)
     elif a.command == "cube":
         _cube(spark, a)
     return 0
@@ -104,28 +111,19 @@ def term_triples(spark: SparkSession, name: str, label: str | None = None, defin
 
 def _cube(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.read:
-        triples = rdf.read(spark, a.read).cache()
-        if triples.isEmpty():
-            raise FileNotFoundError(f"no RDF in {a.read}")
-        variables = cube.read_variables(triples)
-        tables.save(cube.cube_table(triples, variables), a.out, a.name, ("csv", "parquet"))
-        variables.write.mode("overwrite").json(f"{a.out}/{a.name}_variables.json")
+        flows.read_back(spark, a.read, a.out, a.name)
         return
-    variables, df = tables.read_data_template(spark, a.workbook)
-    given = {}
-    if a.namespaces:
-        given, problem = tables.read_namespaces(a.namespaces)
-        if problem:
-            print(problem, file=sys.stderr)
-    triples = cube.cube_triples(df, variables, mode=a.mode, name=a.name, id_columns=a.id_columns, orcid=a.orcid, stamp=a.stamp, given=given, user_prefix=a.prefix)
-    if a.hashed:
-        rdf.write_hashed(triples.where("g is not null"), a.out)
-    elif a.mode == "entire":
-        rdf.write_document(triples, f"{a.out}/{a.name}{rdf.rdf_text.ENDINGS[a.format]}", a.format)
-    else:
-        rdf.write_graphs(triples.where("g is not null"), a.out, a.format)
-    if a.mode == "rows":
-        rdf.write_document(triples.where("g is null"), f"{a.out}/structure{rdf.rdf_text.ENDINGS[a.format]}", a.format)
+    _, problem = flows.standard(spark, a.workbook, a.out, a.namespaces, a.mode, a.name, a.orcid, a.stamp, a.format, a.id_columns, a.prefix, a.hashed)
+    if problem:
+        print(problem, file=sys.stderr)
+
+
+def _experiment(spark: SparkSession, a: argparse.Namespace) -> None:
+    low, combined = ((rdf.read(spark, x) if x else None) for x in (a.low, a.combined))
+    made = flows.experiment(spark, a.out, low, combined, a.namespace)
+    print(f"{made.namespaces}\n{made.data}: {len(made.variables)} columns")
+    for term in made.unmapped:
+        print(f"no category: {term}", file=sys.stderr)
 
 
 if __name__ == "__main__":

@@ -278,9 +278,10 @@ def read_variables(triples: DataFrame, category: str = f"{HOME}category") -> Dat
     prop = triples.where(F.col("p").isin(f"{QB}dimension", f"{QB}measure")).select(F.col("s").alias("node"), F.col("o").alias("prop"), (F.col("p") == f"{QB}measure").alias("is_measure"))
     v = prop.join(comp, "node", "left_semi").where(F.col("prop") != f"{QB}measureType").groupBy("prop").agg(F.bool_or("is_measure").alias("is_measure"))
     of = lambda p, n: triples.where(F.col("p") == p).groupBy(F.col("s").alias("prop")).agg(F.min("o").alias(n))
-    kind = triples.where(F.col("p") == f"{QB}measureType").select(F.col("s").alias("obs"), F.col("o").alias("prop"))
-    unit = triples.where(F.col("p") == UNIT_MEASURE).select(F.col("s").alias("obs"), F.col("o").alias("unit"))
-    units = kind.join(unit, "obs").groupBy("prop").agg(F.array_sort(F.collect_set("unit")).alias("units"))
+    # an observation's measures and units meet in one aggregation, most of it before the shuffle
+    both = lambda p, n: F.collect_set(F.when(F.col("p") == p, F.col("o"))).alias(n)
+    obs = triples.where(F.col("p").isin(f"{QB}measureType", UNIT_MEASURE)).groupBy("s").agg(both(f"{QB}measureType", "props"), both(UNIT_MEASURE, "units"))
+    units = obs.select(F.explode("props").alias("prop"), "units").select("prop", F.explode("units").alias("unit")).groupBy("prop").agg(F.array_sort(F.collect_set("unit")).alias("units"))
     out = v.join(of(f"{SKOS}altLabel", "alt_label"), "prop", "left").join(of(category, "cat"), "prop", "left").join(units, "prop", "left")
     rows = out.select(S.fragment("prop").alias("name"), "is_measure", "alt_label", S.fragment("cat").alias("category"), F.coalesce("units", F.array().cast("array<string>")).alias("units"), F.col("prop").alias("existing"))
     return merge_variables(rows)

@@ -9,6 +9,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from semloom import flows
 from semloom import frame as frames
 from semloom.operators import cube, provenance, reconstruct, relations, serialize, template
 from semloom.operators.cube import Variable
@@ -17,7 +18,7 @@ from semloom.plans import sqltext as Q
 from semloom.plans.queries import AT, CUSTOMER, NATION, ORCID, query, sql_values, table, values
 from semloom.session import shared_folder
 from semloom.sources import rdf, tables
-from semloom.terms import CUBE_PREFIXES, HOME, NO_DEFINITION
+from semloom.terms import CUBE_PREFIXES, HOME, NO_DEFINITION, OWL, RDF, RDFS, SKOS
 
 
 def place(spark: SparkSession) -> str:
@@ -226,6 +227,37 @@ def license_list(spark, d):
     return tables.licenses(spark, str(path))
 
 
+@query("""WITH x AS (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation WHERE n_regionkey IN (0, 1)) SELECT CAST(i AS VARCHAR) AS "ExperimentId", CAST(NULL AS VARCHAR) AS r0, n_nationkey * 1.0::DOUBLE AS r1 FROM x WHERE n_regionkey = 1""")
+def experiment_flow(spark, d):
+    """Ontology, leaf categories, workbook, filled in, cube files, and their table."""
+    n, folder = table(spark, d, "nation"), place(spark)
+    iri = lambda kind, c: F.concat(F.lit(HOME + kind), F.col(c).cast("string"))
+    sub, kind = serialize.triple(iri("r", "n_regionkey"), f"{RDFS}subClassOf", F.lit(f"{HOME}Top"), "iri"), lambda c: serialize.triple(c, f"{RDF}type", F.lit(f"{OWL}Class"), "iri")
+    onto = serialize.emit(n, None, [sub, kind(iri("r", "n_regionkey")), kind(F.lit(f"{HOME}Top"))]).distinct()
+    broader = serialize.emit(n, None, [serialize.triple(iri("r", "n_regionkey"), f"{SKOS}broader", F.lit(f"{HOME}Top"), "iri")]).distinct()
+    made = flows.experiment(spark, folder, onto, onto.unionByName(broader))
+    assert sorted(v.name for v in made.variables) == [f"r{i}" for i in range(5)] and {v.category for v in made.variables} == {"Top"}
+    v = [x._replace(is_measure=x.name == "r1") for x in made.variables]
+    rows = [[r["n_name"] if x.name == "r0" and r["n_regionkey"] == 0 else float(r["n_nationkey"]) if x.name == "r1" and r["n_regionkey"] == 1 else None for x in v] for r in n.where("n_regionkey in (0, 1)").orderBy("n_nationkey").collect()]
+    tables.write_data_template(made.data, v, rows)
+    flows.standard(spark, made.data, f"{folder}/rdf", made.namespaces, name="nations", orcid=ORCID, stamp="T")
+    out, _ = flows.read_back(spark, f"{folder}/rdf", f"{folder}/out")
+    return out
+
+
+@query("SELECT count(*) AS rows, count(*) AS hashes FROM nation")
+def ingestion_flow(spark, d):
+    """A filled workbook as flat triples of single rows, each with the hash of its file."""
+    folder = place(spark)
+    v = [Variable("nation"), Variable("region", True, unit="NUM")]
+    tables.write_data_template(str(local(folder) / "data.xlsx"), v, [[r["n_name"], r["n_regionkey"]] for r in table(spark, d, "nation").collect()])
+    flows.ingest(spark, str(local(folder) / "data.xlsx"), f"{folder}/out", orcid=ORCID, stamp="T", id_columns=["nation"])
+    files = lambda at: spark.read.format("binaryFile").load(f"{folder}/out/{at}")
+    said = files("hash").select(F.col("content").cast("string").alias("h"))
+    have = files("jsonld").select(F.sha2("content", 256).alias("h"))
+    return have.join(said.distinct(), "h", "left_semi").agg(F.count("*").alias("hashes")).crossJoin(files("ttl").agg(F.count("*").alias("rows"))).select("rows", "hashes")
+
+
 # --- templates, relations, reports
 
 BRANDS = "SELECT row_number() OVER (ORDER BY p_brand) - 1 AS ordinal, p_brand AS alt_label, 'home:' || min(p_type) AS type, 'About ' || min(p_name) AS definition, 'unit' || max(p_size) AS unit, CASE WHEN max(p_size) > 45 THEN 'Sample' ELSE '' END AS stage, '' AS note FROM part GROUP BY p_brand"
