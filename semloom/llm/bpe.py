@@ -4,11 +4,13 @@ For each prefix of a piece of text its encoding's last token is unique: of the v
 the one whose pair with the last token of the rest is itself the encoding of the two tokens' bytes. So one token per
 prefix holds the encodings of all prefixes: an append goes on from the last one, and an edit keeps those before it.
 An automaton of all tokens lists those that end at each byte, longest first. Words and pieces are kept once encoded.
+Many new pieces go through the same program side by side, a byte of all of them at a time (class Side).
 """
 
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -20,15 +22,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semloom.llm.common import pick, text_slices
+from semloom.llm.common import comb, pick, text_slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits text into the pieces that tokens never cross: contractions, words, numbers, other runs, white space.
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries that an encoder keeps of pieces and of words; then it starts anew. They only save time.
 KEEP = 300_000
-#: Words whose numbers of tokens an encoder keeps, likewise; about 150 bytes each.
-KEEP_SIZES = 1_500_000
+#: Words, and tokens of words, that a store keeps, likewise.
+KEEP_WORDS, KEEP_TOKENS = 500_000, 2_000_000
 
 
 def load(path: str) -> dict[bytes, int]:
@@ -55,7 +57,8 @@ class Encoder:
         self.split = regex.compile(pattern)
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.words = _Words(self)
-        self.sizes = _Sizes(self)
+        self.store = _Store(self)
+        self.side: Side | None = None
 
     def _halves(self, token: bytes) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a byte, or where its merges lead elsewhere."""
@@ -161,24 +164,62 @@ class Encoder:
         return sum(map(len, self._parts(text)))
 
     def counts(self, texts: pa.Array) -> np.ndarray:
-        """count() of each text, 0 of a null. Words are split and numbered by Arrow, so each is looked up once."""
+        """Number of each text's ids, 0 of a null."""
+        return self._numbered(texts, False)[1]
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(int32 ids of all texts one after the other, number of each text's ids); a null has none."""
+        return self._numbered(texts, True)
+
+    def _numbered(self, texts: pa.Array, spell: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Words are split and numbered by Arrow, so each distinct one is looked up once; their ids are gathered by numpy."""
         odd = pc.fill_null(pc.match_substring_regex(texts, _ODD_RE2), False).to_numpy(zero_copy_only=False)
-        out = np.zeros(len(texts), np.int64)
+        count, ids, store = np.zeros(len(texts), np.int64), np.zeros(0, np.int32), self.store
         plain = np.flatnonzero(~odd & texts.is_valid().to_numpy(zero_copy_only=False))
         if len(plain):
             lists = pc.split_pattern(texts.take(pa.array(plain)), " ")
             off = lists.offsets.to_numpy()[:-1]
             flat = lists.flatten().dictionary_encode()
-            if len(self.sizes) > KEEP_SIZES:
-                self.sizes.clear()
-            known = np.fromiter(map(self.sizes.__getitem__, flat.dictionary.to_pylist()), np.int64, len(flat.dictionary))
-            size = known[flat.indices.to_numpy()]
-            first = flat.take(pa.array(off)).cast(texts.type).to_pylist()  # has no space before it
-            size[off] = [sum(map(len, map(self.piece, self.split.findall(w)))) for w in first]
-            out[plain] = np.add.reduceat(size, off)
+            store.trim()
+            known = store.numbers(flat.dictionary.to_pylist())
+            word = known[flat.indices.to_numpy()]
+            # the first word has no space before it
+            word[off] = store.numbers([(w,) for w in flat.take(pa.array(off)).cast(texts.type).to_pylist()])
+            ids, size = store.ids(word, spell)
+            count[plain] = np.add.reduceat(size, off)
+        rest = {}
         for i in np.flatnonzero(odd):
-            out[i] = self.count(texts[int(i)].as_py())
-        return out
+            store.trim()
+            rest[int(i)] = store.ids(store.pieces_of(self.split.findall(texts[int(i)].as_py())), True)[0]
+        for i, own in rest.items():
+            count[i] = len(own)
+        if rest and spell:
+            out = np.empty(count.sum(), np.int32)
+            at = np.cumsum(count) - count
+            out[_spread(at[plain], count[plain])] = ids
+            for i, own in rest.items():
+                out[at[i] : at[i] + len(own)] = own
+            ids = out
+        return ids, count
+
+    def spell_many(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces one after the other, number of each one's ids)."""
+        data = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        size = np.array([len(d) for d in data], np.int64)
+        short = np.flatnonzero((size > 0) & (size <= Side.LONGEST))
+        count, parts = np.zeros(len(data), np.int64), {}
+        self.side = self.side or Side(self)
+        ids, count[short] = self.side.encode([data[i] for i in short])
+        for i in np.flatnonzero(size > Side.LONGEST):
+            parts[i] = self.piece(pieces[i])
+            count[i] = len(parts[i])
+        if parts:
+            out, at = np.empty(count.sum(), np.int32), np.cumsum(count) - count
+            out[_spread(at[short], count[short])] = ids
+            for i, own in parts.items():
+                out[at[i] : at[i] + len(own)] = own
+            ids = out
+        return ids, count
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -199,12 +240,7 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         e = self.encoder
-        if word.isascii() and word.isalpha():
-            found = e.piece(" " + word)
-        elif word.isascii() and word[:-1].isalpha() and word[-1] in ",.;:!?":
-            found = e.piece(" " + word[:-1]) + e.piece(word[-1])
-        else:
-            found = tuple(chain.from_iterable(map(e.piece, e.split.findall(" " + word))))
+        found = tuple(chain.from_iterable(map(e.piece, e.split.findall(" " + word))))
         if len(word) <= 64:
             self[word] = found
         return found
@@ -213,22 +249,225 @@ class _Words(dict):
         return (_Words, (self.encoder,))
 
 
-class _Sizes(dict):
-    """Word without the space before it -> number of ids of both."""
+class _Store:
+    """Numbers of words and pieces; the ids of number i are tokens[start[i] : start[i] + size[i]]. A word stands without
+    the space before it, as a tuple where it has none."""
 
     def __init__(self, encoder: Encoder):
-        super().__init__()
         self.encoder = encoder
+        self.words: dict[str | tuple[str], int] = {}
+        self.pieces: dict[str, int] = {}
+        self.tokens, self.start, self.size = array("i"), array("q"), array("i")
+
+    def numbers(self, words: list) -> np.ndarray:
+        get = self.words.get
+        out = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        if len(new := np.flatnonzero(out < 0)):
+            out[new] = self._add([words[i] for i in new])
+        return out
 
-    def __missing__(self, word: str) -> int:
-        e = self.encoder
-        found = sum(map(len, map(e.piece, e.split.findall(" " + word))))
-        if len(word) <= 64:
-            self[word] = found
-        return found
+    def _add(self, words: list) -> np.ndarray:
+        split, parts = self.encoder.split.findall, []
+        for w in words:
+            if isinstance(w, tuple):
+                parts.append(split(w[0]))
+            elif w.isascii() and w.isalpha():
+                parts.append((" " + w,))
+            elif w.isascii() and w[:-1].isalpha() and w[-1] in ",.;:!?":
+                parts.append((" " + w[:-1], w[-1]))
+            else:
+                parts.append(split(" " + w))
+        number = self.pieces_of(list(chain.from_iterable(parts)))
+        count = np.fromiter(map(len, parts), np.int64, len(parts))
+        at = np.cumsum(count) - count
+        out = np.empty(len(words), np.int64)
+        one = count == 1
+        out[one] = number[at[one]]  # a word of one piece has its number
+        more = np.flatnonzero(~one)
+        if len(more):
+            ids, size = self.ids(number[_spread(at[more], count[more])], True)
+            first = np.cumsum(count[more]) - count[more]
+            total = np.r_[0, np.cumsum(size)]
+            out[more] = self._keep(ids, total[first + count[more]] - total[first])
+        self.words.update(zip(words, out.tolist(), strict=True))
+        return out
 
-    def __reduce__(self):
-        return (_Sizes, (self.encoder,))
+    def pieces_of(self, pieces: list[str]) -> np.ndarray:
+        """The number of each piece."""
+        get = self.pieces.get
+        out = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
+        if len(at := np.flatnonzero(out < 0)):
+            new = list(dict.fromkeys(pieces[i] for i in at))
+            self.pieces.update(zip(new, self._keep(*self.encoder.spell_many(new)).tolist(), strict=True))
+            out[at] = [get(pieces[i]) for i in at]
+        return out
+
+    def _keep(self, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        first = len(self.start)
+        self.start.frombytes((len(self.tokens) + np.cumsum(size) - size).astype(np.int64).tobytes())
+        self.size.frombytes(size.astype(np.int32).tobytes())
+        self.tokens.frombytes(ids.astype(np.int32).tobytes())
+        return np.arange(first, first + len(size))
+
+    def ids(self, numbers: np.ndarray, spell: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the numbers one after the other, number of each one's ids)."""
+        size = np.array(self.size, np.int64)[numbers]
+        return (np.array(self.tokens, np.int32)[_spread(np.array(self.start, np.int64)[numbers], size)] if spell else np.zeros(0, np.int32)), size
+
+    def trim(self) -> None:
+        if len(self.words) > KEEP_WORDS or len(self.pieces) > KEEP_WORDS or len(self.tokens) > KEEP_TOKENS:
+            self.__init__(self.encoder)
+
+
+class _Pairs:
+    """Small integers by pair of tokens, in one open hash table; both sides are arrays."""
+
+    def __init__(self, bits: int):
+        self.bits, self.n = bits, 0
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, key: np.ndarray) -> np.ndarray:
+        """Values, -1 where a pair isn't there."""
+        slot, out, open_ = self._slot(key), np.full(len(key), -1, np.int32), np.arange(len(key))
+        while len(open_):
+            there = self.keys[slot]
+            hit = there == key[open_]
+            out[open_[hit]] = self.values[slot[hit]]
+            on = ~hit & (there >= 0)
+            open_, slot = open_[on], (slot[on] + 1) & (len(self.keys) - 1)
+        return out
+
+    def put(self, key: np.ndarray, value: np.ndarray) -> None:
+        """Adds pairs that aren't there, each once."""
+        slot, open_ = self._slot(key), np.arange(len(key))
+        self.n += len(key)
+        while len(open_):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            self.keys[slot[free]] = key[open_[free]]
+            lost = self.keys[slot] != key[open_]  # the slot was taken, by one of these too
+            done = ~lost
+            self.values[slot[done]] = value[open_[done]]
+            open_, slot = open_[lost], (slot[lost] + 1) & (len(self.keys) - 1)
+
+
+class Side:
+    """The prefix program over many pieces side by side. A trie of all tokens follows each place where a token may begin."""
+
+    #: Bytes of the longest piece that goes this way.
+    LONGEST = 64
+
+    def __init__(self, e: Encoder):
+        rows, token = [{}], [-1]
+        for data, rank in e.ranks.items():
+            at = 0
+            for c in data:
+                nxt = rows[at].get(c)
+                if nxt is None:
+                    nxt = rows[at][c] = len(rows)
+                    rows.append({})
+                    token.append(-1)
+                at = nxt
+            token[at] = rank
+        base, self.table = comb(rows)
+        self.root = int(base[0])
+        self.token = np.full(int(base.max()) + 1, -1, np.int32)
+        self.token[base] = token
+        n = max(e.bytes) + 1
+        self.size = np.zeros(n, np.int32)
+        self.left, self.right = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+        merges = {}
+        for rank, data in e.bytes.items():
+            self.size[rank] = len(data)
+            if half := e.halves[rank]:
+                self.left[rank], self.right[rank] = half
+            for i in range(1, len(data)):
+                a, b = e.ranks.get(data[:i]), e.ranks.get(data[i:])
+                if a is not None and b is not None:
+                    merges[a << 32 | b] = rank
+        self.merges = _Pairs(max(8, (2 * len(merges)).bit_length()))
+        self.merges.put(np.fromiter(merges, np.int64, len(merges)), np.fromiter(merges.values(), np.int32, len(merges)))
+        self.fits = _Pairs(21)
+
+    def compatible(self, key: np.ndarray) -> np.ndarray:
+        """Whether each pair left << 32 | right is the encoding of its bytes; see Encoder.compatible."""
+        out = self.fits.get(key)
+        if len(new := np.flatnonzero(out < 0)):
+            fresh = np.unique(key[new])
+            if self.fits.n + len(fresh) > len(self.fits.keys) // 2:
+                self.fits = _Pairs(max(21, (4 * len(fresh)).bit_length()))
+            self.fits.put(fresh, self._compatible(fresh).astype(np.int32))
+            out[new] = self.fits.get(key[new])
+        return out > 0
+
+    def _compatible(self, key: np.ndarray) -> np.ndarray:
+        out, at = np.zeros(len(key), bool), np.arange(len(key))
+        a, b, before = key >> 32, key & 0xFFFFFFFF, np.full(len(key), 1 << 60)
+        while len(at):
+            rank = self.merges.get(a << 32 | b)
+            ok = (rank < 0) | (rank >= before)
+            at, a, b, before = at[ok], a[ok], b[ok], before[ok]
+            down = (self.right[a] >= 0) & ((self.left[b] < 0) | (a > b))
+            up = ~down & (self.left[b] >= 0)
+            out[at[~down & ~up]] = True
+            before = np.where(down, a, b + 1)
+            a, b = np.where(down, self.right[a], a), np.where(up, self.left[b], b)
+            on = down | up
+            at, a, b, before = at[on], a[on], b[on], before[on]
+        return out
+
+    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces one after the other, number of each one's ids); pieces of 1 to LONGEST bytes."""
+        n = len(pieces)
+        if not n:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        length = np.fromiter(map(len, pieces), np.int64, n)
+        order = np.argsort(-length, kind="stable")
+        size = length[order]
+        most = int(size[0])
+        rows = np.repeat(np.arange(n), length)
+        byte = np.zeros((most, n), np.int64)
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        byte[np.arange(len(rows)) - np.repeat(np.cumsum(length) - length, length), place[rows]] = np.frombuffer(b"".join(pieces), np.uint8)
+        last = np.zeros((most, n), np.int64)
+        active = np.searchsorted(-size, -np.arange(1, most + 1), side="right")
+        who, begin, state = (np.zeros(0, np.int64),) * 3
+        for i in range(most):
+            k = active[i]
+            on = who < k
+            who = np.concatenate([who[on], np.arange(k)])
+            begin = np.concatenate([begin[on], np.full(k, i)])
+            state = np.concatenate([state[on], np.full(k, self.root)])
+            v = self.table.take(state + byte[i, who])
+            on = v >> 32 == state
+            who, begin, state = who[on], begin[on], v[on] & 0xFFFFFFFF
+            token = self.token[state]
+            whole = np.flatnonzero((token >= 0) & (begin == 0))
+            some = np.flatnonzero((token >= 0) & (begin > 0))
+            fits = some[self.compatible(last[begin[some] - 1, who[some]] << 32 | token[some])]
+            last[i, who[fits]] = token[fits]
+            last[i, who[whole]] = token[whole]
+        out, at = [], np.arange(n)
+        end = size.copy()
+        while len(at):
+            t = last[end[at] - 1, at]
+            out.append((at, t))
+            end[at] -= self.size[t]
+            at = at[end[at] > 0]
+        count = np.bincount(np.concatenate([a for a, _ in out]), minlength=n)
+        ids, stop = np.empty(count.sum(), np.int32), np.cumsum(count[place])
+        stop = stop[order]
+        for step, (a, t) in enumerate(out):
+            ids[stop[a] - 1 - step] = t
+        return ids, count[place]
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for size[0] places, then those of start[1], and so on."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 class Text:
@@ -296,12 +535,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         e = encoder(path, pattern)
         for b in batches:
             for s in text_slices(b, "x"):
-                ids = [None if x is None else e.encode(x) for x in s.column("x").to_pylist()]
-                n = np.array([0 if x is None else len(x) for x in ids], np.int32)
-                null = np.array([x is None for x in ids], bool)
-                flat = np.concatenate([x for x in ids if x is not None]) if not null.all() else np.zeros(0, np.int32)
+                x = s.column("x")
+                null = x.is_null().to_numpy(zero_copy_only=False)
+                ids, n = e.encode_all(x)
                 cuts = pa.array(np.r_[0, np.cumsum(n)].astype(np.int32), mask=np.r_[null, False])
-                yield pa.record_batch([s.column("id"), pa.ListArray.from_arrays(cuts, pa.array(flat)), pa.array(n, mask=null)], names=["id", "tokens", "n_tokens"])
+                yield pa.record_batch([s.column("id"), pa.ListArray.from_arrays(cuts, pa.array(ids)), pa.array(n.astype(np.int32), mask=null)], names=["id", "tokens", "n_tokens"])
 
     d = pick(docs, id=id_col, x=text_col).select(F.col("id").cast("bigint"), "x")
     return d.mapInArrow(run, "id bigint, tokens array<int>, n_tokens int").withColumnRenamed("id", id_col)
