@@ -148,5 +148,26 @@ def test_stages_keep_the_columns(stage, docs, empty, labels, tmp_path, spark):
     assert stage(spark, empty, str(tmp_path)).count() == 0
 
 
-def test_pack_stage(docs, spark):
-    assert packing.pack_stage(spark, docs, "").count() > 0
+def test_pack_stage(docs, empty, spark):
+    r = got(packing.pack_stage(spark, docs, ""))
+    size = lambda i: sum(x.size for x in r[i])
+    assert 20 not in r and 21 not in r and size(24) == len(bpe.encoder().encode(LONG)) and size(None) == len(bpe.encoder().encode("a text without an id"))
+    assert {x.copy for x in r[30]} == {0, 1} and len(r[31]) == 1
+    assert packing.pack_stage(spark, empty, "").count() == 0
+
+
+def test_pipeline_edges(docs, empty, labels, tmp_path, spark):
+    """Odd rows go through all stages; an empty table gives the same columns."""
+    import corpus_pipeline
+
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    sizes = []
+    for name, d in ("odd", docs), ("empty", empty):
+        kept = d.toDF(*[f"c{i}" if i in (0, 2, 7, 8, 9, 10, 11) else c for i, c in enumerate(d.columns)]).select(*columns)
+        kept.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        sizes.append(out.count())
+        ids = {r.doc_id for r in out.collect()}
+        assert out.columns == ["bin_id", "slot", "offset", "doc_id", "copy", "start", "size", "fill"] and not ids & {20, 21, 22, 31}
+    assert sizes[0] > 0 and sizes[1] == 0

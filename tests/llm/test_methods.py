@@ -15,6 +15,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from semloom.llm import bpe, chat, hnsw, langid, packing, quality, queries, secrets, simhash, urlrep, winnow
 from semloom.llm.common import fold, span_hashes, text_bytes, text_slices
@@ -27,6 +28,15 @@ def documents():
     return pd.read_parquet(f"{SF}/documents.parquet")
 
 
+def test_folding():
+    """Case and separators of all scripts, byte for byte."""
+    text = "ДОМ „Ärger“\u2019s ΣΟΦΊΑ\u00a0ŁÓDŹ\u3000Ａｂ，漢 🙂 İx Ẁ\u200bñ ÷×"
+    out = fold(np.frombuffer(text.encode(), np.uint8)).tobytes()
+    assert len(out) == len(text.encode())
+    assert out.decode().split() == ["дом", "ärger", "s", "σοφία", "łódź", "ａｂ", "漢", "🙂", "İx", "ẁ", "ñ"]
+    assert fold(np.frombuffer("ДОМ".encode(), np.uint8)).tobytes() == "дом".encode()
+
+
 # --- 1 near duplicates
 
 
@@ -81,6 +91,56 @@ def test_nodes_adapt_to_density():
     assert sizes[0] == 100  # equal prefixes down to the deepest level stay together
 
 
+def print_family(rng, n, flips):
+    """n prints that differ from one by up to `flips` bits."""
+    out = np.repeat(rng.integers(0, 1 << 63, (1, 4), dtype=np.uint64), n, axis=0)
+    for i in range(n):
+        for b in rng.choice(256, rng.integers(0, flips + 1), replace=False):
+            out[i, b >> 6] ^= np.uint64(1 << int(b & 63))
+    return out
+
+
+def brute_labels(fp, radius):
+    label = np.arange(len(fp))
+    for i in range(len(fp)):
+        for j in np.flatnonzero(simhash.distance(fp[i], fp[i + 1 :]) <= radius) + i + 1:
+            a, b = sorted((label[i], label[j]))
+            label[label == b] = a
+    return label
+
+
+@pytest.mark.parametrize("flips", [3, 20, 40, 60])
+def test_dense_nodes_are_brute_force(flips):
+    rng = np.random.default_rng(flips)
+    fp = np.concatenate([print_family(rng, 250, flips), print_family(rng, 150, 8), rng.integers(0, 1 << 63, (80, 4), dtype=np.uint64)])
+    fp = np.unique(fp[rng.permutation(len(fp))], axis=0)
+    got, crowded = simhash.roots(fp, np.zeros(len(fp), np.int64), simhash.RADIUS)
+    assert len(fp) > simhash.SMALL and not crowded.any() and (got == brute_labels(fp, simhash.RADIUS)).all()
+
+
+def test_many_near_equal_prints_take_one_pass():
+    rng, n = np.random.default_rng(1), 100_000
+    fp = np.repeat(rng.integers(0, 1 << 63, (1, 4), dtype=np.uint64), n, axis=0)
+    for _ in range(4):
+        fp[np.arange(n), rng.integers(0, 4, n)] ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+    label, crowded = simhash.roots(fp, np.zeros(n, np.int64), simhash.RADIUS, 10 * n)
+    assert (label == 0).all() and not crowded.any()
+
+
+@pytest.mark.parametrize("bounds", [{"most_pairs": 2000}, {"most_rows": 120}])
+def test_crowded_rows_descend(spark, bounds):
+    """A region whose nodes are too much work, or whose prefixes have too many rows, is linked by deeper forests."""
+    rng = np.random.default_rng(9)
+    fp = np.unique(np.concatenate([print_family(rng, 700, 24), rng.integers(0, 1 << 63, (300, 4), dtype=np.uint64)]), axis=0)
+    rows = [(i, *map(int, f.view(np.int64))) for i, f in enumerate(fp)]
+    reps = spark.createDataFrame(rows, "id bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
+    edges = simhash.links(reps, **bounds)
+    got, want = np.arange(len(fp)), brute_labels(fp, simhash.RADIUS)
+    for r in simhash.components(edges).collect():
+        got[r.id] = r.root
+    assert (got == want).mean() > 0.98 and (want[got] == want).all()
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(40)] + [(100, 101), (101, 102), (200, 7)]
     r = {x.id: x.root for x in simhash.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
@@ -106,6 +166,32 @@ def test_recall_of_neighbours(spark, shard):
     assert all(abs(r.similarity - s[at[r.vec_id], at[r.neighbour]]) < 1e-5 for r in rows)
 
 
+def test_query_set_of_neighbours(spark):
+    """The registered query: every row whose id is divisible by 100 asks, all rows answer."""
+    sf = "/root/testdata/sf0.1"
+    t = pd.read_parquet(f"{sf}/embeddings.parquet")
+    x = np.stack(t.embedding.to_numpy()).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = defaultdict(set)
+    for r in queries.op2_nearest_neighbours(spark, sf).collect():
+        got[r.vec_id].add(r.neighbour)
+    at = {v: i for i, v in enumerate(t.vec_id)}
+    assert set(got) == {v for v in at if v % 100 == 0} and all(len(v) == hnsw.K for v in got.values())
+    hit = 0
+    for v, found in got.items():
+        s = x @ x[at[v]]
+        s[at[v]] = -2
+        hit += sum(s[at[n]] >= np.sort(s)[-hnsw.K] - 1e-6 for n in found)
+    assert hit / (hnsw.K * len(got)) >= 0.95
+
+
+def test_equal_vectors_and_blocks(spark):
+    df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(300)], "vec_id bigint, embedding array<float>")
+    rows = hnsw.neighbours(df, k=3, shard_vectors=70, every=50).collect()
+    assert {r.vec_id for r in rows} == {0, 50, 100, 150, 200, 250} and len(rows) == 18
+    assert all(r.similarity == 1 and r.vec_id != r.neighbour for r in rows)
+
+
 def test_graph_of_clusters():
     rng = np.random.default_rng(0)
     centre = rng.normal(size=(30, 24))
@@ -133,6 +219,69 @@ def test_held_out_accuracy(spark):
     assert sum(good) / len(good) >= 0.97
 
 
+def plain_features(text: str, orders) -> list[tuple]:
+    """Words, pairs of words that are alike where both repeat, and n-grams of characters within a word and its borders."""
+    raw = text.encode()
+    found = [w for w in "".join(chr(b) if b > 32 else " " for b in raw).split(" ") if w]
+    out = [("w", w) for w in found]
+    out += [("p", "=") if a == b else ("p", a, b) for a, b in zip(found, found[1:], strict=False)]
+    for n in orders:
+        grams = [text[i : i + n] for i in range(len(text) - n + 1)]
+        out += [("c", g) for g in grams if all(ord(c) > 32 for c in g[1:-1])]
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="ab é漢🙂\n", max_size=30), min_size=1, max_size=5))
+def test_features_are_brute_force(texts):
+    """As many of each kind a row, and equal hashes for equal features only."""
+    raw, off = text_bytes(pa.array(texts))
+    rows = defaultdict(list)
+    for f, row in quality.features(raw, off, 40, (2, 3, 4)):
+        assert (np.diff(row) >= 0).all()
+        for a, b in zip(f, row, strict=True):
+            rows[int(b)].append(int(a))
+    names = {}
+    for i, t in enumerate(texts):
+        want = plain_features(t, (2, 3, 4))
+        assert len(want) == len(rows[i])
+        for x, h in zip(want, rows[i], strict=True):
+            assert names.setdefault(x, h) == h
+    assert len(set(names.values())) == len(names)
+
+
+def test_gradient_steps_and_scores_are_plain(documents):
+    """A step of fit() and a folded score, against loops over features."""
+    texts, y = documents.text[:12].str[:400].tolist(), [0, 1] * 6
+    m = quality.Model([0, 1], bits=10, dim=4, orders=(3,), seed=5)
+    table, layer, bias = m.table.astype(float), m.layer.astype(float), m.bias.astype(float)
+    rng = np.random.default_rng(7)
+    bags = [np.concatenate([f for f, _ in quality.features(*text_bytes(pa.array([t])), 10, (3,))]) for t in texts]
+    for epoch in range(2):
+        order = rng.permutation(12)
+        for k, at in enumerate((0, 6)):
+            lr = 0.5 * (1 - (2 * epoch + k) / 4)
+            up, dl, db = np.zeros_like(table), np.zeros_like(layer), np.zeros(2)
+            for i in order[at : at + 6]:
+                mean = table[bags[i]].mean(axis=0)
+                score = mean @ layer + bias
+                p = np.exp(score) / np.exp(score).sum()
+                p[y[i]] -= 1  # classes are as frequent as each other: all weights are 1
+                dl += np.outer(mean, p)
+                db += p
+                for f in bags[i]:
+                    up[f] += layer @ p / len(bags[i])
+            layer -= lr * dl / max(1.0, np.linalg.norm(dl))
+            bias -= lr / 6 * db
+            table -= lr * up
+    m.fit(texts, y, epochs=2, rate=0.5, batch=6, seed=7)
+    assert np.allclose(m.table, table, atol=1e-4) and np.allclose(m.layer, layer, atol=1e-4) and np.allclose(m.bias, bias, atol=1e-4)
+    p, n = m.predict(*text_bytes(pa.array(texts)))
+    for i, bag in enumerate(bags):
+        score = m.table[bag].mean(axis=0) @ m.layer + m.bias
+        assert n[i] == len(bag) and np.allclose(p[i], np.exp(score) / np.exp(score).sum(), atol=1e-4)
+
+
 def test_features_stay_in_their_rows():
     texts = ["ab abc", "", "abcd"]
     raw, off = text_bytes(pa.array(texts))
@@ -177,6 +326,72 @@ def test_spans_point_at_the_secret():
     assert secrets.redact(text) == f"é [SECRET] and {quote('ü')} [SECRET]."
 
 
+def test_no_length_is_too_long():
+    password, name = "pass" * 35 + "1", "my_token_" + "x" * 50
+    (found,) = secrets.scan(f"see http://{'u' * 90}:{password}@host/ there")
+    assert (found.rule, found.secret) == ("url_password", password)
+    (found,) = secrets.scan(f"{name}{' ' * 40}=    'abcdefgh12345678'")
+    assert (found.rule, found.secret) == ("assigned_secret", "abcdefgh12345678")
+    for i in range(0, 3000, 997):
+        assert any(f.secret == KEY for f in secrets.scan("a" * i + " " + base64.encodebytes(("x" * i + f" {KEY} end").encode()).decode()))
+
+
+@pytest.mark.parametrize("escape", ["%" + "25" * 20_000 + "41", "\\" + "u005c" * 20_000 + "u0041", "\\" + "x5c" * 20_000 + "x41", "&#38;" + "#38;" * 20_000 + "#65;"])
+def test_deep_escapes_in_long_texts(escape):
+    import time
+
+    began = time.perf_counter()
+    text = f"before {escape}{KEY[1:]} after {'word ' * 40_000}"
+    found = [f for f in secrets.scan(text) if f.rule == "aws_access_key"]
+    assert [(f.start, f.end, f.secret) for f in found] == [(7, 7 + len(escape) + 19, KEY)] and time.perf_counter() - began < 10
+    assert secrets.scan("see http://u:pa%252520ss@h/x")[0].secret == "pa%252520ss"
+
+
+def brute_keys(text: str, strict: bool) -> set[str]:
+    """AWS keys in what any substring decodes to. strict: between characters that can't be part of a word, so that it is
+    a key whatever the substring begins with."""
+    import re
+
+    edge = rb"(?<![A-Za-z0-9_])" if strict else b""
+    pattern = re.compile((rb"(?<=[ .:=])" if strict else b"") + rb"A(?:KIA|SIA)[A-Z2-7]{16}" + (rb"(?=[ .:=])" if strict else b"") + (b"" if strict else edge))
+    found, flat = set(), "".join(text.split())
+    for source in {text, flat}:
+        for i in range(len(source)):
+            for j in range(i + 20, len(source) + 1):
+                part = source[i:j]
+                tries = []
+                if re.fullmatch(r"[A-Za-z0-9+/_-]+", part) and len(part) % 4 != 1:
+                    tries.append(base64.b64decode(part.replace("-", "+").replace("_", "/") + "=" * (-len(part) % 4)))
+                if (j == len(source) or source[j - 1] != "%") and "%" in part and i == 0 and j == len(source):
+                    from urllib.parse import unquote_to_bytes
+
+                    tries.append(unquote_to_bytes(part))
+                if i == 0 and j == len(source):
+                    tries.append(part.encode())
+                for data in tries:
+                    found |= {m[0].decode() for m in pattern.finditer(data)}
+    return found
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_scan_is_brute_force(seed):
+    rng = random.Random(seed)
+    key = "AKIA" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=16))
+    plain = rng.choice(["", "x", "id", "é", "k?>"]) + rng.choice(" .:=") + key + rng.choice(" .:=") + rng.choice(["", "end", "~~"])
+    digits = base64.b64encode(plain.encode()).decode()
+    if rng.random() < 0.5:
+        digits = digits.replace("+", "-").replace("/", "_")
+    if rng.random() < 0.5:
+        digits = digits.rstrip("=")
+    if rng.random() < 0.3:
+        digits = digits[:24] + "\n" + digits[24:]
+    shown = rng.choice([digits, digits, digits, plain, "".join(f"%{b:02x}" for b in plain.encode())])
+    text = rng.choice(["", "a", "ab/", "q_", "v-", "see ", "%ff", "/x/"]) + shown + rng.choice(["", " z", ", y", "!"])
+    must, may = brute_keys(text, True), brute_keys(text, False)
+    got = {f.secret for f in secrets.scan(text) if f.rule == "aws_access_key"}
+    assert must <= got <= may and (key in must)
+
+
 def test_cycles_and_depth_end():
     s = KEY
     for _ in range(6):
@@ -307,12 +522,12 @@ def test_the_shortest_item_is_caught():
 def test_windows_cover_each_turn_once(counts, system, budget, history):
     counts = np.array(counts)
     out = chat.windows(counts, system, budget, history)
-    keep = system and counts[0] * 2 <= budget
+    long = system and counts[0] + max(1, budget // 16) > budget
+    kept = 0 if not system else budget // 2 if long else counts[0]
     fresh = np.zeros(len(counts), int)
     for w in out:
-        total = counts[0] if w.system else 0
-        assert w.system == keep
-        past = 0
+        assert w.system == (0 if long and w.first == 0 else kept)  # the system turn is in every window
+        total, past = w.system, 0
         for i in range(w.first, w.last + 1):
             size = w.take if i == w.last else counts[i]
             total += size
@@ -321,13 +536,50 @@ def test_windows_cover_each_turn_once(counts, system, budget, history):
             else:
                 past += counts[i]
         assert total <= budget and past <= history
-    start = 1 if keep else 0
+    start = 1 if system and not long else 0
     assert (fresh[start:] == counts[start:]).all()
     # greedy: no window could have taken the next turn, too
     for a, b in zip(out, out[1:], strict=False):
-        if b.new == a.last + 1 and a.skip == 0 and a.take == counts[a.last]:
-            used = (counts[0] if a.system else 0) + counts[a.first : a.last + 1].sum()
-            assert used + counts[b.new] > budget
+        if b.new == a.last + 1 and a.skip == 0 and a.take == counts[a.last] and not (long and a.first == 0):
+            assert a.system + counts[a.first : a.last + 1].sum() + counts[b.new] > budget
+
+
+@pytest.mark.parametrize("words", [40, 1100, 1900, 5000])
+def test_system_turn_stays(spark, words):
+    """Long instructions are kept in every window; ones that leave no room come whole first, then their beginning."""
+    system = " ".join(f"rule{i % 7}" for i in range(words // 2))
+    turns = [(1, 0, "system", system)] + [(1, 1 + i, ("user", "assistant")[i % 2], f"turn {i} " + "word " * 60 + "end") for i in range(12)]
+    rows = sorted(chat.chat_windows(spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string")).collect(), key=lambda r: r.window)
+    e = bpe.encoder()
+    whole = [len(e.ranks), *e.encode(system).tolist(), len(e.ranks) + 4]
+    own = [r for r in rows if r.new_turn == 0]
+    head = whole if not own else whole[: chat.BUDGET // 2]
+    assert bool(own) == (len(whole) > chat.BUDGET * 15 // 16) and sum((list(r.tokens) for r in own), []) == (whole if own else [])
+    for r in rows:
+        assert r.n_tokens <= chat.BUDGET and (r in own or r.tokens[: len(head)] == head)
+        assert all(y == chat.MASKED for y in r.targets[: len(head)])
+    assert sum(r.n_targets for r in rows) == sum(len(e.encode(t)) + 1 for _, _, role, t in turns if role == "assistant")
+
+
+def test_windows_spell_the_turns(spark):
+    """Against a plain concatenation of encoded turns."""
+    t = spark.read.parquet(f"{SF}/conversations.parquet").toPandas().sort_values(["conv_id", "turn"])
+    e = bpe.encoder()
+    special = {r: len(e.ranks) + k for k, r in enumerate(chat.SPECIAL)}
+    turns = {(r.conv_id, r.turn): [special.get(r.role, special["other"]), *e.encode(r.text).tolist(), special["end"]] for r in t.itertuples()}
+    roles = {(r.conv_id, r.turn): r.role for r in t.itertuples()}
+    checked = 0
+    for r in chat.chat_windows(spark.read.parquet(f"{SF}/conversations.parquet"), budget=512, history=128).collect():
+        parts = [turns[r.conv_id, i] for i in range(r.first_turn, r.last_turn + 1)]
+        head = turns[r.conv_id, 0] if roles[r.conv_id, 0] == "system" and r.first_turn > 0 else []
+        if len(head) + sum(map(len, parts)) > 512:
+            continue  # a cut turn
+        want = [chat.MASKED] * len(head)
+        for i, p in zip(range(r.first_turn, r.last_turn + 1), parts, strict=True):
+            want += [chat.MASKED, *p[1:]] if roles[r.conv_id, i] == "assistant" and i >= r.new_turn else [chat.MASKED] * len(p)
+        assert list(r.tokens) == head + sum(parts, []) and list(r.targets) == want
+        checked += 1
+    assert checked > 100
 
 
 def test_rendered_windows(spark):
@@ -368,6 +620,8 @@ def test_encoding_is_the_public_one(reference_encoding, text):
 def test_documents_encode_alike(reference_encoding, documents):
     for t in documents.text:
         assert bpe.encoder().encode(t).tolist() == reference_encoding.encode_ordinary(t)
+    ids, n = bpe.encoder().encode_all(pa.array(documents.text))
+    assert ids.tolist() == [i for t in documents.text for i in reference_encoding.encode_ordinary(t)] and len(n) == len(documents)
 
 
 @settings(max_examples=150, deadline=None)
@@ -400,6 +654,36 @@ def test_reputation_is_its_sql(spark):
     assert got == want
 
 
+def test_suffix_rules(spark):
+    """Against the list's own algorithm, a host at a time."""
+    rules = set(urlrep.SUFFIXES)
+    assert len(rules) > 5000 and {"co.uk", "*.ck", "!www.ck"} <= rules
+
+    def plain(host):
+        labels = host.split(".")
+        best = 1
+        for k in range(len(labels), 0, -1):
+            name = ".".join(labels[-k:])
+            if "!" + name in rules:
+                best = k - 1
+                break
+            if name in rules or "*." + ".".join(labels[-k:][1:]) in rules:
+                best = max(best, k)
+        return ".".join(labels[-best:]), ".".join(labels[-best - 1 :])
+
+    hosts = ["a.com", "com", "a.b.co.uk", "co.uk", "x.a.com.ua", "foo.github.io", "github.io", "www.ck", "a.www.ck", "b.c.ck", "c.ck", "ck", "a.city.kawasaki.jp", "q.w.kawasaki.jp", "no.such.tld", "a.b.compute.amazonaws.com", "xn--85x722f.com.cn"]
+    got = {r.h: (r.s, r.d) for r in spark.createDataFrame([(h,) for h in hosts], "h string").select("h", urlrep.suffix_of(F.col("h")).alias("s")).select("h", "s", urlrep.domain_of(F.col("h"), F.col("s")).alias("d")).collect()}
+    assert got == {h: plain(h) for h in hosts}
+    assert got["x.a.com.ua"] == ("com.ua", "a.com.ua") and got["foo.github.io"] == ("github.io", "foo.github.io")
+
+
+def test_hosts_of_addresses(spark):
+    rows = [(0, "http://[2001:db8::1]:80/x"), (1, "//u:p@[::1]/"), (2, "http://10.0.0.1:8/"), (3, "http://[bad/"), (4, "http://Ex.com.:80?q")]
+    r = {x.page_id: x for x in urlrep.url_filter(spark.createDataFrame(rows, "page_id int, url string"), spark.createDataFrame([], "doc_id int, quality int, toxic int")).collect()}
+    assert [r[i].host for i in range(5)] == ["[2001:db8::1]", "[::1]", "10.0.0.1", None, "ex.com"]
+    assert r[0].domain == r[0].suffix == "[2001:db8::1]" and r[2].domain == "10.0.0.1"
+
+
 def test_shrinkage(spark):
     rows, labels, n = [], [], 0
     for host, pages, bad in (("bad.spam.com", 60, 58), ("new.spam.com", 1, 1), ("www.spam.com", 40, 37), ("a.good.org", 60, 1), ("b.good.org", 1, 1), ("c.good.org", 40, 0)):
@@ -417,32 +701,54 @@ def test_shrinkage(spark):
 # --- 9 languages
 
 
-def brute_phrases(x: bytes, corpus: bytes, block: int) -> int:
-    n = 0
-    for at in range(0, len(x), block):
-        part, i = x[at : at + block], 0
-        while i < len(part):
-            j = i + 1
-            while j <= len(part) and part[i:j] in corpus:
-                j += 1
-            i = max(j - 1, i + 1)
-            n += 1
+def brute_phrases(x: bytes, corpus: bytes) -> int:
+    n = i = 0
+    while i < len(x):
+        j = i + 1
+        while j <= len(x) and x[i:j] in corpus:
+            j += 1
+        i = max(j - 1, i + 1)
+        n += 1
     return n
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet="abc d", max_size=40), min_size=1, max_size=4), st.text(alphabet="abc ", min_size=3, max_size=60), st.text(alphabet="bcd ", min_size=3, max_size=60))
-def test_phrases_are_brute_force(texts, one, two):
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="abc d", max_size=80), min_size=1, max_size=4), st.text(alphabet="abc ", min_size=3, max_size=60), st.text(alphabet="bcd ", min_size=3, max_size=60), st.integers(1, 20))
+def test_phrases_are_brute_force(texts, one, two, block):
+    """However the text is cut into blocks, the phrases are those of an unbroken parse."""
     m = langid.Model({"a": one, "b": two})
     if not m.langs:
         return
     corpora = {lang: bytes(langid.squeeze(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0]) for lang, t in (("a", one), ("b", two))}
-    count, size = m.phrases(*text_bytes(pa.array(texts)), 16)
+    count, size = m.phrases(*text_bytes(pa.array(texts)), block)
     for i, t in enumerate(texts):
         raw = np.frombuffer(t.encode(), np.uint8)
         x = bytes(langid.squeeze(raw, np.array([0, len(raw)]))[0]) if len(raw) else b""
         assert size[i] == len(x)
-        assert [count[i, j] for j in range(len(m.langs))] == [brute_phrases(x, corpora[lang], 16) for lang in m.langs]
+        assert [count[i, j] for j in range(len(m.langs))] == [brute_phrases(x, corpora[lang]) for lang in m.langs]
+
+
+def test_blocks_do_not_matter(documents):
+    """Periodic texts, whose parses meet late or never, and documents."""
+    period = "abcabcabd"
+    m = langid.Model({"p": period * 300 + "x" + period[3:] * 40, **documents.groupby("lang").text.agg(lambda t: " ".join(t)[:20_000]).to_dict()})
+    texts = pa.array([period * 700, period[2:] * 500 + "q" + period * 400, *documents.text[:60], " ".join(documents.text[60:120])])
+    whole, _ = m.phrases(*text_bytes(texts), 1 << 30)
+    for block in 64, 1000, 1024:
+        assert (m.phrases(*text_bytes(texts), block)[0] == whole).all()
+
+
+def test_model_of_sixty_languages_is_small():
+    rng, texts = random.Random(4), {}
+    for k in range(60):
+        first = (0x61, 0x3B1, 0x430, 0x4E00)[k % 4]
+        letters = [chr(first + i) for i in range(24 if k % 4 < 3 else 600)]
+        syllables = ["".join(rng.choices(letters, k=rng.randint(1, 3))) for _ in range(300)]
+        texts[f"l{k:02}"] = " ".join("".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(6000))[:30_000]
+    m = langid.Model(texts)
+    assert len(m.langs) == 60 and m.table.nbytes + m.first.nbytes < 200_000_000
+    score, _ = m.score(*text_bytes(pa.array([t[1000:3000] for t in texts.values()])))
+    assert (score.argmin(axis=1) == np.arange(60)).all()
 
 
 def test_language_accuracy_held_out(spark, documents):
@@ -518,6 +824,39 @@ def test_packing_is_exact(spark, documents, bucket):
     assert len(bins) <= -(-total // packing.CAPACITY) * 1.03 + 1
 
 
+def test_bins_that_cannot_merge_are_done():
+    """At no level more than one bin of at most half the capacity and fan_in others go on, and none that could merge stays."""
+    rng = np.random.default_rng(2)
+    for sizes in np.full(20_000, 2500), np.r_[np.full(20_000, 2500), 1], rng.integers(1, 4097, 20_000), rng.integers(1500, 3000, 20_000):
+        n = len(sizes)
+        pdf = pd.DataFrame({"bucket": 0, "bin": [f"{i}-0-0" for i in range(n)], "doc_id": np.arange(n), "copy": 0, "part": 0, "size": sizes, "slot": 0, "offset": 0, "fill": 0, "done": False})
+        out = packing._level(4096, 4014, 8)(pdf).groupby("bin").agg(fill=("size", "sum"), done=("done", "first"), said=("fill", "first"))
+        assert (out.fill == out.said).all() and out.fill.sum() == sizes.sum()
+        kept = out.fill[~out.done].to_numpy()
+        assert len(kept) <= 9 and (2 * kept <= 4096).sum() <= 1
+        assert (2 * out.fill[out.done] > 4096).all()
+
+
+def test_many_items_over_half(spark, monkeypatch):
+    """100,000 items that can't share a bin: only the bounded rest goes up the tree."""
+    counts, keep = [], packing.checkpoint
+    monkeypatch.setattr(packing, "checkpoint", lambda df: counts.append(keep(df)) or counts[-1])
+    d = spark.range(100_000).selectExpr("id as doc_id", "2500 as n")
+    rows = packing.pack(d, size_col="n", bucket_items=1000)
+    assert rows.count() == 100_000 == rows.select("bin_id").distinct().count()
+    open_ = [c.where("not done").groupBy("bucket").count().agg({"count": "max"}).first()[0] for c in counts[1:]]
+    assert len(open_) >= 2 and max(open_) <= 8
+    one = packing.pack(d.union(spark.createDataFrame([(-1, 900)], "doc_id bigint, n int")), size_col="n", bucket_items=1000)
+    assert one.select("bin_id").distinct().count() == 100_000  # the small one finds a place
+
+
+def test_a_hot_id_is_numbered(spark):
+    rows = spark.range(40_000).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 7, id)) as doc_id", "cast(id % 5 + 1 as int) as n")
+    out = packing.pack(rows, size_col="n").groupBy("doc_id").agg({"copy": "max", "*": "count"}).collect()
+    sizes = {r[0]: (r["max(copy)"], r["count(1)"]) for r in out}
+    assert sizes[None] == (13333, 13334) and sizes[7] == (13332, 13333) and len(sizes) == 13335
+
+
 @pytest.mark.parametrize("run", [queries.op10_best_fit_packing, lambda spark, sf: packing.pack_stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)])
 def test_packing_counts_real_tokens(spark, documents, run):
     got, fill = defaultdict(int), defaultdict(int)
@@ -533,6 +872,8 @@ def test_packing_counts_real_tokens(spark, documents, run):
 def test_counts_are_those_of_the_encoding(texts):
     e = bpe.encoder()
     assert e.counts(pa.array(texts, pa.string())).tolist() == [len(e.encode(t)) if t else 0 for t in texts]
+    ids, n = e.encode_all(pa.array(texts, pa.string()))
+    assert ids.tolist() == [i for t in texts if t for i in e.encode(t)] and n.tolist() == e.counts(pa.array(texts, pa.string())).tolist()
 
 
 # --- the pipeline
