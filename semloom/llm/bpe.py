@@ -30,7 +30,7 @@ PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\
 #: Entries that an encoder keeps of pieces and of words; then it starts anew. They only save time.
 KEEP = 300_000
 #: Words, and tokens of words, that a store keeps, likewise.
-KEEP_WORDS, KEEP_TOKENS = 500_000, 2_000_000
+KEEP_WORDS, KEEP_TOKENS = 250_000, 2_000_000
 
 
 def load(path: str) -> dict[bytes, int]:
