@@ -70,11 +70,15 @@ def suffix_automaton(seq: bytes) -> list[dict[int, int]]:
 
 #: Bytes of a text that are parsed one after the other; more run side by side. No result depends on it.
 BLOCK = 1024
+#: Symbols between two looks at whether parses have met.
+_STEPS = 16
+_LOW = np.int64(0xFFFFFFFF)
 
 
 class Model:
     """langs, and the automata of all languages in one table (see comb), about 1 MB a language: `roots` has the number of
-    each one's root, `first` the state that each symbol leads to from there, or the root where it has none."""
+    each one's root, `first` the state that each symbol leads to from there. A symbol that a language lacks leads from the
+    root back to it; it is a phrase of its own, which doesn't depend on the parse and is counted apart."""
 
     def __init__(self, texts: dict[str, str]):
         self.langs, tables, self.roots, self.first, self.bits, size = [], [], [], [], [], 0
@@ -84,10 +88,10 @@ class Model:
             if not len(x):
                 continue
             states = suffix_automaton(x.tobytes())
+            states[0] = {c: states[0].get(c, 0) for c in range(256)}
             base, table = comb(states)
             base += size
-            first = np.full(256, base[0])
-            first[list(states[0])] = base[list(states[0].values())]
+            first = base[[states[0][c] for c in range(256)]]
             self.langs.append(lang)
             tables.append(np.where(table < 0, -1, table + (size << 32 | size)))
             self.roots.append(base[0])
@@ -97,13 +101,11 @@ class Model:
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int64)
         self.roots, self.first = np.array(self.roots, np.int64), np.array(self.first, np.int64).reshape(-1, 256)
 
-    def _step(self, state: np.ndarray, root: np.ndarray, first: np.ndarray, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(state after each symbol, phrases that it closes). A symbol that a language lacks is a phrase of its own."""
-        v = self.table.take(state + sym)
+    def _step(self, state: np.ndarray, first: np.ndarray, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state after each symbol, whether it closed a phrase)."""
+        v = self.table.take(state + sym, mode="clip")
         fails = v >> 32 != state
-        if not fails.any():
-            return v & 0xFFFFFFFF, fails.astype(np.int64)
-        return np.where(fails, first, v & 0xFFFFFFFF), (fails & (state != root)).astype(np.int64) + (fails & (first == root))
+        return np.where(fails, first, v & _LOW), fails
 
     def phrases(self, raw: np.ndarray, offsets: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
         """(phrases [row, language], parsed bytes of each row)."""
@@ -112,33 +114,48 @@ class Model:
         out = np.zeros((n, len(self.langs)), np.int64)
         if not len(x) or not self.langs:
             return out, size
-        x = x.astype(np.int64)
         blocks = -(-size // block)
         row = np.repeat(np.arange(n), blocks)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         start = off[row] + nth * block
         length = np.minimum(block, off[row + 1] - start)
         order = np.argsort(-length, kind="stable")
-        roots = self.roots[:, None]
-        state = np.repeat(roots, len(start), axis=1)
-        count = np.zeros(state.shape, np.int64)
-        first = np.ascontiguousarray(self.first.T)  # [symbol, language]
-        active = np.searchsorted(-length[order], -np.arange(1, length.max() + 1), side="right")
-        for t in range(len(active)):
-            at = order[: active[t]]
-            sym = x.take(start[at] + t)
-            state[:, at], cost = self._step(state[:, at], roots, first[sym].T, sym[None])
-            count[:, at] += cost
+        state, count = self._parse(x, start[order], length[order])
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        state, count = state[:, back], count[:, back]
         self._join(x, start, length, nth, state, count)
         last = np.flatnonzero(np.r_[nth[1:] == 0, True])
-        count[:, last] += state[:, last] != roots
+        count[:, last] += state[:, last] != self.roots[:, None]
         for j in range(len(self.langs)):
-            out[:, j] = np.bincount(row, weights=count[j], minlength=n)
+            alone = np.r_[0, np.cumsum((self.first[j] == self.roots[j]).take(x))]
+            out[:, j] = np.bincount(row, weights=count[j], minlength=n) + alone[off[1:]] - alone[off[:-1]]
         return out, size
 
+    def _parse(self, x: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(last state, phrases closed) [language, block] of blocks, longest first, that each begin a phrase."""
+        flat, row = self.first.ravel(), np.arange(len(self.langs))[:, None] << 8
+        state = np.repeat(self.roots[:, None], len(start), axis=1)
+        count = np.zeros(state.shape, np.int64)
+        active = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")
+        for t, k in enumerate(active.tolist()):
+            now, sym = state[:, :k], x.take(start[:k] + t, mode="clip").astype(np.int64)
+            v = self.table.take(now + sym, mode="clip")
+            fails = (v >> 32 != now).astype(np.int64)
+            count[:, :k] += fails
+            v &= _LOW
+            # where one fails, the state after it from the root: by masks, as about half of them do
+            new = flat.take(row + sym, mode="clip")
+            new ^= v
+            new &= np.negative(fails, out=fails)
+            v ^= new
+            state[:, :k] = v
+        return state, count
+
     def _join(self, x: np.ndarray, start: np.ndarray, length: np.ndarray, nth: np.ndarray, state: np.ndarray, count: np.ndarray) -> None:
         """Carries each block's last state into the next block of its row, and what that changes there into count and
-        state. A block whose two parses don't meet has a new last state, which goes on to the block after it."""
+        state, both [language, block]. A block whose two parses don't meet has a new last state, which goes on to the block
+        after it."""
         change = np.zeros(count.shape, np.int64)
         lang, to = np.nonzero(np.repeat(nth[None] > 0, len(self.langs), axis=0))
         ends = state.copy()
@@ -149,23 +166,28 @@ class Model:
             moved = [np.stack(back)[:, state[back] != ends[back]]]
             state[back] = ends[back]
             lang, to = lang[here], to[here]
-            a, b = state[lang, to - 1], self.roots[lang].copy()
-            t = 0
+            both = np.stack([state[lang, to - 1], self.roots[lang]])  # the parse that goes on, and the guessed one
+            diff, t = np.zeros(len(to), np.int64), 0
             while len(to):
-                sym, root = x[start[to] + t], self.roots[lang]
-                first = self.first[lang, sym]
-                a, more = self._step(a, root, first, sym)
-                b, less = self._step(b, root, first, sym)
-                change[lang, to] += more - less
-                t += 1
-                met, over = a == b, length[to] == t
-                # parses that met end as guessed, others at the block's end as they are
-                end = np.where(met, ends[lang, to], a)
-                new = (met | over) & (state[lang, to] != end)
+                left, at = length[to] - t, start[to] + t
+                steps = min(_STEPS, int(left.max()))
+                whole = int(left.min()) >= steps
+                for i in range(steps):
+                    sym = x.take(at + i if whole else at + np.minimum(i, left - 1)).astype(np.int64)
+                    new, closed = self._step(both, self.first[lang, sym], sym)
+                    more = closed[0].view(np.int8) - closed[1].view(np.int8)
+                    both = new if whole else np.where(i < left, new, both)
+                    diff += more if whole else np.where(i < left, more, 0)
+                t += steps
+                # parses that met go on alike: such a block ends as guessed, others at the block's end as they are
+                met, over = both[0] == both[1], left <= steps
+                end = np.where(met, ends[lang, to], both[0])
+                done = met | over
+                new = done & (state[lang, to] != end)
                 moved.append(np.stack([lang[new], to[new]]))
                 state[lang[new], to[new]] = end[new]
-                go = ~(met | over)
-                lang, to, a, b = lang[go], to[go], a[go], b[go]
+                change[lang[done], to[done]] = diff[done]
+                lang, to, both, diff = lang[~done], to[~done], both[:, ~done], diff[~done]
             lang, to = np.concatenate(moved, axis=1)
             on = to + 1 < len(nth)
             lang, to = lang[on], to[on] + 1
