@@ -30,7 +30,9 @@ PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\
 #: Entries that an encoder keeps of pieces and of words; then it starts anew. They only save time.
 KEEP = 300_000
 #: Words, and tokens of words, that a store keeps, likewise.
-KEEP_WORDS, KEEP_TOKENS = 250_000, 2_000_000
+KEEP_WORDS, KEEP_TOKENS = 400_000, 2_000_000
+#: Bytes of texts that are encoded at once: the more, the fewer words are looked up again and the more new ones go together.
+STEP_BYTES = 1 << 22
 
 
 def load(path: str) -> dict[bytes, int]:
@@ -534,7 +536,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
         for b in batches:
-            for s in text_slices(b, "x"):
+            for s in text_slices(b, "x", STEP_BYTES):
                 x = s.column("x")
                 null = x.is_null().to_numpy(zero_copy_only=False)
                 ids, n = e.encode_all(x)
@@ -551,7 +553,7 @@ def count(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
         for b in batches:
-            for s in text_slices(b, "x"):
+            for s in text_slices(b, "x", STEP_BYTES):
                 x = s.column("x")
                 n = pa.array(e.counts(x).astype(np.int32), mask=x.is_null().to_numpy(zero_copy_only=False))
                 yield pa.record_batch([s.column("id"), n], names=["id", "n_tokens"])
