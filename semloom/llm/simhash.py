@@ -11,8 +11,8 @@ probability `recall`. Depth and tree count follow from the number of distinct fi
 
 A node is verified by exact distances: a row is linked to all within the radius, these take in what they reach, and the
 triangle inequality tells what none of them can reach. So many near-equal prints cost one pass. A node that is still
-too much work, or a prefix with too many rows for a task, is crowded: its rows go to another forest, of their own, that
-is DESCENT bits deeper and has as many more trees as the recall then needs. No pair is given up in that.
+too much work, or has too many rows for a task, is crowded: it is cut into blocks, and each two blocks are verified in a
+task of their own, but for those that lie in one component already. So every node is verified whole, whatever its size.
 Pairs become groups by connected components (large star, small star).
 """
 
@@ -35,11 +35,13 @@ RADIUS = 42
 #: Of pairs that are exactly RADIUS apart; nearer ones are found more often.
 RECALL = 0.95
 LEAF = 64
-#: Nodes of up to SMALL rows are compared pair by pair. A node is crowded beyond MOST_PAIRS comparisons (about 20 s), a
-#: prefix beyond MOST_ROWS rows (56 bytes each).
+#: Nodes of up to SMALL rows are compared pair by pair. A node is crowded beyond MOST_PAIRS comparisons (about 20 s) or
+#: MOST_ROWS rows (56 bytes each).
 SMALL, MOST_PAIRS, MOST_ROWS = 256, 4_000_000_000, 2_000_000
-#: Bits that a forest for crowded rows goes deeper, and the longest prefix.
-DESCENT, KEY_BITS = 4, 32
+#: Rows of a crowded node's blocks, two of which meet in a task; rows of the node that meet each block first.
+BLOCK, ANCHORS = 1 << 16, 64
+#: The longest prefix.
+KEY_BITS = 32
 
 
 def fingerprints(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -226,14 +228,12 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def forest_edges(reps: DataFrame, deepest: int, trees: int, radius: int = RADIUS, leaf: int = LEAF, most_pairs: float = MOST_PAIRS, most_rows: int = MOST_ROWS) -> DataFrame:
-    """(a, b), b < a: edges that link the rows of reps (id, f0..f3, distinct) within radius which share a node of any
-    tree; and (a, null) for each crowded row a. The shuffle carries a row a tree, 52 bytes; nodes of a tree's top prefix
-    meet in one partition, sorted, and a task holds the rows of one.
-
-    At KEY_BITS, where prefixes can't get longer, work isn't bounded and a prefix with too many rows keeps one row of each
-    component as it goes on, so that rows which that long a prefix shares are still linked."""
+    """(a, b, unit), b < a: edges that link the rows of reps (id, f0..f3, distinct) within radius which share a node of any
+    tree; and (a, null, unit) for each row a of a crowded node, which unit names: its links are crowded_edges()'s to find.
+    The shuffle carries a row a tree, 52 bytes; nodes of a tree's top prefix meet in one partition, sorted, and a task holds
+    the rows of one, or of the part of one that no node crosses."""
     perms = permutations(trees, 20240229 + deepest)
-    shortest, last = max(2, deepest - 6), deepest >= KEY_BITS
+    shortest, most = max(2, deepest - 6), max(most_rows, leaf)
     out = pa.schema([("g", pa.int64()), ("key", pa.int64()), *_FP])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,83 +245,142 @@ def forest_edges(reps: DataFrame, deepest: int, trees: int, radius: int = RADIUS
                     key = keys(fp, perms[t])
                     yield pa.record_batch([pa.array((t << shortest) + (key >> (KEY_BITS - shortest))), pa.array(key), *(s.column(c) for c in ("id", *WORDS))], schema=out)
 
-    def solve(part: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:
-        """(edges and crowded rows, which rows are their components' first)"""
+    def solve(part: pa.Table) -> pa.RecordBatch:
         g, key, ids = (part.column(c).to_numpy() for c in ("g", "key", "id"))
         fp = np.stack([part.column(w).to_numpy() for w in WORDS], axis=1).view(np.uint64)
         first = np.r_[0, np.flatnonzero(g[1:] != g[:-1]) + 1, len(g)]
         node = np.concatenate([nodes(key[x:y], shortest, deepest, leaf) + x for x, y in zip(first[:-1], first[1:], strict=True)])
-        label, crowded = roots(fp, node, radius, math.inf if last else most_pairs)
+        label, crowded = roots(fp, node, radius, most_pairs)
         linked = np.flatnonzero(label != np.arange(len(label)))
-        a, b, more = ids[linked], ids[label[linked]], ids[crowded]
-        return _edges(np.r_[np.maximum(a, b), more], np.minimum(a, b)), label == np.arange(len(label))
+        a, b = ids[linked], ids[label[linked]]
+        return _found(np.maximum(a, b), np.minimum(a, b), ids[crowded], unit(g, key)[node[crowded]])
+
+    def unit(g: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Name of a node by its first row: tree and key."""
+        return g >> shortest << KEY_BITS | key
+
+    def runs(part: pa.Table | pa.RecordBatch) -> np.ndarray:
+        """Tree and longest prefix of each row, ascending."""
+        return unit(part.column("g").to_numpy(), part.column("key").to_numpy()) >> (KEY_BITS - deepest)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch | pa.Table] = []
-        rows, over = 0, None  # over: the group that is crowded as a whole
+        rows, over, name = 0, None, 0  # over: the run that is a crowded node, name: its unit
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            g = batch.column("g").to_numpy()
             if over is not None:
-                cut = int(np.searchsorted(g, over, side="right"))
-                yield _edges(batch.column("id").to_numpy()[:cut], np.zeros(0, np.int64))
-                if cut == len(g):
+                cut = int(np.searchsorted(runs(batch), over, side="right"))
+                yield _crowd(batch.slice(0, cut), name)
+                if cut == batch.num_rows:
                     continue
-                batch, g, over = batch.slice(cut), g[cut:], None
+                batch, over = batch.slice(cut), None
+            g = batch.column("g").to_numpy()
             if held and held[-1].column("g")[-1].as_py() != g[0]:
-                yield solve(_table(held))[0]
+                yield solve(_table(held))
                 held, rows = [], 0
             cut = int(np.searchsorted(g, g[-1]))
             if cut:  # all groups but the last are whole
-                yield solve(_table([*held, batch.slice(0, cut)]))[0]
+                yield solve(_table([*held, batch.slice(0, cut)]))
                 held, rows = [], 0
             held.append(batch.slice(cut))
             rows += held[-1].num_rows
-            if rows > most_rows and not last:
-                yield _edges(_table(held).column("id").to_numpy(), np.zeros(0, np.int64))
-                held, rows, over = [], 0, g[-1]
-            elif rows > most_rows:
-                part = _table(held)
-                edges, first = solve(part)
-                yield edges
-                held = [part.filter(pa.array(first))]
-                rows = held[0].num_rows // 2  # rows that stay unlinked may take twice the room
+            if rows <= most:
+                continue
+            part = _table(held)
+            run = runs(part)
+            at = int(np.searchsorted(run, run[-1]))
+            # a prefix that has rows before and after `at` has both runs there: if one of them exceeds a leaf, it is no node
+            if at and max(rows - at, at - int(np.searchsorted(run, run[at - 1]))) > leaf:
+                yield solve(part.slice(0, at))
+                part, at = part.slice(at), 0
+            held, rows = [part], part.num_rows
+            if not at and rows > most:
+                name = int(unit(part.column("g")[0].as_py(), part.column("key")[0].as_py()))
+                yield _crowd(part, name)
+                held, rows, over = [], 0, run[-1]
         if held:
-            yield solve(_table(held))[0]
+            yield solve(_table(held))
 
     spark = reps.sparkSession
     rows = reps.select("id", *WORDS).mapInArrow(spread, "g bigint, key bigint, id bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
     met = rows.repartition(n_shuffle(spark), "g").sortWithinPartitions("g", "key", "id")
-    return met.mapInArrow(join, "a bigint, b bigint").distinct()
+    return met.mapInArrow(join, "a bigint, b bigint, unit bigint").distinct()
+
 
+def _found(a: np.ndarray, b: np.ndarray, crowded: np.ndarray, unit: np.ndarray) -> pa.RecordBatch:
+    """Rows (a, b, null) and (crowded, null, unit)."""
+    more = np.arange(len(a) + len(crowded)) >= len(a)
+    return pa.record_batch([pa.array(np.r_[a, crowded]), pa.array(np.r_[b, crowded], mask=more), pa.array(np.r_[a, unit], mask=~more)], names=["a", "b", "unit"])
 
-def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    """Rows (a, b), with null where b is shorter."""
-    none = np.zeros(len(a), bool)
-    none[len(b) :] = True
-    return pa.record_batch([pa.array(a), pa.array(np.r_[b, np.zeros(len(a) - len(b), np.int64)], mask=none)], names=["a", "b"])
+
+def _crowd(part: pa.Table | pa.RecordBatch, unit: int) -> pa.RecordBatch:
+    none, ids = np.zeros(0, np.int64), part.column("id").to_numpy()
+    return _found(none, none, ids, np.full(len(ids), unit, np.int64))
 
 
 def _table(parts: list) -> pa.Table:
     return pa.concat_tables([p if isinstance(p, pa.Table) else pa.Table.from_batches([p]) for p in parts])
 
 
-def links(reps: DataFrame, radius: int = RADIUS, recall: float = RECALL, leaf: int = LEAF, most_pairs: float = MOST_PAIRS, most_rows: int = MOST_ROWS) -> DataFrame:
-    """(a, b): edges that link the rows of reps (id, f0..f3, distinct) within radius; forests for crowded rows descend."""
+def links(reps: DataFrame, radius: int = RADIUS, recall: float = RECALL, leaf: int = LEAF, most_pairs: float = MOST_PAIRS, most_rows: int = MOST_ROWS, block: int = BLOCK) -> DataFrame:
+    """(a, b): edges that link the rows of reps (id, f0..f3, distinct) within radius which share a node."""
     deepest, trees = forest_shape(reps.count(), radius, recall, leaf)
-    edges = None
-    while True:
-        found = checkpoint(forest_edges(reps, deepest, trees, radius, leaf, most_pairs, most_rows))
-        some = found.where("b is not null")
-        edges = some if edges is None else edges.union(some)
-        crowded = found.where("b is null").select(F.col("a").alias("id"))
-        if deepest >= KEY_BITS or not crowded.limit(1).count():
-            return edges
-        reps = checkpoint(reps.join(crowded, "id", "left_semi"))
-        deepest = min(KEY_BITS, deepest + DESCENT)
-        trees = trees_for(deepest, radius, recall)
+    found = checkpoint(forest_edges(reps, deepest, trees, radius, leaf, most_pairs, most_rows))
+    edges = found.where("b is not null").select("a", "b")
+    crowded = found.where("b is null").select("unit", F.col("a").alias("id"))
+    if not crowded.limit(1).count():
+        return edges
+    return edges.union(crowded_edges(crowded.join(reps, "id"), edges, radius, block))
+
+
+def crowded_edges(rows: DataFrame, edges: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """(a, b): edges that, with those given, link all rows (unit, id, f0..f3) of a unit within radius.
+
+    Blocks of about `block` rows are solved first, each with the same few rows of its unit, so that what is dense becomes
+    one component. Then the components known by now make blocks of their own, the small ones together, and every two
+    blocks of a unit are solved, except for two of one component. The work left is quadratic in a unit's unlinked rows."""
+    size = rows.groupBy("unit").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    rows = checkpoint(rows.join(size, "unit").withColumn("x", F.expr("pmod(xxhash64(id), blocks)")))
+    nth = F.row_number().over(Window.partitionBy("unit").orderBy(F.xxhash64("id", F.lit(1)), "id"))
+    some = rows.where("blocks > 1").withColumn("_nth_", nth).where(F.col("_nth_") <= ANCHORS)
+    some = some.select("unit", F.explode(F.expr("filter(sequence(0L, blocks - 1), y -> y <> x)")).alias("x"), "id", *WORDS)
+    first = rows.select("unit", "x", "id", *WORDS).union(some).withColumn("y", F.col("x")).withColumn("label", F.col("id"))
+    found = checkpoint(_solved(first, radius))
+    many = rows.where("blocks > 1").select("unit", "id", *WORDS)
+    if not many.limit(1).count():
+        return found
+
+    known = components(edges.union(found)).withColumnRenamed("root", "label")
+    many = checkpoint(many.join(known, "id", "left").withColumn("label", F.coalesce("label", "id")))
+    count = many.groupBy("unit", "label").agg(F.count("*").alias("n")).withColumn("own", F.col("n") >= block).withColumn("part", F.when(F.col("own"), F.col("label")).otherwise(0))
+    whole = F.sum("n").over(Window.partitionBy("unit", "own", "part"))
+    count = count.select("unit", "label", "own", "part", F.ceil(whole / block).alias("blocks"))
+    many = checkpoint(many.join(count, ["unit", "label"]).withColumn("nth", F.expr("pmod(xxhash64(id, 2), blocks)")))
+    key = ["unit", "own", "part", "nth"]
+    at = checkpoint(many.select(key).distinct().withColumn("k", F.row_number().over(Window.partitionBy("unit").orderBy("own", "part", "nth"))))
+    two = at.alias("p").join(at.alias("q"), F.expr("p.unit = q.unit and p.k <= q.k and not (p.own and q.own and p.part = q.part)"))
+    two = checkpoint(two.select("p.unit", F.col("p.k").alias("x"), F.col("q.k").alias("y")))
+    member = two.withColumn("k", F.explode(F.array_distinct(F.array("x", "y"))))
+    again = many.join(at, key).select("unit", "k", "id", "label", *WORDS).join(member, ["unit", "k"])
+    return found.union(checkpoint(_solved(again, radius)))
+
+
+def _solved(rows: DataFrame, radius: int) -> DataFrame:
+    """(a, b), b < a: labels that a link within radius joins, of the rows (unit, x, y, id, label, f0..f3) of one unit, x and y."""
+
+    def solve(part: pa.Table) -> pa.Table:
+        label = part.column("label").to_numpy()
+        root, _ = _reach([np.ascontiguousarray(part.column(w).to_numpy()).view(np.uint64) for w in WORDS], radius, math.inf)
+        a, b = np.maximum(label, label[root]), np.minimum(label, label[root])
+        e = np.unique(np.stack([a, b], axis=1)[a != b], axis=0)
+        return pa.table({"a": e[:, 0], "b": e[:, 1]})
+
+    key = ["unit", "x", "y"]
+    tasks = rows.select(key).distinct().count()
+    n = max(n_shuffle(rows.sparkSession), min(tasks, 10_000))  # a task's time is that of its comparisons, not of its bytes
+    return rows.select(*key, "label", *WORDS).repartition(n, *key).groupBy(*key).applyInArrow(solve, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:

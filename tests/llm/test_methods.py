@@ -141,6 +141,86 @@ def test_crowded_rows_descend(spark, bounds):
     assert (got == want).mean() > 0.98 and (want[got] == want).all()
 
 
+@pytest.fixture
+def small_batches(spark):
+    """Arrow batches of a few rows, so that a node of some hundred comes in many."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "20")
+    yield
+    spark.conf.set(name, was)
+
+
+def flipped(rng, fp, flips, bits=256):
+    """A print that differs from fp by exactly `flips` of the bits."""
+    out = fp.copy()
+    for b in rng.choice(bits, flips, replace=False):
+        out[b >> 6] ^= np.uint64(1 << int(b & 63))
+    return out
+
+
+def print_rows(spark, fp):
+    return spark.createDataFrame([(i, *map(int, f.view(np.int64))) for i, f in enumerate(fp)], "id bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
+
+
+def group_roots(edges, n):
+    got = np.arange(n)
+    for r in simhash.components(edges).collect():
+        got[r.id] = r.root
+    return got
+
+
+@pytest.mark.parametrize("bounds", [{"most_rows": 60}, {"most_pairs": 400}])
+def test_crowded_nodes_lose_no_link(spark, small_batches, bounds):
+    """Rows that only one member of a crowd reaches, not the crowd's first row, are linked wherever the two share a node."""
+    rng = np.random.default_rng(17)
+    middle, bits = rng.integers(0, 1 << 63, 4, dtype=np.uint64), rng.permutation(256)
+    crowd = np.stack([flipped(rng, middle, i % 3 + 1, bits[:100]) for i in range(300)])
+    crowd[20] = middle
+    fp = np.concatenate([crowd, np.stack([flipped(rng, middle, 42, bits[100:]) for _ in range(40)])])
+    deepest, trees = simhash.forest_shape(len(fp))
+    shared = np.zeros(len(fp), bool)
+    for perm in simhash.permutations(trees, 20240229 + deepest):
+        k = simhash.keys(fp, perm) >> (simhash.KEY_BITS - deepest)
+        shared |= k == k[20]
+    due = np.flatnonzero(shared[300:]) + 300
+    got, want = group_roots(simhash.links(print_rows(spark, fp), **bounds), len(fp)), brute_labels(fp, simhash.RADIUS)
+    assert len(due) > 30 and (want == 0).all() and all((simhash.distance(f, fp) <= simhash.RADIUS).sum() == 2 for f in fp[300:])
+    assert (got[:300] == 0).all() and (got[due] == 0).all()
+
+
+@pytest.mark.parametrize("block", [1, 40, 100_000])
+def test_blocks_of_a_crowded_node_are_brute_force(spark, block):
+    """Two units, with one large component, chains, small ones and lone rows, whatever the blocks."""
+    rng = np.random.default_rng(block)
+    chain = [rng.integers(0, 1 << 63, 4, dtype=np.uint64)]
+    for _ in range(30 if block > 1 else 8):
+        chain.append(flipped(rng, chain[-1], 40))
+    n = 120 if block > 1 else 8
+    fp = np.concatenate([print_family(rng, n, 8), np.stack(chain), print_family(rng, n // 4, 30), rng.integers(0, 1 << 63, (n // 4, 4), dtype=np.uint64)])
+    fp = np.unique(fp[rng.permutation(len(fp))], axis=0)
+    fp = fp[rng.permutation(len(fp))]
+    unit = F.when(F.col("id") < len(fp) * 2 // 3, 5).otherwise(9).cast("bigint")
+    none = spark.createDataFrame([], "a bigint, b bigint")
+    got = group_roots(simhash.crowded_edges(print_rows(spark, fp).withColumn("unit", unit), none, block=block), len(fp))
+    cut = len(fp) * 2 // 3
+    assert (got == np.r_[brute_labels(fp[:cut], simhash.RADIUS), brute_labels(fp[cut:], simhash.RADIUS) + cut]).all()
+
+
+def test_parts_of_a_prefix_lose_no_node(spark, small_batches):
+    """Groups of more rows than a task holds are solved in parts; each link of whole groups is found."""
+    rng = np.random.default_rng(23)
+    one = rng.integers(0, 1 << 63, (500, 4), dtype=np.uint64)
+    fp = np.concatenate([one, np.stack([flipped(rng, x, 20) for x in one])])
+    reps = print_rows(spark, fp).coalesce(1)
+    for deepest, leaf in ((8, 4), (5, 16)):
+        want = group_roots(simhash.forest_edges(reps, deepest, 2, leaf=leaf).select("a", "b"), len(fp))
+        found = simhash.forest_edges(reps, deepest, 2, leaf=leaf, most_rows=90)
+        assert not found.where("b is null").count()
+        got = group_roots(found.select("a", "b"), len(fp))
+        assert (want != np.arange(len(fp))).sum() > 100 and (got[want] == got).all()
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(40)] + [(100, 101), (101, 102), (200, 7)]
     r = {x.id: x.root for x in simhash.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
