@@ -1,8 +1,8 @@
 """Tables to triples.
 
 A row becomes one entity a described column. The row key is a projection over the template's columns, the cells are
-unpivoted, the template (one row a column) is joined by broadcast, and each entity's triples come from one explode: a
-narrow pipeline without a shuffle until a caller asks for a distinct union.
+unpivoted, and the template (one row a triple of a column) is joined by broadcast: a narrow pipeline, after the rows of
+a table in few parts are spread over the cores, without a shuffle until a caller asks for a distinct union.
 """
 
 from __future__ import annotations
@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from semloom import functions as S
+from semloom.session import small, spread
 from semloom.terms import CURATORS_AT, DCT, ENTITY_IRI, HELPERS, HOME, NO_DEFINITION, NO_ORCID, PREFIXES, PROV, QUDT, RDF, RDFS, SKOS, TRIPLE_COLUMNS, UNIT, UNITLESS, XSD
 
+#: Where the object of an entity's triple is found, unless it is a place among the row's own ones.
+_SAME, _KEY, _LICENSE = -1, -2, -3
 UNVERIFIED = "Caution: the data curator's ORCID was not verified when this was serialised."
 
 
@@ -158,10 +161,10 @@ def table_triples(
         c = F.col(f"`{column}`")
         return (S.iso_instant(c) if isinstance(kind, T.TimestampType) else c.cast("string")), datatype_of(kind)
 
-    extra: dict[str, list[Column]] = {}
+    extra: dict[str, list[tuple[str, Column, str, str | None]]] = {}
     for a, b in label_pairs:
         if a in names:
-            extra.setdefault(a, []).append(triple(subject(a), f"{RDFS}label", F.trim(cell_text(df, b))))
+            extra.setdefault(a, []).append((f"{RDFS}label", F.trim(cell_text(df, b)), "lit", None))
     for r in relations:
         if r.subject not in names or r.kind is None:
             continue
@@ -169,38 +172,38 @@ def table_triples(
         there = F.col(f"`{r.subject}`").isNotNull() & F.col(f"`{r.object}`").isNotNull()
         if r.kind == "object":
             o = subject(r.object) if r.object in names else F.concat(F.lit(base), S.percent_encode(F.trim(value)))
-            extra.setdefault(r.subject, []).append(triple(subject(r.subject), p, F.when(there, o), "iri"))
+            extra.setdefault(r.subject, []).append((p, F.when(there, o), "iri", None))
         else:
-            extra.setdefault(r.subject, []).append(triple(subject(r.subject), p, F.when(there, value), "lit", dt))
+            extra.setdefault(r.subject, []).append((p, F.when(there, value), "lit", dt))
 
-    none = F.array().cast("array<struct<s:string,p:string,o:string,o_kind:string,o_dt:string,o_lang:string>>")
-    cells = [F.struct(F.lit(i).alias("ordinal"), cell_text(df, e.alt_label).alias("value"), subject(e.alt_label).alias("s"), (F.array(*extra[e.alt_label]) if e.alt_label in extra else none).alias("extra")) for i, e in enumerate(template)]
+    # objects that a row has of its own: the cell, then label pairs and relations, by place
+    own = lambda e: F.array(cell_text(df, e.alt_label), *[o.cast("string") for _, o, *_ in extra.get(e.alt_label, ())])
+    cells = [F.struct(F.lit(i).alias("ordinal"), subject(e.alt_label).alias("s"), own(e).alias("own")) for i, e in enumerate(template)]
     full = S.full_row_key(F.col("_key_"), F.lit(orcid))
     graph = F.concat(F.lit(base), full, *([F.col(row_column).cast("string")] if row_column else []))
-    rows = df.withColumn("_key_", key).select(graph.alias("g"), "_key_", F.explode(F.array(*cells)).alias("c")).select("g", "_key_", "c.*").where("s is not null")
-
-    said = [(i, t[0], e.alt_label, e.definition, (UNIT + e.unit) if e.unit else None, generated_at or e.generated_at, e.note, e.note_lang, e.stage) for i, (e, t) in enumerate(zip(template, types, strict=True))]
-    table = df.sparkSession.createDataFrame(said, "ordinal int, type string, label string, definition string, unit string, at string, note string, note_lang string, stage string")
-    full_rows = rows.join(F.broadcast(table), "ordinal")
-
-    s, col = F.col("s"), F.col
-    constants = [
-        triple(s, f"{RDF}type", col("type"), "iri"),
-        triple(s, f"{SKOS}altLabel", col("label")),
-        triple(s, f"{SKOS}definition", col("definition")),
-        triple(s, f"{QUDT}hasUnit", col("unit"), "iri"),
-        triple(s, f"{PROV}generatedAtTime", col("at"), "lit", f"{XSD}dateTime"),
-        triple(s, f"{SKOS}note", col("note"), "lit", None, col("note_lang")),
-        triple(s, f"{base}hasStudyStage", col("stage")),
-        triple(s, f"{QUDT}value", col("value")),
-        triple(s, f"{base}row", col("_key_")),
-        triple(s, f"{DCT}license", S.license_iri(F.lit(license).cast("string"), licenses), "iri"),
-        triple(s, f"{DCT}creator", F.lit(CURATORS_AT + orcid), "iri"),
-    ]
-    if not verified:
-        constants.append(triple(s, f"{SKOS}note", UNVERIFIED))
-    every = F.filter(F.concat(F.array(*constants), col("extra")), lambda x: x.s.isNotNull() & x.o.isNotNull())
-    return full_rows.select("g", F.explode(every).alias("t")).select("g", "t.*").select(*TRIPLE_COLUMNS)
+    rows = spread(df).withColumn("_key_", key).select(graph.alias("g"), "_key_", F.explode(F.array(*cells)).alias("c")).select("g", "_key_", "c.*").where("s is not null")
+
+    # a row a triple of an entity: its object as far as it is the same for all, else where it is found
+    said = []
+    for i, (e, t) in enumerate(zip(template, types, strict=True)):
+        same = [
+            (f"{RDF}type", t[0], "iri", None, None),
+            (f"{SKOS}altLabel", e.alt_label, "lit", None, None),
+            (f"{SKOS}definition", e.definition, "lit", None, None),
+            (f"{QUDT}hasUnit", (UNIT + e.unit) if e.unit else None, "iri", None, None),
+            (f"{PROV}generatedAtTime", generated_at or e.generated_at, "lit", f"{XSD}dateTime", None),
+            (f"{SKOS}note", e.note, "lit", None, e.note_lang),
+            (f"{base}hasStudyStage", e.stage, "lit", None, None),
+            (f"{DCT}creator", CURATORS_AT + orcid, "iri", None, None),
+            (f"{SKOS}note", None if verified else UNVERIFIED, "lit", None, None),
+        ]
+        said += [(i, _SAME, p, o, kind, dt, lang) for p, o, kind, dt, lang in same if o is not None]
+        said += [(i, _KEY, f"{base}row", None, "lit", None, None), (i, _LICENSE, f"{DCT}license", None, "iri", None, None), (i, 0, f"{QUDT}value", None, "lit", None, None)]
+        said += [(i, at, p, None, kind, dt, None) for at, (p, _, kind, dt) in enumerate(extra.get(e.alt_label, ()), 1)]
+    table = df.sparkSession.createDataFrame(said, "ordinal int, at int, p string, o string, o_kind string, o_dt string, o_lang string")
+    at = F.col("at")
+    o = F.when(at == _SAME, F.col("o")).when(at == _KEY, F.col("_key_")).when(at == _LICENSE, S.license_iri(F.lit(license).cast("string"), licenses)).otherwise(F.get("own", at))
+    return rows.join(F.broadcast(table), "ordinal").withColumn("o", o).where("o is not null").select(*TRIPLE_COLUMNS)
 
 
 def merged(triples: DataFrame) -> DataFrame:
@@ -211,8 +214,6 @@ def merged(triples: DataFrame) -> DataFrame:
 def firewall(triples: DataFrame, classes: DataFrame, class_column: str = "iri") -> DataFrame:
     """triples in which a subject with any type outside classes has the plain entity as its only type. For triples from
     elsewhere; table_triples settles its own from the template. classes is an ontology's, checked before a broadcast."""
-    from semloom.session import small
-
     is_type = F.col("p") == f"{RDF}type"
     known = small(classes.select(F.col(class_column).alias("o"), F.lit(True).alias("known")).distinct())
     types = triples.where(is_type)

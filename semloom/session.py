@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 #: Rows up to which a side is broadcast once it has been counted; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Parts a core that rows are spread over.
+PARTS = 4
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -37,6 +39,17 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df with its rows dealt out to all cores, if it is read in few parts: a table of one small file would else be one
+    task's, however much is made of each row. Only what is read shuffles; streams and what shuffled already stay."""
+    if df.isStreaming:
+        return df
+    plan, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in plan.executedPlan().toString() or plan.toRdd().getNumPartitions() >= PARTS * cores:
+        return df
+    return df.repartition(PARTS * cores)
+
+
 def numbered(df: DataFrame, order: Sequence[str | Column], name: str, start: int = 1) -> DataFrame:
     """df with consecutive numbers in the given total order: rows are range-partitioned and sorted, numbered within each
     partition, and offset by the partitions before, of which only the counts are gathered."""

@@ -411,3 +411,11 @@ def test_rebuilding_shuffles_once_for_the_pivot(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert sorted(tuple(r) for r in out.collect()) == [("g1", "1", "2"), ("g2", "3", None)]
+
+
+def test_rows_of_one_file_are_spread(spark, tmp_path):
+    """However few parts a table has, its triples are made by all cores, each once."""
+    spark.range(1000).selectExpr("cast(id as string) as Sample", "id * 0.5D as Load", "if(id % 2 = 0, 'x', null) as Note").coalesce(1).write.parquet(str(tmp_path / "t"))
+    t = serialize.table_triples(spark.read.parquet(str(tmp_path / "t")), TEMPLATE, orcid=ORCID)
+    busy = t.groupBy(F.spark_partition_id()).count().collect()
+    assert len(busy) >= spark.sparkContext.defaultParallelism and sum(r["count"] for r in busy) == 3000 * 9 + 2500
