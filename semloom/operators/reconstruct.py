@@ -59,6 +59,16 @@ def first_definitions(found: DataFrame) -> DataFrame:
     return found.groupBy("label").agg(first.alias("d")).select("label", "d.*")
 
 
+def definitions_of(triples: DataFrame, home: str = HOME) -> DataFrame:
+    """first_definitions(entities(triples)), but only the labels of all entities are gathered and sorted; they tell which
+    subject of each label comes first, and the rest is gathered of those few. The triples are read twice."""
+    named = triples.where(F.col("p") == f"{SKOS}altLabel").groupBy("g", "s").agg(F.min("o").alias("label")).where("label is not null")
+    first = named.groupBy("label").agg(F.min(F.struct("g", "s")).alias("at")).select(F.col("at.g").alias("_g_"), F.col("at.s").alias("_s_"))
+    here = F.col("g").eqNullSafe(F.col("_g_")) & (F.col("s") == F.col("_s_"))
+    found = entities(triples.join(small(checkpoint(first)), here, "left_semi"), home)
+    return found.select("label", "type", "unit", "definition", "stage", "note", F.col("g").alias("origin"))
+
+
 def template_entries(definitions: DataFrame) -> list[Entry]:
     """A template of what first_definitions found, by label; a row a column, gathered on the driver."""
     rows = definitions.orderBy("label").collect()

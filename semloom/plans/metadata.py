@@ -29,7 +29,7 @@ def license_triple(spark, d):
 @query(f"""WITH t AS MATERIALIZED ({Q.triples("customer", CUSTOMER, ORCID, AT)}), l AS (SELECT g, s, o AS label, row(g, s) AS spot FROM t WHERE p = '{SKOS}altLabel'), x AS (SELECT g, s, max(CASE WHEN p = '{RDF}type' THEN o END) AS type, max(CASE WHEN p = '{QUDT}hasUnit' THEN o END) AS unit FROM t GROUP BY g, s)
 SELECT label, min_by(type, spot) AS type, min_by(unit, spot) AS unit FROM l JOIN x ON x.g = l.g AND x.s = l.s GROUP BY label""")
 def template_of_triples(spark, d):
-    return reconstruct.first_definitions(reconstruct.entities(serialize_table(spark, d))).select("label", "type", "unit")
+    return reconstruct.definitions_of(serialize_table(spark, d)).select("label", "type", "unit")
 
 
 @query(f"""WITH {EVENTS}, f AS (SELECT label, min_by(unit, g) AS want, min(g) AS origin FROM e GROUP BY label)

@@ -419,3 +419,14 @@ def test_rows_of_one_file_are_spread(spark, tmp_path):
     t = serialize.table_triples(spark.read.parquet(str(tmp_path / "t")), TEMPLATE, orcid=ORCID)
     busy = t.groupBy(F.spark_partition_id()).count().collect()
     assert len(busy) >= spark.sparkContext.defaultParallelism and sum(r["count"] for r in busy) == 3000 * 9 + 2500
+
+
+def test_definitions_gather_only_labels(spark):
+    """Definitions straight from triples are those of the entities, and what is shuffled of all subjects is their labels."""
+    rows = [(g, s, p, o, "lit", None, None) for g, s, label, unit in (("f1", "b", "x", "u:1"), ("f1", "a", "y", "u:2"), (None, "z", "y", "u:3"), ("f0", "c", "x", None), ("f0", "c", "w", None)) for p, o in ((f"{SKOS}altLabel", label), (f"{QUDT}hasUnit", unit), (f"{RDF}type", f"home:{s}")) if o]
+    t = spark.createDataFrame(rows, DDL)
+    want = reconstruct.first_definitions(reconstruct.entities(t))
+    got = reconstruct.definitions_of(t)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect())) and got.count() == 3
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and plan.index("LeftSemi") > plan.index("Exchange hashpartitioning")  # subjects are chosen before they are gathered
