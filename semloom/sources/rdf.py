@@ -7,7 +7,7 @@ N-Triples is a projection and a text write; the other formats are written a docu
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from hashlib import sha256
 from urllib.parse import quote, urlparse
 from urllib.request import url2pathname
@@ -15,10 +15,11 @@ from uuid import uuid4
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from semloom.sources import rdf_text
 from semloom.terms import PREFIXES, TRIPLE_COLUMNS, TRIPLES, XSD
@@ -28,7 +29,12 @@ _DDL = "g string, s string, p string, o string, o_kind string, o_dt string, o_la
 ERROR = "urn:semloom:parse-error"
 
 
-def _parse_frame(names: Sequence[str], texts: Sequence[bytes | str], fmt: str | None, keep_errors: bool) -> pd.DataFrame:
+#: Triples that a worker holds as Python objects at once, unless one document has more. A batch of Arrow's has as many
+#: documents as it likes.
+AT_ONCE = 20_000
+
+
+def _parsed(names: Iterable[str], texts: Iterable[bytes | str], fmt: str | None, keep_errors: bool) -> Iterator[pd.DataFrame]:
     rows: list[tuple] = []
     for name, text in zip(names, texts, strict=True):
         try:
@@ -38,7 +44,10 @@ def _parse_frame(names: Sequence[str], texts: Sequence[bytes | str], fmt: str |
             if not keep_errors:
                 raise rdf_text.RdfError(f"{name}: {e}") from e
             rows.append((name, name, ERROR, str(e)[:500], "lit", None, None))
-    return pd.DataFrame(rows, columns=TRIPLE_COLUMNS)
+        if len(rows) >= AT_ONCE:
+            yield pd.DataFrame(rows, columns=TRIPLE_COLUMNS)
+            rows = []
+    yield pd.DataFrame(rows, columns=TRIPLE_COLUMNS)
 
 
 def read(spark: SparkSession, path: str | Sequence[str], fmt: str | None = None, recursive: bool = True, keep_errors: bool = False) -> DataFrame:
@@ -51,7 +60,7 @@ def read(spark: SparkSession, path: str | Sequence[str], fmt: str | None = None,
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield _parse_frame(f["path"].tolist(), f["content"].tolist(), fmt, keep_errors)
+            yield from _parsed(f["path"], f["content"], fmt, keep_errors)
 
     return found.mapInPandas(run, _DDL)
 
@@ -61,7 +70,7 @@ def parse_column(docs: DataFrame, name: str, text: str, fmt: str = "json-ld", ke
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield _parse_frame(f["n"].tolist(), f["t"].tolist(), fmt, keep_errors)
+            yield from _parsed(f["n"], f["t"], fmt, keep_errors)
 
     return docs.select(F.col(name).cast("string").alias("n"), F.col(text).alias("t")).where("t is not null").mapInPandas(run, _DDL)
 
@@ -135,12 +144,23 @@ def _documents(triples: DataFrame, by: Sequence[str], fmt: str, prefixes: Mappin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [rdf_text.write([tuple(t.values()) for t in ts], fmt, bound) for ts in b.column("ts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in by), pa.array(texts, pa.string())], names=[*by, "document"])
+            yield from _texts(b, by, fmt, bound)
 
     return grouped.mapInArrow(run, ", ".join(f"{c} string" for c in (*by, "document")))
 
 
+def _texts(batch: pa.RecordBatch, by: Sequence[str], fmt: str, prefixes: Mapping[str, str]) -> Iterator[pa.RecordBatch]:
+    """(.. by, document) of a batch (.. by, ts), some AT_ONCE triples at a time."""
+    at = size = 0
+    for i, n in enumerate(pc.list_value_length(batch.column("ts")).to_pylist(), 1):
+        size += n
+        if size >= AT_ONCE or i == batch.num_rows:
+            part = batch.slice(at, i - at)
+            texts = [rdf_text.write([tuple(t.values()) for t in ts], fmt, prefixes) for ts in part.column("ts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in by), pa.array(texts, pa.string())], names=[*by, "document"])
+            at, size = i, 0
+
+
 def write_document(triples: DataFrame, path: str, fmt: str = "json-ld", prefixes: Mapping[str, str] = PREFIXES) -> None:
     """All triples as one document, graphs dropped. Only for what one file should hold; see write_ntriples for more."""
     rows = [tuple(r) for r in triples.select(*TRIPLE_COLUMNS[1:]).distinct().toLocalIterator()]
@@ -234,7 +254,7 @@ class _Reader(DataSourceReader):
             yield (partition.value, *t)
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     def __init__(self, options):
         self.path = options["path"]
         self.ending = options.get("ending") or rdf_text.ENDINGS[options.get("fmt", "json-ld")]
@@ -243,10 +263,12 @@ class _Writer(DataSourceWriter):
         fs, folder = store(self.path)
         fs.create_dir(folder, recursive=True)
         before = None
-        for row in iterator:
-            name = quote(row["name"], safe="-_.")
-            if row["name"] == before:
-                name += "-" + sha256((row["g"] or "").encode()).hexdigest()[:12]
-            before = row["name"]
-            _put(fs, f"{folder}/{name}{self.ending}", row["document"])
+        for batch in iterator:
+            for end, g, document in zip(*(batch.column(c) for c in ("name", "g", "document")), strict=True):
+                end, g = end.as_py(), g.as_py()
+                name = quote(end, safe="-_.")
+                if end == before:
+                    name += "-" + sha256((g or "").encode()).hexdigest()[:12]
+                before = end
+                _put(fs, f"{folder}/{name}{self.ending}", document.as_py())
         return WriterCommitMessage()

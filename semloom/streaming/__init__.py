@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semloom.operators.serialize import Entry, table_triples
-from semloom.sources.rdf import _parse_frame
+from semloom.sources.rdf import _parsed
 from semloom.terms import TRIPLE_COLUMNS
 
 
@@ -37,9 +37,8 @@ def stream_rdf(spark: SparkSession, folder: str) -> DataFrame:
 
     def run(frames):
         for f in frames:
-            out = _parse_frame(f["path"].tolist(), f["content"].tolist(), None, True)
-            out["arrived"] = f["modificationTime"].max()
-            yield out
+            for out in _parsed(f["path"], f["content"], None, True):
+                yield out.assign(arrived=f["modificationTime"].max())
 
     return files.mapInPandas(run, ", ".join(f"{c} string" for c in TRIPLE_COLUMNS) + ", arrived timestamp")
 

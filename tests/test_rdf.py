@@ -144,3 +144,17 @@ def test_hashed_files(spark, tmp_path):
         data = (tmp_path / f"out/jsonld/{i}.jsonld").read_bytes()
         assert (tmp_path / f"out/hash/{i}.jsonld.sha256").read_text() == hashlib.sha256(data).hexdigest()
         assert (tmp_path / f"out/ttl/{i}.ttl").exists()
+
+
+def test_few_triples_at_once(monkeypatch):
+    """Of a batch of many documents, only some are Python objects at a time, both ways."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(rdf, "AT_ONCE", 10)
+    batch = pa.RecordBatch.from_pylist([{"g": f"g{i}", "ts": [{"s": f"urn:{i}", "p": "urn:p", "o": str(k), "o_kind": "lit", "o_dt": None, "o_lang": None} for k in range(4)]} for i in range(8)], schema=pa.schema([("g", pa.string()), ("ts", pa.list_(pa.struct([(c, pa.string()) for c in TRIPLE_COLUMNS[1:]])))]))
+    made = list(rdf._texts(batch, ["g"], "nt", {}))
+    assert [b.num_rows for b in made] == [3, 3, 2]
+    rows = [r for b in made for r in b.to_pylist()]
+    assert [r["g"] for r in rows] == [f"g{i}" for i in range(8)]
+    back = list(rdf._parsed([r["g"] for r in rows], [r["document"] for r in rows], "nt", False))
+    assert [len(f) for f in back] == [12, 12, 8] and {(r.g, r.s) for f in back for r in f.itertuples()} == {(f"g{i}", f"urn:{i}") for i in range(8)}
