@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from semloom import functions as S
 from semloom.operators.serialize import datatype_of, emit, triple
-from semloom.session import numbered, small
+from semloom.session import numbered, small, spread
 from semloom.terms import CUBE_PREFIXES, DCT, HOME, NO_ORCID, QB, QUDT, RDF, SDMX, SKOS, TRIPLE_COLUMNS, XSD
 
 EXPERIMENT = "ExperimentId"
@@ -192,7 +192,7 @@ def cube_triples(
     own = row_name(id_columns, orcid, stamp)
     if row:
         own = F.concat(own, F.lit("_"), F.col(row).cast("string"))
-    rows = df.withColumn("_name_", own)
+    rows = spread(df).withColumn("_name_", own)
     n = F.col("_name_")
     single = mode == "entire"
     dataset_id = S.sanitize_iri(F.lit(f"Dataset_{name}")) if single else F.concat(F.lit("Dataset_"), n)
@@ -304,17 +304,26 @@ def cube_table(triples: DataFrame, variables: DataFrame | None = None) -> DataFr
     dims.sort(key=lambda d: (d[0] != EXPERIMENT, d[0]))
 
     value = lambda p: F.min(F.when(F.col("p") == p, F.when(~((F.col("o_kind") == "iri") & F.col("o").endswith("NotFound")), F.col("o"))))
-    some = triples.where(F.col("p").isin(*[p for _, p in dims], f"{QB}sliceStructure", f"{QB}measureType"))
-    facts = some.groupBy("s").agg(F.max((F.col("p") == f"{QB}measureType").cast("int")).alias("is_obs"), F.min(F.when(F.col("p") == f"{QB}measureType", F.col("o"))).alias("kind"), *[value(p).alias(f"d{i}") for i, (_, p) in enumerate(dims)])
-    links = triples.where(F.col("p") == f"{QB}observation").select(F.col("s").alias("slice"), F.col("o").alias("obs"))
-    values = triples.where(F.col("p").isin(*measures) if measures else F.lit(False)).select(F.col("s").alias("obs"), F.col("p").alias("kind"), F.col("o").alias("value"))
-    obs = facts.where("is_obs = 1").withColumnRenamed("s", "obs").join(values, ["obs", "kind"]).join(links, "obs")
-    slices = facts.where("is_obs = 0").select(F.col("s").alias("slice"), *[F.col(f"d{i}").alias(f"e{i}") for i in range(len(dims))])
+    # all that is said of a node, an observation's links among it, meets in one aggregation
+    p, linked, typed = F.col("p"), F.col("p") == f"{QB}observation", F.col("p") == f"{QB}measureType"
+    some = triples.where(p.isin(*[p for _, p in dims], *measures, f"{QB}sliceStructure", f"{QB}measureType", f"{QB}observation"))
+    about = F.when(linked, F.col("o")).otherwise(F.col("s")).alias("node")
+    facts = some.groupBy(about).agg(
+        F.max(F.when(~linked, typed.cast("int"))).alias("is_obs"),
+        F.min(F.when(typed, F.col("o"))).alias("kind"),
+        F.collect_set(F.when(linked, F.col("s"))).alias("slices"),
+        *[value(p).alias(f"d{i}") for i, (_, p) in enumerate(dims)],
+        *[F.max(F.when(F.col("p") == p, F.col("o"))).alias(f"m{i}") for i, p in enumerate(measures)],
+    )
+    own = F.coalesce(*[F.when(F.col("kind") == p, F.col(f"m{i}")) for i, p in enumerate(measures)], F.lit(None).cast("string"))
+    obs = facts.where("is_obs = 1").select(F.col("node").alias("obs"), "kind", own.alias("value"), *[f"d{i}" for i in range(len(dims))], F.explode("slices").alias("slice")).where("value is not null")
+    slices = facts.where("is_obs = 0").select(F.col("node").alias("slice"), *[F.col(f"d{i}").alias(f"e{i}") for i in range(len(dims))])
     j = obs.join(slices, "slice", "left")
     keys = [F.coalesce(f"d{i}", f"e{i}").alias(n) for i, (n, _) in enumerate(dims)]
-    kind = F.create_map(*[F.lit(x) for kv in measures.items() for x in kv])[F.col("kind")] if measures else F.lit(None).cast("string")
-    long = j.select(*keys, kind.alias("_measure_"), "obs", "value")
-    out = long.groupBy(*[F.col(f"`{n}`") for n, _ in dims]).pivot("_measure_", sorted(measures.values()) or ["_none_"]).agg(F.max_by("value", F.struct(F.length("obs"), "obs")))
+    long = j.select(*keys, F.col("kind").alias("_kind_"), F.col("obs").alias("_obs_"), F.col("value").alias("_value_"))
+    last = lambda p: F.max_by("_value_", F.when(F.col("_kind_") == p, F.struct(F.length("_obs_"), "_obs_")))
+    named = sorted((n, p) for p, n in measures.items()) or [("_none_", None)]
+    out = long.groupBy(*[F.col(f"`{n}`") for n, _ in dims]).agg(*[last(p).alias(n) for n, p in named])
     # one more read of the measures' values alone tells which are numbers throughout
     kinds = triples.where(F.col("p").isin(*measures) & (F.col("o_kind") == "lit")).groupBy("p").agg(F.bool_and(F.coalesce(F.col("o_dt") == f"{XSD}double", F.lit(False))).alias("number")) if measures else None
     for r in kinds.where("number").collect() if measures else ():

@@ -71,8 +71,7 @@ def triple(s: Column, p: str | Column, o: Column | str, kind: str = "lit", dt: C
 def emit(rows: DataFrame, graph: Column | str | None, triples: Sequence[Column]) -> DataFrame:
     """The triples of each row whose subject and object aren't null."""
     g = F.lit(None).cast("string") if graph is None else F.col(graph) if isinstance(graph, str) else graph
-    t = F.explode(F.filter(F.array(*triples), lambda x: x.s.isNotNull() & x.o.isNotNull()))
-    return rows.select(g.alias("g"), t.alias("t")).select("g", "t.*")
+    return rows.select(g.alias("g"), F.explode(F.array(*triples)).alias("t")).select("g", "t.*").where("s is not null and o is not null")
 
 
 def cell_text(df: DataFrame, column: str) -> Column:

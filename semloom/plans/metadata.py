@@ -12,7 +12,7 @@ from semloom.operators.serialize import Entry
 from semloom.plans import sqltext as Q
 from semloom.plans.files import BRANDS, brands
 from semloom.plans.queries import AT, CUSTOMER, EVENTS, ORCID, event_entities, query, serialize_table, table, values
-from semloom.session import checkpoint
+from semloom.session import checkpoint, stored
 from semloom.sources import rdf
 from semloom.terms import DCT, GENERIC_TYPE, HOME, LICENSES_AT, NO_DEFINITION, OWL, QB, QUDT, RDF, RDFS, SDMX, SKOS
 
@@ -239,7 +239,7 @@ def cube_last_value(spark, d):
     """Of many observations of equal dimensions the last one counts."""
     o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
     v = [Variable("o_orderstatus"), Variable("o_orderpriority"), Variable("o_totalprice", True)]
-    return cube.cube_table(checkpoint(cube.cube_triples(o, v, name="orders", orcid=ORCID, stamp="T", row="o_orderkey")))
+    return cube.cube_table(stored(cube.cube_triples(o, v, name="orders", orcid=ORCID, stamp="T", row="o_orderkey")))
 
 
 @query("""WITH c AS (SELECT CAST(100 - n_nationkey AS VARCHAR) AS "ExperimentId", n_nationkey * 1.0::DOUBLE AS v FROM nation) SELECT row_number() OVER (ORDER BY CAST("ExperimentId" AS DOUBLE)) - 1 AS place, "ExperimentId", v FROM c""")

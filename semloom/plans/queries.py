@@ -12,7 +12,7 @@ from semloom.operators import cube, ontology, reconstruct, serialize, template
 from semloom.operators.cube import Variable
 from semloom.operators.serialize import Entry, Relation
 from semloom.plans import sqltext as Q
-from semloom.session import checkpoint
+from semloom.session import checkpoint, stored
 from semloom.sources import rdf
 from semloom.terms import DCT, ENTITY_IRI, HOME, LICENSES_AT, QB, QUDT, RDF, RDFS, SDMX, SKOS, XSD
 
@@ -407,7 +407,7 @@ def cube_observations(spark, d):
 def cube_readback(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("o_orderstatus"), "o_totalprice", "o_custkey")
     # read several times, so written once, as a cube's files are
-    return cube.cube_table(checkpoint(cube.cube_triples(o, _ORDER_VARS, name="orders", orcid=ORCID, stamp="T", row="o_orderkey")))
+    return cube.cube_table(stored(cube.cube_triples(o, _ORDER_VARS, name="orders", orcid=ORCID, stamp="T", row="o_orderkey")))
 
 
 @query(f"""WITH s AS (SELECT *, substr('abcdefghijklmnopqrstuvwxyz', CAST(CAST('0x' || substr(sha256(k), 1, 8) AS BIGINT) % 26 + 1 AS INTEGER), 1) || '-' || k AS n FROM (SELECT *, CAST(s_suppkey AS VARCHAR) || '-0000000123456789-T' AS k FROM supplier))

@@ -430,3 +430,11 @@ def test_definitions_gather_only_labels(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect())) and got.count() == 3
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "LeftSemi" in plan and plan.index("LeftSemi") > plan.index("Exchange hashpartitioning")  # subjects are chosen before they are gathered
+
+
+def test_cube_table_joins_once(cube_df):
+    """What is said of an observation meets in one aggregation; only slices are joined."""
+    t = cube.cube_triples(cube_df, [cube.Variable(c, i > 0) for i, c in enumerate(cube_df.columns)], row=cube_df.columns[0])
+    v = cube.read_variables(t).localCheckpoint()
+    assert cube.cube_table(t, v)._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 1
+    assert "Join Inner, (obs" not in cube.cube_table(t, v)._jdf.queryExecution().optimizedPlan().toString()
